@@ -193,7 +193,7 @@ def _cut(window: int, bits: int):
             beaten = _read_bits(X.bounds(a, bits, 64 - bits), len(a), answers.filter(pa.array(bucket >= 0)))
             count = np.diff(np.append(start, len(cand)))
             ids = c.ids[c.doc[cand[order]]]
-            lost = cand[order][(np.repeat(beaten, count) | (ids > np.repeat(least, count))) & (np.repeat(least, count) != NULL_ID)]
+            lost = cand[order][np.repeat(beaten, count) | (ids > np.repeat(least, count))]
             step = np.zeros(len(c.starts) + 1, np.int64)
             np.add.at(step, lost, 1)
             np.add.at(step, np.minimum(lost + window, len(c.starts)), -1)
