@@ -112,3 +112,9 @@ def window_hash(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def repeat_index(counts: np.ndarray) -> np.ndarray:
     """0 for the items of the first text, 1 for those of the second, ..."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def window_offsets(counts: np.ndarray) -> np.ndarray:
+    """0 .. c - 1 for each count c in turn."""
+    total = int(counts.sum())
+    return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
