@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .suffix_dedup import suffix_dedup
 from .substring_dedup import substring_dedup
@@ -28,5 +29,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup, "op4_minhash_near_dedup": op4_minhash_near_dedup}
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "drawn")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
+}
 ORACLES: dict[str, str] = {}
