@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .substring_dedup import substring_dedup
 
@@ -29,6 +30,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules(_read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "drawn")
 
@@ -37,6 +43,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op7_source_mixing": op7_source_mixing,
 }
 ORACLES: dict[str, str] = {}
