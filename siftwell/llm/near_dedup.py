@@ -11,13 +11,15 @@ group of thousands of near copies from becoming all its pairs:
 
 1. equal sets are one vertex;
 2. in small nodes, the strongest spanning forest of the pairs whose minwise tokens agree enough; in large nodes, each member
-   with the node's pivot;
+   with two pivots, the second of which is the member most alike to the first and so lies near the middle of the node;
 3. these links are confirmed on full sets; components;
-4. nodes that still hold several components: all pairs across components, in large nodes after branching further; confirmed
-   on full sets; components again.
+4. nodes that still hold several components: all pairs across components; confirmed on full sets; components again.  A large
+   node is branched further for that.  Where most of it is one component, or where branching has not parted it in
+   ``MAX_ROUNDS`` rounds, the members outside its largest component are compared with all of it exhaustively, block by block,
+   on full sets.
 
-The token filter before confirming passes pairs 4.9 standard deviations below the threshold, a miss of under one in a
-million.  All confirmed links meet ``100 * |A & B| >= percent * |A | B|`` on whole sets.
+The token filter before confirming passes pairs ``SIGMAS`` standard deviations below the threshold, so it misses one true
+link in a thousand at the very threshold and fewer above.  All links meet ``100 * |A & B| >= percent * |A | B|`` on whole sets.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer words than a
 shingle has its whole sequence as one shingle; rows with one id are judged row by row; null ids order last, and a component
@@ -38,13 +40,17 @@ from . import _bytes as B
 from ._common import NULL_ID, id_and_text, materialize
 from .components import connected_components
 
-COORDINATES = 64
+COORDINATES = 128
+#: Standard deviations of the agreement of minwise tokens by which a pair may lie below the threshold.
+SIGMAS = 3.1
 #: Members up to which a node is compared exhaustively.
 SMALL = 48
 #: Branching steps between two counts of the nodes.
 STEPS = 4
-#: Counts of nodes after which what is still large is compared block by block.
-MAX_ROUNDS = 6
+#: Counts of the nodes after which what is still large is compared block by block.
+MAX_ROUNDS = 5
+#: Members of one block in the exhaustive comparison of a large node.
+BLOCK = 256
 SLAB = 2 << 20
 
 _FACTOR = (np.random.default_rng(20240607).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -150,7 +156,7 @@ def _step(node, coordinate, sig, row):
     return B.mix(node * np.uint64(0x9E3779B97F4A7C15) + (coordinate.astype(np.uint64) << np.uint64(33)) + sig[row, coordinate.astype(np.int64)])
 
 
-def least_agreement(threshold: float, sigmas: float = 4.9) -> int:
+def least_agreement(threshold: float, sigmas: float = SIGMAS) -> int:
     return int(np.floor(COORDINATES * threshold - sigmas * np.sqrt(COORDINATES * threshold * (1 - threshold))))
 
 
@@ -218,15 +224,15 @@ def _node_pairs(percent: int, across: bool):
 
 
 def _rows_agree(percent: int):
-    """Pairs given row by row, with both signatures."""
+    """How many tokens agree with the pivot's, row by row, and whether the pair passes."""
 
     def run(batches):
         for t in batches:
             x, y = _unpack(t.column("sig")), _unpack(t.column("pivot_sig"))
             n = np.concatenate([t.column("n_shingles").to_numpy(), t.column("pivot_n").to_numpy()])
             m = t.num_rows
-            good, _ = _agree(np.concatenate([x, y]), n, np.arange(m), np.arange(m) + m, percent)
-            yield pa.record_batch([t.column("pivot").filter(pa.array(good)), t.column("k").filter(pa.array(good))], names=["a", "b"])
+            good, same = _agree(np.concatenate([x, y]), n, np.arange(m), np.arange(m) + m, percent)
+            yield pa.record_batch([t.column("node"), t.column("pivot"), t.column("k"), pa.array(same), pa.array(good)], names=["node", "a", "b", "same", "good"])
 
     return run
 
@@ -241,20 +247,55 @@ def _sets_of(n: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirm(percent: int):
     def run(batches):
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("items_a").to_pylist(), t.column("items_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([t.column("a").filter(pa.array(keep, pa.bool_())), t.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            pairs = zip(t.column("items_a").to_pylist(), t.column("items_b").to_pylist(), strict=True)
+            keep = pa.array([_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs], pa.bool_())
+            yield pa.record_batch([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _blocks_compared(percent: int):
+    """A block of outsiders against a block of members: one confirmed link per outsider and component at most."""
+
+    def run(batches):
+        for t in batches:
+            a, b = [], []
+            for few, many in zip(t.column("few").to_pylist(), t.column("many").to_pylist(), strict=True):
+                rows = few + many
+                sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(-1, COORDINATES)
+                n, root = (np.array([r[c] for r in rows]) for c in ("n_shingles", "root"))
+                sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
+                other = np.arange(len(few), len(rows))
+                for i in range(len(few)):
+                    j = other[root[other] != root[i]]
+                    good, same = _agree(sig, n, np.full(len(j), i), j, percent)
+                    j = j[good][np.argsort(-same[good], kind="stable")]
+                    met = set()
+                    for x in j.tolist():
+                        if root[x] not in met and _linked(sets[i], sets[x], percent):
+                            met.add(root[x])
+                            a.append(rows[i]["k"])
+                            b.append(rows[x]["k"])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _packed(rows: DataFrame, size: str, name: str) -> DataFrame:
+    """Members of each node in blocks of about ``BLOCK``, as arrays."""
+    part = F.pmod(F.xxhash64("k"), F.ceil(F.col(size) / BLOCK)).alias("part")
+    return rows.select("node", part, F.struct("k", "root", "n_shingles", "sig", "items").alias("r")).groupBy("node", "part").agg(F.collect_list("r").alias(name)).drop("part")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, n_equal`` (rows with the very same set)."""
     pairs = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -273,8 +314,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     deal = F.expr(f"cast(pmod(node, {buckets}) as int)")
     small, large = nodes.filter(F.col("size") <= SMALL), nodes.filter(F.col("size") > SMALL)
     forest = small.join(facts, "k").select("node", "k", "n_shingles", "sig", F.lit(0).cast("long").alias("root"), deal.alias("deal")).groupBy("deal").applyInArrow(_node_pairs(percent, False), "a long, b long")
+    members = materialize(large.join(facts, "k"), "members")
     pivots = facts.select(F.col("k").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
-    star = large.filter("k <> pivot").select("k", "pivot").distinct().join(facts, "k").join(pivots, "pivot").mapInArrow(_rows_agree(percent), "a long, b long")
+    star = "node long, a long, b long, same int, good boolean"
+    one = materialize(members.filter("k <> pivot").join(pivots, "pivot").mapInArrow(_rows_agree(percent), star), "star")
+    middle = one.groupBy("node").agg(F.max_by("b", F.struct("same", "b")).alias("pivot"))
+    two = members.drop("pivot").join(middle, "node").filter("k <> pivot").join(pivots, "pivot").mapInArrow(_rows_agree(percent), star)
+    star = one.unionByName(two).filter("good").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(forest.unionByName(star).distinct(), "links")
 
     links = _confirmed(pairs, sketch, first, shingle, percent)
@@ -282,32 +328,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Nodes that hold several components still.
     rooted = materialize(nodes.join(comp, "k", "left").select("node", "k", "size", F.coalesce("root", "k").alias("root")), "rooted")
-    leaves, rest = [], None
+    leaves, crowds = [], []
     cur = rooted
     for turn in range(MAX_ROUNDS + 1):
-        mixed = cur.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("size > 1 and r0 <> r1").select("node", "size")
-        cur = materialize(cur.select("node", "k", "root").join(mixed, "node"), "mixed")
+        # Of each node, how many rows each component has: mixed ones only.
+        part = cur.groupBy("node", "root").agg(F.count("*").alias("c"))
+        mixed = part.groupBy("node").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("in_main"), F.count("*").alias("roots")).filter("roots > 1")
+        cur = materialize(cur.select("node", "k", "root").join(mixed.select("node", "size", "main", "in_main"), "node"), "mixed")
         leaves.append(cur.filter(F.col("size") <= SMALL))
         cur = cur.filter(F.col("size") > SMALL)
+        dense = F.lit(turn == MAX_ROUNDS) | (F.col("in_main") >= 0.75 * F.col("size"))
+        crowds.append(cur.filter(dense))
+        cur = cur.filter(~dense)
         if cur.isEmpty():
             break
-        if turn == MAX_ROUNDS:
-            rest = cur
-            break
         cur = cur.join(facts.select("k", "sig"), "k").mapInArrow(_children(percent / 100), "node long, k long, root long")
-    tested = leaves[0].select("node", "k", "root")
-    for x in leaves[1:]:
-        tested = tested.unionByName(x.select("node", "k", "root"))
-    if rest is not None:  # block against block: exhaustive, for what no token parts
-        width = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
-        block = rest.select("node", "k", "root", width.alias("w"), F.pmod(F.xxhash64("k"), width).cast("int").alias("x"))
-        block = block.select("k", "root", "node", "x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("y"))
-        tested = tested.unionByName(block.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "k", "root"))
+    tested, crowd = (_all(x) for x in (leaves, crowds))
     across = tested.join(facts, "k").select("node", "k", "n_shingles", "sig", "root", deal.alias("deal")).groupBy("deal").applyInArrow(_node_pairs(percent, True), "a long, b long").distinct()
     more = materialize(across.join(first, ["a", "b"], "left_anti"), "links")
+    found = [links]
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(pairs, sketch, more, shingle, percent))
-        comp = materialize(connected_components(links), "components")
+        found.append(_confirmed(pairs, sketch, more, shingle, percent))
+    if not crowd.isEmpty():
+        sets = _sets(pairs, sketch, crowd.select("k").distinct(), shingle)
+        whole = materialize(crowd.join(facts, "k").join(sets, "k").withColumn("outside", F.col("size") - F.col("in_main")), "crowd")
+        blocks = _packed(whole.filter("root <> main"), "outside", "few").join(_packed(whole, "size", "many"), "node")
+        found.append(materialize(blocks.select("few", "many").mapInArrow(_blocks_compared(percent), "a long, b long"), "confirmed"))
+    if len(found) > 1:
+        comp = materialize(connected_components(_all(found)), "components")
 
     label = vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = label.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -320,8 +368,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _confirmed(pairs: DataFrame, sketch: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The links that hold on the full sets, which are made again from the texts of the vertices concerned."""
     ends = links.select(F.col("a").alias("k")).unionByName(links.select(F.col("b").alias("k"))).distinct()
-    reader = sketch.join(ends, "k", "left_semi").groupBy("k").agg(F.min("row").alias("row"))
-    texts = pairs.join(reader, "row").dropDuplicates(["k"])
-    sets = materialize(texts.select("k", "text").mapInArrow(_sets_of(shingle), "k long, items binary"), "sets")
+    sets = _sets(pairs, sketch, ends, shingle)
     full = links.join(sets.select(F.col("k").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("items_b")), "b")
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+
+
+def _sets(pairs: DataFrame, sketch: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
+    """``(k, items)``: the full sets of the vertices, made again from the text of one document of each."""
+    reader = sketch.join(vertices, "k", "left_semi").groupBy("k").agg(F.min("row").alias("row"))
+    texts = pairs.join(reader, "row").dropDuplicates(["k"])
+    return materialize(texts.select("k", "text").mapInArrow(_sets_of(shingle), "k long, items binary"), "sets")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
