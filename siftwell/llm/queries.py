@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_classifier, toxicity
 from .html_extract import main_text
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -44,6 +45,18 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= quality_classifier.THRESHOLD).cast("int"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -51,5 +64,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_html_extraction": op8_html_extraction,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
