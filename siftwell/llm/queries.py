@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier, toxicity
+from .decontamination import leaked_items
 from .html_extract import main_text
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -37,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "drawn")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_source_mixing": op7_source_mixing,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
