@@ -297,7 +297,10 @@ def _packed(rows: DataFrame, size: str, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, n_equal`` (rows with the very same set)."""
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, n_equal`` (rows with the very same set).
+
+    Also ``row``, a hash of the row's id and text, and ``root``, a number of the component, null for an empty set.
+    """
     pairs = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     sketch = materialize(pairs.mapInArrow(_sketch(shingle), "doc_id long, row long, n_shingles long, k long, sig binary"), "sketch")
     # Equal sets become one vertex.
@@ -359,10 +362,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     label = vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = label.join(low, "root").select("k", "component_id", "n_equal")
-    out = sketch.select("doc_id", "n_shingles", "k").join(label, "k", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    label = label.join(low, "root").select("k", "root", "component_id", "n_equal")
+    out = sketch.select("doc_id", "row", "n_shingles", "k").join(label, "k", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return out.select(known("doc_id"), "n_shingles", known("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
+    return out.select(known("doc_id"), "n_shingles", known("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"), "row", "root")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10) -> DataFrame:
+    """The rows of ``docs`` but one of each group of near duplicates: that with the smallest id.  Empty sets all stay."""
+    found = materialize(near_duplicates(docs, id_col, text_col, shingle, percent, trees), "near")
+    keep = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "row")).alias("m")).select(F.col("m.row").alias("__kept_row"))
+    keep = keep.unionByName(found.filter("root is null").select(F.col("row").alias("__kept_row")).distinct())
+    row = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.withColumn("__kept_row", row).join(keep, "__kept_row", "left_semi").dropDuplicates(["__kept_row"]).drop("__kept_row")
 
 
 def _confirmed(pairs: DataFrame, sketch: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
