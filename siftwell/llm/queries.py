@@ -35,7 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "n_equal")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -351,8 +351,8 @@ def _cut(length: int, k: int, bits: int, carry: pa.DataType | None):
         columns = [pa.array(c.ids), pa.array(size), pa.array(removed), pa.array(np.bincount(doc, minlength=n_docs).astype(np.int64)), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans"]
         if carry is not None:
-            columns.append(docs.column("carry"))
-            names.append("carry")
+            columns += [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), docs.column("carry")]
+            names += ["kept_text", "carry"]
         return pa.table(columns, names=names)
 
     return cut
@@ -366,7 +366,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Removes every byte covered by a ``length``-byte string that also starts anywhere else.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_bytes, spans`` (byte positions, ends exclusive), and with ``carry``
-    the whole input row as the struct ``carry``.
+    ``kept_text``, without what is left of characters that were cut in two, and the whole input row as the struct ``carry``.
     """
     if not 8 <= anchor < length:
         raise ValueError("an anchor has at least 8 bytes and fewer than a string")
@@ -378,6 +378,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_chunk = with_chunk(pairs, chunks_for(total)).groupBy("chunk")
     first = by_chunk.applyInArrow(_send_anchors(length, anchor, bits), MESSAGE_SQL).groupBy("bucket").applyInArrow(_answer_anchors(most_contexts), MESSAGE_SQL)
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_send_texts(length, anchor, bits), MESSAGE_SQL).groupBy("bucket").applyInArrow(_answer_texts(length, bits), MESSAGE_SQL)
-    schema = RESULT + (f", carry {docs.schema.simpleString()}" if carry else "")
+    schema = RESULT + (f", kept_text string, carry {docs.schema.simpleString()}" if carry else "")
     out = by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(length, anchor, bits, pa.null() if carry else None), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
