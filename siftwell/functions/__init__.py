@@ -1 +1 @@
-
+"""Column functions: text, URLs, robots.txt and sitemaps, all native expressions."""

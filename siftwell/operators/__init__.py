@@ -1 +1 @@
-
+"""Operators over DataFrames: parsing, links, evidence, rendering, blocks, scoring."""

@@ -1 +1 @@
-
+"""Sources and sinks: captured responses, live requests, guidance files, reports."""

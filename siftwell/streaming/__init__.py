@@ -1 +1 @@
-
+"""Stateless streams over captured pages."""
