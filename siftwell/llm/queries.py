@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier, toxicity
+from .oracles import ORACLES as ORACLES
 from .decontamination import leaked_items
 from .html_extract import main_text
 from .mixing import mix_sources
@@ -79,4 +80,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+
