@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("pivot")).filter("size > 1")
     nodes = materialize(nodes.join(size, "node"), "nodes")
 
-    buckets = max(1, nodes.count() // 20_000)
+    buckets = max(1, nodes.count() // 4_000)
     deal = F.expr(f"cast(pmod(node, {buckets}) as int)")
     small, large = nodes.filter(F.col("size") <= SMALL), nodes.filter(F.col("size") > SMALL)
     forest = small.join(facts, "k").select("node", "k", "n_shingles", "sig", F.lit(0).cast("long").alias("root"), deal.alias("deal")).groupBy("deal").applyInArrow(_node_pairs(percent, False), "a long, b long")
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cur = materialize(cur.select("node", "k", "root").join(mixed.select("node", "size", "main", "in_main"), "node"), "mixed")
         leaves.append(cur.filter(F.col("size") <= SMALL))
         cur = cur.filter(F.col("size") > SMALL)
-        dense = F.lit(turn == MAX_ROUNDS) | (F.col("in_main") >= 0.75 * F.col("size"))
+        dense = F.lit(turn == MAX_ROUNDS) | (2 * F.col("in_main") >= F.col("size"))
         crowds.append(cur.filter(dense))
         cur = cur.filter(~dense)
         if cur.isEmpty():
