@@ -27,7 +27,7 @@ _SPLIT_ROW = re.compile(r"(?<!\\)\|")
 _DIVIDER = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _INLINE = re.compile(
     r"(?P<escape>\\[\\`*_{}\[\]()>#+.!-])|(?P<tick>`+)(?P<code>.+?)(?P=tick)|!?\[(?P<link>[^\]]*)\]\([^)]*\)|<(?P<auto>https?://[^>\s]+)>"
-    r"|(?P<strong>\*\*(?=\S)(?P<s1>.+?)(?<=\S)\*\*|(?<!\w)__(?=\S)(?P<s2>.+?)(?<=\S)__(?!\w))|(?P<em>\*(?=\S)(?P<e1>.+?)(?<=\S)\*|(?<!\w)_(?=\S)(?P<e2>.+?)(?<=\S)_(?!\w))|(?P<br>\n)",
+    r"|(?P<strong>\*\*(?=\S)(?P<s1>.+?)(?<=\S)\*\*(?!\*)|(?<!\w)__(?=\S)(?P<s2>.+?)(?<=\S)__(?!\w))|(?P<em>\*(?=\S)(?P<e1>.+?)(?<=\S)\*|(?<!\w)_(?=\S)(?P<e2>.+?)(?<=\S)_(?!\w))|(?P<br>\n)",
     re.S,
 )
 
@@ -190,7 +190,7 @@ def _blocks_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def md_blocks(reports: DataFrame, key: str = "audit_id", markdown: str = "markdown_report") -> DataFrame:
     """One row per block: ``key, seq, kind, level, text, items``."""
-    udf = F.pandas_udf(_blocks_of, f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in BLOCK.split(', '))}>>", functionType=204)
+    udf = F.pandas_udf(_blocks_of, f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in BLOCK.split(', '))}>>")
     return reports.select(F.col(key), F.explode(udf(F.col(markdown))).alias("b")).select(key, "b.*")
 
 

@@ -117,18 +117,21 @@ def parse_page(base: str | None, content: str | None) -> dict:
     }
 
 
-def _parse_batches(bases: Iterator) -> Iterator[pd.DataFrame]:
-    for base, content in bases:
-        yield pd.DataFrame([parse_page(b, c) for b, c in zip(base, content, strict=True)], columns=[f.split()[0] for f in _NAMES])
+def _parse_batches(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for base, content in pages:
+        yield pd.DataFrame([parse_page(b, c) for b, c in zip(base, content, strict=True)], columns=_NAMES)
 
 
-_NAMES = ("page_title", "meta_description", "canonical_url", "page_language", "h1_tags", "h2_tags", "links", "images", "og_tags", "robots_meta")
+_NAMES = ["page_title", "meta_description", "canonical_url", "page_language", "h1_tags", "h2_tags", "links", "images", "og_tags", "robots_meta"]
 
 
 def parsed(base: Column, content: Column) -> Column:
-    """The ``PARSED`` struct of a page; one Python evaluation however many of its fields are used."""
-    udf = F.pandas_udf(_parse_batches, PARSED, functionType=204)  # scalar iterator
-    return udf(base, content)
+    """The ``PARSED`` struct of a page; one Python evaluation however many of its fields are used.
+
+    It counts as non-deterministic, which it isn't, so that the optimizer never copies it below a filter on its fields; filter
+    on other columns first.
+    """
+    return F.pandas_udf(_parse_batches, PARSED).asNondeterministic()(base, content)
 
 
 def parse_pages(pages: DataFrame, base_col: str, content_col: str, out: str = "parsed") -> DataFrame:

@@ -112,7 +112,7 @@ def render_pdf(url: str, created: str, markdown: str | None) -> bytes:
 def with_pdf(reports: DataFrame) -> DataFrame:
     """Adds ``pdf`` (null where rendering failed, which fails no audit) and its download URL."""
 
-    def run(batches: Iterator[tuple]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for url, created, markdown in batches:
             out = []
             for u, c, m in zip(url, created, markdown, strict=True):
@@ -122,5 +122,5 @@ def with_pdf(reports: DataFrame) -> DataFrame:
                     out.append(None)
             yield pd.Series(out)
 
-    udf = F.pandas_udf(run, "binary", functionType=204)
+    udf = F.pandas_udf(run, "binary")
     return reports.withColumn("pdf", udf("url", "created_at", "markdown_report")).withColumn("pdf_download_url", pdf_url(F.col("audit_id"), F.col("pdf").isNotNull()))
