@@ -18,13 +18,24 @@ BUCKET_BYTES = 8 << 20
 NULL_ID = (1 << 63) - 1
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+def _scratch_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share.
 
     Only where that setting is unset, as in local tests, a folder of our own is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/siftwell"
-    return f"{base.rstrip('/')}/siftwell-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/siftwell/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Deletes all intermediate tables of this application; call it once results have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
