@@ -51,7 +51,7 @@ _CLOSES = {t: frozenset(["p"]) for t in _BLOCK} | {"li": frozenset(["li", "p"]),
 _BARRIER = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote td th figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|replies|responses|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisements?|alerts?|banner|breadcrumbs?|comments?|cookies?|consent|discussions?|disqus|feedback|footer|gdpr|header|masthead|menu|nav|navbar|navigation|navlinks|newsletter|notices?|pagination|popup|promo|promoted|related|replies|responses|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)[^<>]*$", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
