@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id").select("label", "text")
+    # The sample is at most ``sample_rows`` pairs of numbers, so it goes to the texts instead of the texts to it.
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
     counts = rows.filter("label = 1").select("text").mapInArrow(_positive_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_CANDIDATES).toPandas()
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
