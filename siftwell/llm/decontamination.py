@@ -6,7 +6,8 @@
 3. Distributed randomised SVD of all passages: every task adds up ``A'(A G)`` for a Gaussian ``G`` of ``RANK`` columns; the
    sums, of fixed size, are added in two levels, and a Nystroem step on the driver gives singular values and vectors.
 4. Search: passages and items meet in the latent space, scaled by the singular values; pairs with a cosine of ``COSINE`` are
-   candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.
+   candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.  A
+   candidate whose passage holds under ``COVER`` of the item's weight in tokens can't pass the next step and goes.
 5. Check: the longest common subsequence of the item's tokens and the candidate's surroundings.  A pair counts as a leak if
    it covers ``SURE`` of the item, or ``LIKELY`` of it with the item's answer (what follows its last question mark or answer
    mark, else its last fifth) covered by ``ANSWER``.
@@ -36,6 +37,10 @@ BLOCK = 12
 BINS = 1 << 14
 RANK = 80
 COSINE = 0.42
+#: Least share of an item's tokens, by weight, in a passage of a candidate.
+COVER = 0.3
+#: Logarithm of twenty.
+COMMON = 3.0
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.6
 SHORTEST = 5
 ITEMS = 4096
@@ -68,11 +73,37 @@ def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sum_blocks(x: np.ndarray, doc: np.ndarray, by: int) -> np.ndarray:
     out = x.copy()
-    same = doc[by:] == doc[:-by]
-    out[:-by][same] += x[by:][same]
+    if len(x) > by:
+        same = doc[by:] == doc[:-by]
+        out[:-by][same] += x[by:][same]
     return out
 
 
+def _gathered(table: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the tokens' rows of ``table`` by block; the last row of ``table`` is zero."""
+    size = np.diff(np.append(at, len(item)))
+    out = np.zeros((len(at), table.shape[1]), table.dtype)
+    for k in range(BLOCK):
+        out += table[np.where(k < size, item[np.minimum(at + k, len(item) - 1)], BINS)]
+    return out
+
+
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+
+
+def _scatter(total: np.ndarray, rows: np.ndarray, block: np.ndarray, item: np.ndarray) -> None:
+    """Adds ``rows[block]`` to ``total[item]``; ``item`` is sorted.  Frequent items one by one, rare ones rank by rank."""
+    start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+    count = np.diff(np.append(start, len(item)))
+    for i in np.flatnonzero(count > 16):
+        total[item[start[i]]] += rows[block[start[i] : start[i] + count[i]]].sum(0)
+    start, count = start[count <= 16], count[count <= 16]
+    for k in range(int(count.max(initial=0))):
+        start, count = start[count > k], count[count > k]
+        total[item[start]] += rows[block[start + k]]
+
+
 def _frequencies(batches):
     count, blocks = np.zeros(BINS, np.int64), 0
     for batch in batches:
@@ -80,15 +111,19 @@ def _frequencies(batches):
             h, first = tokens(part.column("text"))
             at, _ = _blocks(first)
             if len(at):
-                block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-                pair = np.unique(block * BINS + (h & np.uint64(BINS - 1)).astype(np.int64))
-                count += np.bincount(pair % BINS, minlength=BINS)
+                item = (h & np.uint64(BINS - 1)).astype(np.int64)
+                order = np.argsort(item.astype(np.uint16), kind="stable")
+                item, block = item[order], np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (item[1:] != item[:-1]) | (block[1:] != block[:-1])
+                count += np.bincount(item[new], minlength=BINS)
                 blocks += len(at)
     yield pa.record_batch([pa.array(np.append(count, blocks)), pa.array(np.arange(BINS + 1))], names=["n", "bin"])
 
 
 def _inverse(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts[-1] + 1.0) / (counts[:-1] + 1.0)).clip(0.0, None).astype(np.float32)
+    """Inverse document frequencies, less those of a term in a twentieth of all blocks, which carries nothing."""
+    return (np.log((counts[-1] + 1.0) / (counts[:-1] + 1.0)) - COMMON).clip(0.0, None).astype(np.float32)
 
 
 def _tests(seed: int = 3) -> np.ndarray:
@@ -100,19 +135,18 @@ def _range_sums(shared):
 
     def run(batches):
         idf = shared.value
-        table = _tests() * idf[:, None]
+        table = _with_zero(_tests() * idf[:, None])
         total = np.zeros((BINS, RANK), np.float32)
         for batch in batches:
-            for part in slabs(batch, most=1 << 19):
+            for part in slabs(batch, most=1 << 20):
                 h, first = tokens(part.column("text"))
                 at, doc = _blocks(first)
                 if len(at) < 1:
                     continue
                 item = (h & np.uint64(BINS - 1)).astype(np.int64)
-                y = np.add.reduceat(table[item], at, axis=0)
+                y = _sum_blocks(_gathered(table, item, at), doc, 1)
                 # The rows' squared lengths, as if no token came twice in a passage: a weight, not a result.
-                size = np.add.reduceat(idf[item] ** 2, at)
-                y, size = _sum_blocks(y, doc, 1) if len(at) > 1 else y, _sum_blocks(size, doc, 1) if len(at) > 1 else size
+                size = _sum_blocks(np.add.reduceat(idf[item] ** 2, at), doc, 1)
                 y /= np.maximum(size, 1e-6)[:, None]
                 # A token of block i is in the passages that begin at i and at i - 1.
                 back = y.copy()
@@ -121,9 +155,7 @@ def _range_sums(shared):
                     back[1:][same] += y[:-1][same]
                 order = np.argsort(item.astype(np.uint16), kind="stable")
                 block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))[order]
-                item = item[order]
-                start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-                total[item[start]] += np.add.reduceat(back[block], start, axis=0)
+                _scatter(total, back, block, item[order])
         total *= idf[:, None]
         for i in range(0, BINS, BINS // 16):
             yield pa.record_batch([pa.array([i]), pa.array([TaskContext.get().partitionId() % 16]), pa.array([total[i : i + BINS // 16].tobytes()])], names=["rows", "lane", "sums"])
@@ -139,13 +171,15 @@ def _add(key, table):
     return pa.table({"rows": [table.column("rows")[0].as_py()], "lane": [0], "sums": [total.astype(np.float32).tobytes()]}, schema=pa.schema([("rows", pa.int64()), ("lane", pa.int64()), ("sums", pa.binary())]))
 
 
-def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``(map, singular)``: rows of ``map`` take hashed tokens to latent coordinates, inverse frequencies and scaling included."""
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(map, singular, weights)``: rows of ``map`` take hashed tokens to latent coordinates, inverse frequencies and scaling
+    included; ``weights`` are plain inverse frequencies, at least a little for every token."""
     spark = docs.sparkSession
     counts = docs.mapInArrow(_frequencies, "n long, bin long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     all_ = np.zeros(BINS + 1, np.int64)
     all_[counts["bin"].to_numpy()] = counts["n"].to_numpy()
     idf = _inverse(all_)
+    weights = (np.log((all_[-1] + 1.0) / (all_[:-1] + 1.0)) + 0.1).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
     schema = "rows long, lane long, sums binary"
     got = docs.mapInArrow(_range_sums(shared), schema).groupBy("rows", "lane").applyInArrow(_add, schema).groupBy("rows").applyInArrow(_add, schema).toPandas()
@@ -159,14 +193,14 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     values, vectors = np.linalg.eigh(core)
     ok = values > max(values.max(), 1e-30) * 1e-9
     if not ok.any():
-        return np.zeros((BINS, 1), np.float32), np.zeros(1)
+        return np.zeros((BINS, 1), np.float32), np.zeros(1), weights
     f = z @ (vectors[:, ok] / np.sqrt(values[ok]))
     gram = f.T @ f
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     ok = values > max(values.max(), 1e-30) * 1e-9
     singular = np.sqrt(np.sqrt(values[ok]))  # of A: F'F holds fourth powers
     v = (f @ vectors[:, ok]) / np.sqrt(values[ok])
-    return (v / singular * idf[:, None]).astype(np.float32), singular
+    return (v / singular * idf[:, None]).astype(np.float32), singular, weights
 
 
 class Item:
@@ -209,33 +243,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
+def _covered(weight: np.ndarray, token: np.ndarray, doc: np.ndarray, b: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
+    """The weight of item ``m``'s tokens in the passage of ``width`` blocks from block ``b`` on; ``token``: blocks by row."""
+    out = np.zeros(len(b), np.float32)
+    for i in range(0, len(b), 1 << 15):
+        bb, mm = b[i : i + (1 << 15)], m[i : i + (1 << 15)]
+        for k in range(width):
+            at = np.minimum(bb + k, len(doc) - 1)
+            inside = (doc[at] == doc[bb]) & (bb + k < len(doc))
+            out[i : i + (1 << 15)] += weight[token[at], mm[:, None]].sum(1) * inside
+    return out
+
+
 def _search(shared, cosine: float):
     def run(batches):
-        table, raw = shared.value
+        table, weights, raw = shared.value
         items = [Item(i, t) for i, t in raw]
         items = [x for x in items if x.n]
         if not items:
             return
-        latent = _unit(np.stack([table[np.array(x.tokens, np.uint64) & np.uint64(BINS - 1)].sum(0) for x in items]))
-        groups = [(2, [i for i, x in enumerate(items) if x.n < LONG_ITEM]), (4, [i for i, x in enumerate(items) if x.n >= LONG_ITEM])]
+        bins = [np.array(x.tokens, np.uint64) & np.uint64(BINS - 1) for x in items]
+        latent = _unit(np.stack([table[x].sum(0) for x in bins]))
+        share = np.zeros((BINS + 1, len(items)), np.float32)
+        for i, x in enumerate(bins):
+            own = np.unique(x).astype(np.int64)
+            share[own, i] = weights[own] / weights[own].sum()
+        padded = _with_zero(table)
+        groups = [(2, np.array([i for i, x in enumerate(items) if x.n < LONG_ITEM], np.int64)), (4, np.array([i for i, x in enumerate(items) if x.n >= LONG_ITEM], np.int64))]
         for batch in batches:
-            for part in slabs(batch, most=1 << 19):
+            for part in slabs(batch, most=1 << 20):
                 h, first = tokens(part.column("text"))
                 at, doc = _blocks(first)
                 if not len(at):
                     continue
-                x = np.add.reduceat(table[(h & np.uint64(BINS - 1)).astype(np.int64)], at, axis=0)
+                item = (h & np.uint64(BINS - 1)).astype(np.int64)
+                size = np.diff(np.append(at, len(h)))[:, None]
+                step = np.arange(BLOCK)[None, :]
+                token = np.where(step < size, item[np.minimum(at[:, None] + step, len(h) - 1)], BINS)
+                x = _gathered(padded, item, at)
                 out: dict[tuple[int, int], list] = {}
                 for width, mine in groups:
-                    if len(x) > width // 2:
-                        x = _sum_blocks(x, doc, width // 2)
-                    if not mine:
+                    x = _sum_blocks(x, doc, width // 2)
+                    if not len(mine):
                         continue
                     near = _unit(x) @ latent[mine].T
-                    b, m = np.nonzero(near >= cosine)
-                    c = near[b, m]
+                    b, m = np.divmod(np.flatnonzero(near >= cosine), len(mine))
+                    c, m = near[b, m], mine[m]
+                    good = _covered(share, token, doc, b, m, width) >= COVER
+                    b, m, c = b[good], m[good], c[good]
                     for i in np.argsort(-c, kind="stable").tolist():
-                        d, k = int(doc[b[i]]), mine[m[i]]
+                        d, k = int(doc[b[i]]), int(m[i])
                         best = out.get((d, k))
                         if best and best[1] >= items[k].n:
                             continue
@@ -261,13 +318,13 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
-    table, _ = latent_space(rows.select("text"))
+    table, _, weights = latent_space(rows.select("text"))
     parts = max(1, -(-items.count() // ITEMS))
     out = None
     for i in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
         held = sorted((r.item_id, r.text) for r in block.collect() if r.item_id is not None)
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, held)), cosine), RESULT)
+        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, weights, held)), cosine), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
