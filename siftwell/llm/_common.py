@@ -14,6 +14,10 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 #: Bytes of text whose hashes meet in one bucket on average.
 BUCKET_BYTES = 8 << 20
+#: Chunks and buckets exchange a row for each pair of them that share a hash.  Beyond this many bytes both grow with the square
+#: root of the input, so that a row goes on holding several hashes: up to 64 MB each, at some 16 TB.
+STEADY_BYTES = 64 << 30
+MOST_GROWTH = 16
 #: Ids that are null order after every other id.
 NULL_ID = (1 << 63) - 1
 
@@ -51,13 +55,17 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(col).cast("string"))), F.lit(0))).first()[0])
 
 
+def _growth(total: int, most: float) -> float:
+    return min(most, max(1.0, math.sqrt(total / STEADY_BYTES)))
+
+
 def chunks_for(total: int, per: int = CHUNK_BYTES) -> int:
-    return max(1, math.ceil(total / per))
+    return max(1, math.ceil(total / (per * _growth(total, MOST_GROWTH))))
 
 
 def bucket_bits(total: int, per: int = BUCKET_BYTES, least: int = 4) -> int:
-    """log2 of the number of hash buckets; grows with the input so that a bucket's size stays the same."""
-    return max(least, math.ceil(math.log2(max(1, total / per))))
+    """log2 of the number of hash buckets; it follows the input, so that a bucket's size is bounded."""
+    return max(least, math.ceil(math.log2(max(1, total / (per * _growth(total, MOST_GROWTH / 2))))))
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,8 +7,8 @@ sidebars, notices, adverts, forms and comments by readers goes as well, and so d
 
 Plan.  Pass 1 parses pages (Arrow batches) and sends ``(host, hash)`` counts, pre-aggregated in each batch; the count is a
 partial aggregate, so a host with a third of all pages is no bottleneck.  Only recurring hashes are kept, and they return to
-their pages by a join on (host, page bucket): pass 2 parses again, deletes and writes text.  Template hashes of one host are
-few by nature: a hash must be on many pages to be kept.
+their pages by a join on (host, page bucket): pass 2 parses again, deletes and writes text.  The kept hashes of a host are at
+most five times as many as the elements of its average page, for each is on a fifth of its pages, or on five.
 
 Which block recurs: an element of at least ``LEAST_TEXT`` characters of text, or with a link, that is on at least
 ``LEAST_PAGES`` pages and on a share ``SHARE`` of the pages of its host.  An ``article`` or ``main`` element and what holds

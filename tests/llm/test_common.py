@@ -22,6 +22,9 @@ def test_scratch_is_dropped(spark):
 def test_counts_follow_the_input():
     assert chunks_for(0) == 1 and chunks_for(10 << 30) == 2560
     assert 2 ** bucket_bits(64 << 30) * (8 << 20) >= 64 << 30
+    huge = 100 << 40
+    assert huge / chunks_for(huge) <= 65 << 20 and huge / 2 ** bucket_bits(huge) <= 65 << 20
+    assert huge / chunks_for(huge) / 6 / 2 ** bucket_bits(huge) > 1  # hashes a row, at six bytes a word
 
 
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=30), max_size=20), st.integers(0, 3))
