@@ -5,7 +5,7 @@ Only what the documentation gives numbers for is here; weights of single checks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -69,3 +69,9 @@ def overall_score(scores: DataFrame, key: str, category: str, score: str) -> Dat
 def severity_counts(findings: DataFrame, key: str, severity: str = "severity") -> DataFrame:
     """Findings of each severity per audit, as columns ``n_critical`` to ``n_information``."""
     return findings.groupBy(key).agg(*[F.count_if(F.col(severity) == s).alias(f"n_{s.lower()}") for s in SEVERITIES])
+
+
+def top_findings(findings: DataFrame, key: str, order: list[str], n: int = 5, severity: str = "severity") -> DataFrame:
+    """The ``n`` most urgent findings of each audit, by priority and then ``order``, with their ``rank``."""
+    by = Window.partitionBy(key).orderBy(priority(F.col(severity)).asc_nulls_last(), *order)
+    return findings.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)

@@ -11,10 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import normalize_url
-from ..operators.evidence import page_evidence
+from ..config import Settings
+from ..functions.urls import authority, normalize_url
+from ..operators.evidence import evidence, page_evidence
 from ..operators.render import evidence_text, user_message
+from ..sources.captures import Getter, fetch, further_sitemaps, http_get, planned_requests
 from ..sources.guidance import Guidance
+from ..sources.reports import with_pdf
 
 #: Bounds of a request's URL in characters.
 SHORTEST_URL, LONGEST_URL = 3, 2048
@@ -48,8 +51,8 @@ def captured_evidence(pages: DataFrame, url: str = "url", html: str = "html", ke
     return page_evidence(home)
 
 
-def with_evidence_text(evidence: DataFrame) -> DataFrame:
-    return evidence.withColumn("evidence_text", evidence_text(F.col("base_url")))
+def with_evidence_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("evidence_text", evidence_text(F.col("base_url")))
 
 
 #: Takes system prompt, user message and evidence text; returns Markdown or raises.
@@ -90,12 +93,48 @@ def with_reports(texts: DataFrame, guidance: Guidance | None = None, provider: P
     return out.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).select("audit_id", "url", "markdown_report", "created_at", "report_error")
 
 
-def host_rollup(evidence: DataFrame) -> DataFrame:
-    """Per host: pages, those without title, description, canonical or first heading, and images without alternative text."""
-    from ..functions.urls import authority
+def results(reports: DataFrame) -> DataFrame:
+    """What the API answers per audit, from ``with_reports`` and ``with_pdf``: 202 with the report, or 502 and the error.
+
+    A report whose PDF failed is still a result; its download URL is empty.
+    """
+    failed = F.col("report_error").isNotNull()
+    return reports.select(
+        "audit_id",
+        "url",
+        F.when(failed, 502).otherwise(202).alias("http_status"),
+        "markdown_report",
+        F.when(failed, F.lit("")).otherwise(F.col("pdf_download_url")).alias("pdf_download_url"),
+        "created_at",
+        F.col("report_error").alias("detail"),
+    )
+
+
+def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter = http_get, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "") -> dict[str, DataFrame]:
+    """The whole chain for raw URLs (column ``url``): ``rejects, resources, evidence, reports`` and ``results``.
 
+    What calls out, requests and the provider, is written below ``path`` before anything reads it, so that neither a retried
+    task nor a second use of the result calls twice for what is there.
+    """
+    spark = requests.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    checked = checked_urls(requests)
+    audits = accepted(checked).select(audit_id(F.col("normalized_url"), snapshot).alias("audit_id"), F.col("normalized_url").alias("url")).dropDuplicates(["audit_id"])
+    first = kept(fetch(planned_requests(audits), settings, get), "first")
+    resources = first.unionByName(kept(fetch(further_sitemaps(first), settings, get), "further"))
+    found = kept(evidence(resources), "evidence")
+    reports = kept(with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot), "reports")
+    return {"rejects": rejected(checked), "resources": resources, "evidence": found, "reports": reports, "results": results(with_pdf(reports))}
+
+
+def host_rollup(rows: DataFrame) -> DataFrame:
+    """Per host: pages, those without title, description, canonical or first heading, and images without alternative text."""
     missing = lambda c: F.count_if(F.col(c).isNull())
-    return evidence.groupBy(authority(F.col("base_url")).alias("host")).agg(
+    return rows.groupBy(authority(F.col("base_url")).alias("host")).agg(
         F.count("*").alias("n_pages"),
         missing("page_title").alias("n_no_title"),
         missing("meta_description").alias("n_no_description"),

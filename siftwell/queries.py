@@ -16,7 +16,7 @@ from .operators import scoring
 from .operators.blocks import cover_blocks, md_blocks
 from .operators.evidence import evidence
 from .operators.html import parsed
-from .plans.audit import captured_evidence, checked_urls, host_rollup, rejected, with_evidence_text, with_reports
+from .plans.audit import captured_evidence, checked_urls, host_rollup, rejected, results, with_evidence_text, with_reports
 from .sources.captures import fetch_summary, further_sitemaps, planned_requests
 from .sources.reports import find_report, pdf_name, pdf_url
 
@@ -278,6 +278,24 @@ def severity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(worst, "o_custkey")
 
 
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = "case o_orderpriority when '1-URGENT' then 'Critical' when '2-HIGH' then 'High' when '3-MEDIUM' then 'Medium' when '4-NOT SPECIFIED' then 'Low' else 'Information' end"
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr(s).alias("severity"))
+    return scoring.top_findings(o, "o_custkey", ["o_orderkey"]).select("o_custkey", "o_orderkey", "severity", scoring.deadline(F.col("severity")).alias("deadline"), F.col("rank").cast("long").alias("rank"))
+
+
+def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all suppliers' audits with a provider that has no answer for every fifth."""
+
+    def provider(system: str, message: str, text: str) -> str:
+        key = int(text.split("https://shop", 1)[1].split(".", 1)[0])
+        return "" if key % 5 == 0 else f"# Report {key}"
+
+    e = with_evidence_text(evidence(_shop_resources(spark, sf_dir))).select("base_url", "evidence_text")
+    r = with_reports(e, provider=provider).withColumn("pdf_download_url", pdf_url(F.col("audit_id"), F.lit(True)))
+    return results(r).select("audit_id", "url", F.col("http_status").cast("int").alias("http_status"), "markdown_report", "pdf_download_url", "detail")
+
+
 def host_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rollup(_pages(spark, sf_dir))
 
@@ -301,7 +319,7 @@ _ABSOLUTE = "list_sort(list_distinct(list_transform(hrefs, lambda h: regexp_extr
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_rejects, page_title, page_language, headings, links_exploded, link_counts, images_alt_counts, page_metadata, link_classes, evidence_text, fetch_summaries,
     requests_planned, robots_rules, robots_blocks_root, robots_sitemaps, sitemap_loc_count, report_lookup, report_markdown, report_blocks, report_cover, md_blocks_of_conversations, category_scores,
-    severity_table, host_summary, meta_tags, pdf_links,
+    severity_table, top_findings, api_results, host_summary, meta_tags, pdf_links,
 )}
 
 ORACLES = {
@@ -346,6 +364,13 @@ ORACLES = {
     "severity_table": """WITH o AS (SELECT o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END AS p FROM orders)
       SELECT o_custkey, count(*) FILTER (p = 1) AS n_critical, count(*) FILTER (p = 2) AS n_high, count(*) FILTER (p = 3) AS n_medium, count(*) FILTER (p = 4) AS n_low, count(*) FILTER (p = 5) AS n_information,
         min(p)::INTEGER AS first_priority, round(sum(CASE p WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 WHEN 3 THEN 0.4 WHEN 4 THEN 0.15 ELSE 0.0 END::DOUBLE), 6) AS deduction FROM o GROUP BY o_custkey""",
+    "top_findings": """WITH o AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END AS p FROM orders),
+      r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) AS rank FROM o)
+      SELECT o_custkey, o_orderkey, ['Critical', 'High', 'Medium', 'Low', 'Information'][p] AS severity, ['Fix Immediately', 'Fix This Week', 'Fix This Month', 'Future Optimisation', 'Monitor Only'][p] AS deadline, rank FROM r WHERE rank <= 5""",
+    "api_results": """SELECT sha256('https://shop' || s_suppkey || '.example.com|') AS audit_id, 'https://shop' || s_suppkey || '.example.com' AS url, CASE WHEN s_suppkey % 5 = 0 THEN 502 ELSE 202 END::INTEGER AS http_status,
+      CASE WHEN s_suppkey % 5 <> 0 THEN '# Report ' || s_suppkey END AS markdown_report,
+      CASE WHEN s_suppkey % 5 <> 0 THEN '/api/v1/audits/' || sha256('https://shop' || s_suppkey || '.example.com|') || '/pdf' ELSE '' END AS pdf_download_url,
+      CASE WHEN s_suppkey % 5 = 0 THEN 'the provider returned no text' END AS detail FROM supplier""",
     "host_summary": f"""SELECT regexp_extract(lower(url), '^https?://([^/?#]*)', 1) AS host, count(*) AS n_pages, 0::BIGINT AS n_no_title, count(*) AS n_no_description, count(*) AS n_no_canonical, 0::BIGINT AS n_no_h1,
       sum(n)::BIGINT AS n_internal_links, 0::BIGINT AS n_images_missing_alt FROM (SELECT url, page_id, len({_ABSOLUTE}) AS n FROM (SELECT page_id, url, base, hrefs FROM (SELECT *, {_PAGE_URL} AS base, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))) GROUP BY 1""",
     "meta_tags": "SELECT s_suppkey, 'T' || s_suppkey AS og_title, 'noindex' AS robots_meta FROM supplier",

@@ -167,3 +167,28 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = with_evidence_text(captured_evidence(df)).select("audit_id", "evidence_text").collect()
     assert sorted(spark.read.parquet(str(tmp_path / "out")).select("audit_id", "evidence_text").collect()) == sorted(batch)
+
+
+def test_whole_chain(spark, tmp_path):
+    from siftwell.plans.audit import audit_sites
+
+    def get(url, timeout, redirects):
+        body = {"https://e.com/robots.txt": "Sitemap: https://e.com/2.xml", "https://e.com": "<title>e</title>", "https://e.com/2.xml": "<loc>"}.get(url, "")
+        status = 200 if body else 404
+        return {"final_url": url, "status_code": status, "content": body, "is_success": status == 200, "is_fetched": True, "error_message": ""}
+
+    urls = spark.createDataFrame([("e.com",), (" https://E.com/ ",), ("f.com",), ("nodots",)], "url string")
+    got = audit_sites(urls, str(tmp_path / "run"), read_settings(), get, snapshot="1")
+    assert [x.http_error for x in got["rejects"].collect()] == [400]
+    assert got["resources"].count() == 7
+    e = {x.base_url: x for x in got["evidence"].collect()}
+    assert e["https://e.com"].page_title == "e" and [s.url_count for s in e["https://e.com"].sitemaps] == [0, 1] and e["https://f.com"].http_status == 404
+    r = got["results"].collect()
+    assert {x.http_status for x in r} == {202} and len(r) == 2
+    assert all(x.markdown_report.startswith("# SEO Audit Report") and x.pdf_download_url == f"/api/v1/audits/{x.audit_id}/pdf" for x in r)
+
+
+def test_top_findings(spark):
+    rows = [("a", s, i) for i, s in enumerate(["Low", "Critical", "High", "Critical", "Medium", "Information", None])]
+    got = scoring.top_findings(spark.createDataFrame(rows, "k string, severity string, i int"), "k", ["i"], 3).orderBy("rank").collect()
+    assert [(x.severity, x.i) for x in got] == [("Critical", 1), ("Critical", 3), ("High", 2)]
