@@ -223,20 +223,37 @@ def _node_pairs(percent: int, across: bool):
     return run
 
 
-def _rows_agree(percent: int):
-    """How many tokens agree with the pivot's, row by row, and whether the pair passes."""
+def _stars(percent: int):
+    """Members against the pivot of their block of a node: how many tokens agree, and whether the pair passes."""
 
-    def run(batches):
-        for t in batches:
-            x, y = _unpack(t.column("sig")), _unpack(t.column("pivot_sig"))
-            n = np.concatenate([t.column("n_shingles").to_numpy(), t.column("pivot_n").to_numpy()])
-            m = t.num_rows
-            good, same = _agree(np.concatenate([x, y]), n, np.arange(m), np.arange(m) + m, percent)
-            yield pa.record_batch([t.column("node"), t.column("pivot"), t.column("k"), pa.array(same), pa.array(good)], names=["node", "a", "b", "same", "good"])
+    def run(key, table):
+        table = table.sort_by([("node", "ascending"), ("part", "ascending"), ("is_pivot", "descending"), ("k", "ascending")])
+        node, part, k, n = (table.column(c).to_numpy() for c in ("node", "part", "k", "n_shingles"))
+        pivot = table.column("is_pivot").to_numpy()
+        sig = _unpack(table.column("sig"))
+        head = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])]))
+        of = np.repeat(head, np.diff(np.append(head, len(node))))
+        i = np.flatnonzero(~pivot & pivot[of] & (k != k[of]))
+        good, same = _agree(sig, n, i, of[i], percent)
+        return pa.table({"node": node[i], "a": k[of[i]], "b": k[i], "same": same, "good": good})
 
     return run
 
 
+def _star(members: DataFrame, pivots: DataFrame, percent: int, deals: int) -> DataFrame:
+    """``(node, a, b, same, good)`` of every member with its node's pivot.
+
+    Members stay in blocks of about ``BLOCK``, and each block gets a copy of the pivot, so a node with a third of all members
+    is spread over as many blocks as it needs.  ``pivots``: the members that are pivots.
+    """
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    columns = ["node", "part", "is_pivot", "k", "n_shingles", "sig"]
+    rows = members.withColumn("part", F.pmod(F.xxhash64("k"), parts).cast("int")).withColumn("is_pivot", F.lit(False)).select(*columns)
+    copies = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("is_pivot", F.lit(True)).select(*columns)
+    deal = F.pmod(F.xxhash64("node", "part"), F.lit(deals)).cast("int")
+    return rows.unionByName(copies).withColumn("deal", deal).groupBy("deal").applyInArrow(_stars(percent), "node long, a long, b long, same int, good boolean")
+
+
 def _sets_of(n: int):
     def run(batches):
         for batch in batches:
@@ -318,15 +335,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small, large = nodes.filter(F.col("size") <= SMALL), nodes.filter(F.col("size") > SMALL)
     forest = small.join(facts, "k").select("node", "k", "n_shingles", "sig", F.lit(0).cast("long").alias("root"), deal.alias("deal")).groupBy("deal").applyInArrow(_node_pairs(percent, False), "a long, b long")
     members = materialize(large.join(facts, "k"), "members")
-    pivots = facts.select(F.col("k").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
-    star = "node long, a long, b long, same int, good boolean"
-    one = materialize(members.filter("k <> pivot").join(pivots, "pivot").mapInArrow(_rows_agree(percent), star), "star")
-    middle = one.groupBy("node").agg(F.max_by("b", F.struct("same", "b")).alias("pivot"))
-    two = members.drop("pivot").join(middle, "node").filter("k <> pivot").join(pivots, "pivot").mapInArrow(_rows_agree(percent), star)
+    deals = max(1, members.count() // 4_000)
+    one = materialize(_star(members, members.filter("k = pivot"), percent, deals), "star")
+    middle = one.groupBy("node").agg(F.max_by("b", F.struct("same", "b")).alias("k"))
+    two = _star(members, members.join(middle, ["node", "k"]), percent, deals)
     star = one.unionByName(two).filter("good").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(forest.unionByName(star).distinct(), "links")
 
-    links = _confirmed(pairs, sketch, first, shingle, percent)
+    links = _confirmed(first, _sets(pairs, sketch, _ends(first), shingle), percent)
     comp = materialize(connected_components(links), "components")
 
     # Nodes that hold several components still.
@@ -350,10 +366,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = tested.join(facts, "k").select("node", "k", "n_shingles", "sig", "root", deal.alias("deal")).groupBy("deal").applyInArrow(_node_pairs(percent, True), "a long, b long").distinct()
     more = materialize(across.join(first, ["a", "b"], "left_anti"), "links")
     found = [links]
-    if not more.isEmpty():
-        found.append(_confirmed(pairs, sketch, more, shingle, percent))
-    if not crowd.isEmpty():
-        sets = _sets(pairs, sketch, crowd.select("k").distinct(), shingle)
+    if not (more.isEmpty() and crowd.isEmpty()):
+        sets = _sets(pairs, sketch, _ends(more).unionByName(crowd.select("k")).distinct(), shingle)
+        found.append(_confirmed(more, sets, percent))
         whole = materialize(crowd.join(facts, "k").join(sets, "k").withColumn("outside", F.col("size") - F.col("in_main")), "crowd")
         blocks = _packed(whole.filter("root <> main"), "outside", "few").join(_packed(whole, "size", "many"), "node")
         found.append(materialize(blocks.select("few", "many").mapInArrow(_blocks_compared(percent), "a long, b long"), "confirmed"))
@@ -377,10 +392,12 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return docs.withColumn("__kept_row", row).join(keep, "__kept_row", "left_semi").dropDuplicates(["__kept_row"]).drop("__kept_row")
 
 
-def _confirmed(pairs: DataFrame, sketch: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links that hold on the full sets, which are made again from the texts of the vertices concerned."""
-    ends = links.select(F.col("a").alias("k")).unionByName(links.select(F.col("b").alias("k"))).distinct()
-    sets = _sets(pairs, sketch, ends, shingle)
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("k")).unionByName(links.select(F.col("b").alias("k"))).distinct()
+
+
+def _confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that hold on the full sets."""
     full = links.join(sets.select(F.col("k").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("k").alias("b"), F.col("items").alias("items_b")), "b")
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
