@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-#: Where the files lie below the root, and the heading of each in the combined prompt, in its order.
+#: Where the files lie below the root unless the caller says otherwise, and (fixed values) the heading of each in the combined
+#: prompt, in its order.
 FILES = {
-    "ai_guidelines": ("docs/AI_REPORT_GUIDELINES.md", "## AI Report Guidelines"),
-    "seo_skill": (".agents/skills/seo-audit-skill/SKILL.md", "## SEO Audit Methodology (Skill)"),
-    "report_specification": ("docs/REPORT_SPECIFICATION.md", "## Report Structure Specification"),
-    "audit_prompt": (".github/prompts/seo_audit.prompt.md", "## Audit Prompt"),
+    "ai_guidelines": ("guidance/ai_guidelines.md", "## AI Report Guidelines"),
+    "seo_skill": ("guidance/methodology.md", "## SEO Audit Methodology (Skill)"),
+    "report_specification": ("guidance/report_specification.md", "## Report Structure Specification"),
+    "audit_prompt": ("guidance/audit_prompt.md", "## Audit Prompt"),
 }
 PLACEHOLDER = "{{website_url}}"
 BETWEEN = "\n\n---\n\n"
@@ -43,9 +44,11 @@ class Guidance:
         return F.concat(F.lit(f"{head}{BETWEEN}{FILES['audit_prompt'][1]}\n\n"), prompt)
 
 
-def read_guidance(root: str | Path) -> Guidance:
+def read_guidance(root: str | Path, places: dict[str, str] | None = None) -> Guidance:
+    """All four files, whole; ``places`` overrides where some of them lie below the root."""
     found = {}
     for name, (place, _) in FILES.items():
+        place = (places or {}).get(name, place)
         path = Path(root) / place
         if not path.is_file():
             raise FileNotFoundError(f"Required guidance file not found: {path} (expected at {place} below the root)")

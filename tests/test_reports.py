@@ -88,11 +88,13 @@ def test_pdf(spark):
 
 
 def test_guidance(spark, tmp_path):
-    with pytest.raises(FileNotFoundError, match="AI_REPORT_GUIDELINES"):
+    with pytest.raises(FileNotFoundError, match="ai_guidelines"):
         read_guidance(tmp_path)
     for name, (place, _) in FILES.items():
         (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / place).write_text(f"{name} {{{{website_url}}}}\n", encoding="utf-8")
+    (tmp_path / "other.md").write_text("elsewhere", encoding="utf-8")
+    assert read_guidance(tmp_path, {"seo_skill": "other.md"}).seo_skill == "elsewhere"
     g = read_guidance(tmp_path)
     prompt = g.system_prompt("https://e.com")
     assert prompt.startswith("## AI Report Guidelines\n\nai_guidelines {{website_url}}\n\n\n---\n\n## SEO Audit Methodology (Skill)\n\n")
