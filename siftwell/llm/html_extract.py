@@ -121,6 +121,11 @@ def parse(page: str) -> Node:
                         break
                 elif t in _BARRIER:
                     break
+        if tag in _MAIN:  # a menu that was never closed doesn't swallow the article
+            for i in range(1, len(open_)):
+                if open_[i].tag == "nav":
+                    del open_[i:]
+                    break
         node = Node(tag, m[3])
         open_[-1].children.append(node)
         if tag in _VOID or m[3].endswith("/"):

@@ -8,6 +8,7 @@ the documents with the smallest keys are taken while their summed sizes stay nea
 Plan.  No source is ever sorted as a whole, for one may hold a third of all rows.  Keys are cut into ``bins`` by the
 exponential distribution of the source's mean weight, bins are summed (partial aggregates), bin sums are prefix-summed, and
 only the one bin of each source in which the budget ends is ordered by row.  The bins of a source are ``bins`` rows at most.
+The shares are worked out on one row per source.
 
 Defined cases: a null text has size 0 and is taken as often as its source's epochs ask, which adds no words; a null source is
 a source of its own, last in order; weights repeat over sources in code point order; ties of keys order by id, then by size,

@@ -21,6 +21,7 @@ NONE = frozenset()
         ("<article><p>x</p><aside>s</aside><section id='comments'><p>c</p></section><p>y</p></article>", "x\n\ny"),
         ("<html><head><title>t</title></head><body><p>one</p><p>two</p></body></html>", "one\n\ntwo"),
         ("<article><p>&lt;b&gt; stays</p></article>", "<b> stays"),
+        ("<nav><ul><li>menu<article><p>text</p></article>", "text"),
         ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
     ],
 )
