@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     facts = vertex.select("k", "n_shingles", "sig")
     nodes = vertex.select("k", "sig").mapInArrow(_root_nodes(trees), "node long, k long")
-    size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("pivot")).filter("size > 1")
+    # A table of its own, so that the join's sides are plain exchanges, whose large partitions Spark can split.
+    size = materialize(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("k").alias("pivot")).filter("size > 1"), "sizes")
     nodes = materialize(nodes.join(size, "node"), "nodes")
 
     buckets = max(1, nodes.count() // 4_000)
@@ -353,7 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Of each node, how many rows each component has: mixed ones only.
         part = cur.groupBy("node", "root").agg(F.count("*").alias("c"))
         mixed = part.groupBy("node").agg(F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("in_main"), F.count("*").alias("roots")).filter("roots > 1")
-        cur = materialize(cur.select("node", "k", "root").join(mixed.select("node", "size", "main", "in_main"), "node"), "mixed")
+        mixed = materialize(mixed.select("node", "size", "main", "in_main"), "mixed")
+        cur = materialize(cur.select("node", "k", "root").join(mixed, "node"), "mixed")
         leaves.append(cur.filter(F.col("size") <= SMALL))
         cur = cur.filter(F.col("size") > SMALL)
         dense = F.lit(turn == MAX_ROUNDS) | (2 * F.col("in_main") >= F.col("size"))
