@@ -96,7 +96,9 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles",
 
 
 def _set_key(s: np.ndarray) -> int:
-    return int(B.mix(np.array([(int(B.mix(s * np.uint64(3)).sum()) + 0x9E3779B97F4A7C15 * len(s)) & ((1 << 64) - 1)], np.uint64)).view(np.int64)[0])
+    """A 64-bit name of the set, from the sum of its items' hashes and their number."""
+    total = int(B.mix(s * np.uint64(3)).sum()) + 0x9E3779B97F4A7C15 * len(s)
+    return int(B.mix(np.array([total & ((1 << 64) - 1)], np.uint64)).view(np.int64)[0])
 
 
 def _sketch(n: int):
@@ -375,7 +377,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks = _packed(whole.filter("root <> main"), "outside", "few").join(_packed(whole, "size", "many"), "node")
         found.append(materialize(blocks.select("few", "many").mapInArrow(_blocks_compared(percent), "a long, b long"), "confirmed"))
     if len(found) > 1:
-        comp = materialize(connected_components(_all(found)), "components")
+        stars = comp.select(F.col("k").alias("a"), F.col("root").alias("b"))
+        comp = materialize(connected_components(_all([stars, *found[1:]])), "components")
 
     label = vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = label.groupBy("root").agg(F.min("least").alias("component_id"))
