@@ -44,7 +44,7 @@ COORDINATES = 128
 #: Standard deviations of the agreement of minwise tokens by which a pair may lie below the threshold.
 SIGMAS = 3.1
 #: Members up to which a node is compared exhaustively.
-SMALL = 48
+SMALL = 128
 #: Branching steps between two counts of the nodes.
 STEPS = 4
 #: Counts of the nodes after which what is still large is compared block by block.
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(forest.unionByName(star).distinct(), "links")
 
     links = _confirmed(first, _sets(pairs, sketch, _ends(first), shingle), percent)
-    comp = materialize(connected_components(links), "components")
+    comp = connected_components(links)
 
     # Nodes that hold several components still.
     rooted = materialize(nodes.join(comp, "k", "left").select("node", "k", "size", F.coalesce("root", "k").alias("root")), "rooted")
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found.append(materialize(blocks.select("few", "many").mapInArrow(_blocks_compared(percent), "a long, b long"), "confirmed"))
     if len(found) > 1:
         stars = comp.select(F.col("k").alias("a"), F.col("root").alias("b"))
-        comp = materialize(connected_components(_all([stars, *found[1:]])), "components")
+        comp = connected_components(_all([stars, *found[1:]]))
 
     label = vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
     low = label.groupBy("root").agg(F.min("least").alias("component_id"))
