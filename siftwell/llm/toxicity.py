@@ -133,6 +133,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _parts(rows: list[tuple[int, np.ndarray]], by: int = 1000):
+    """Row number, label and feature of all entries, for a thousand rows at a time: the whole would be some 100 MB an array."""
+    for i in range(0, len(rows), by):
+        part = rows[i : i + by]
+        size = [len(r[1]) for r in part]
+        yield np.repeat(np.arange(i, i + len(part)), size), np.repeat([float(r[0]) for r in part], size), np.concatenate([r[1] for r in part]).astype(np.int64)
+
+
 def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual: float = 1.0, l2: float = 1.0, steps: int = 300) -> Model:
     """``rows``: label and sorted places in ``hashes`` of each labelled text."""
     n = len(rows)
@@ -140,9 +148,11 @@ def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    row, item = np.repeat(np.arange(n), [len(r[1]) for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.int64)
     m = len(hashes)
-    pos, all_ = np.bincount(item, y[row], m), np.bincount(item, minlength=m).astype(float)
+    pos, all_ = np.zeros(m), np.zeros(m)
+    for _, label, item in _parts(rows):
+        pos += np.bincount(item, label, m)
+        all_ += np.bincount(item, minlength=m)
     # Signed chi-square of each feature; identity terms stay in whatever it is, for the penalty to hold them.
     rate = y.mean()
     spread = np.maximum(all_ * rate * (1 - rate) * (1 - all_ / (n + 1)), 1e-9)
@@ -160,15 +170,19 @@ def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual
     keep = np.sort(keep[np.argsort(-(chi[keep] + held[keep] * 1e12), kind="stable")[:MOST_FEATURES]])
     new = np.full(m, -1)
     new[keep] = np.arange(len(keep))
-    ok = new[item] >= 0
-    row, item = row[ok], new[item[ok]]
+    kept_rows, kept_items = [], []
+    for place_, _, item in _parts(rows):
+        ok = new[item] >= 0
+        kept_rows.append(place_[ok])
+        kept_items.append(new[item[ok]])
+    row, item = np.concatenate(kept_rows), np.concatenate(kept_items)
     # The change of a text's features when a term in it is swapped, and how many texts there are of each.
     pairs = []
     has = [set() for _ in range(len(keep))] if held[keep].any() else []
     if has:
-        for r, i in zip(row.tolist(), item.tolist(), strict=True):
-            if held[keep[i]]:
-                has[i].add(r)
+        named = held[keep][item]
+        for r, i in zip(row[named].tolist(), item[named].tolist(), strict=True):
+            has[i].add(r)
     for x, z in swaps:
         for mine, other in ((x, z), (z, x)):
             mine, other = [new[i] for i in mine if new[i] >= 0], [new[i] for i in other if new[i] >= 0]
