@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passages.  A text's tokens (runs of letters and digits, lower-cased) fall into blocks of ``BLOCK``; two and four
-   consecutive blocks are passages of two sizes, one block apart, so that an item of any length lies mostly in one of them.
+   consecutive blocks are passages of two sizes, one block apart.  An item longer than the larger size is searched as a whole
+   and by segments of at most ``SEGMENT`` tokens, each of which lies wholly in one of the larger passages.
 2. TF-IDF over ``BINS`` hashed tokens; document frequencies are counted over all blocks of all documents.
 3. Distributed randomised SVD of all passages: every task adds up ``A'(A G)`` for a Gaussian ``G`` of ``RANK`` columns; the
    sums, of fixed size, are added in two levels, and a Nystroem step on the driver gives singular values and vectors.
 4. Search: passages and items meet in the latent space, scaled by the singular values; pairs with a cosine of ``COSINE`` are
    candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.  A
-   candidate whose passage holds under ``COVER`` of the item's weight in tokens can't pass the next step and goes.
+   candidate goes if its surroundings, those that the next step reads, hold fewer tokens of the item than that step asks for.
 5. Check: the longest common subsequence of the item's tokens and the candidate's surroundings.  A pair counts as a leak if
    it covers ``SURE`` of the item, or ``LIKELY`` of it with the item's answer (what follows its last question mark or answer
    mark, else its last fifth) covered by ``ANSWER``.
@@ -37,14 +38,14 @@ BLOCK = 12
 BINS = 1 << 14
 RANK = 80
 COSINE = 0.42
-#: Least share of an item's tokens, by weight, in a passage of a candidate.
-COVER = 0.3
 #: Logarithm of twenty.
 COMMON = 3.0
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.6
 SHORTEST = 5
 ITEMS = 4096
 LONG_ITEM = 28
+#: Tokens of an item's segment at most: with any beginning, it ends within four blocks.
+SEGMENT = 3 * BLOCK
 
 _KEPT = np.zeros(256, bool)
 _KEPT[128:] = _KEPT[65:91] = _KEPT[97:123] = _KEPT[48:58] = True
@@ -243,33 +244,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def _covered(weight: np.ndarray, token: np.ndarray, doc: np.ndarray, b: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
-    """The weight of item ``m``'s tokens in the passage of ``width`` blocks from block ``b`` on; ``token``: blocks by row."""
-    out = np.zeros(len(b), np.float32)
-    for i in range(0, len(b), 1 << 15):
-        bb, mm = b[i : i + (1 << 15)], m[i : i + (1 << 15)]
-        for k in range(width):
-            at = np.minimum(bb + k, len(doc) - 1)
-            inside = (doc[at] == doc[bb]) & (bb + k < len(doc))
-            out[i : i + (1 << 15)] += weight[token[at], mm[:, None]].sum(1) * inside
-    return out
+def _segments(n: int) -> list[tuple[int, int]]:
+    """Where the probes of an item of ``n`` tokens begin and end: the whole, and the segments of one longer than a passage."""
+    parts = -(-n // SEGMENT) if n > 4 * BLOCK else 0
+    return [(0, n), *((n * i // parts, n * (i + 1) // parts) for i in range(parts))]
+
+
+def _least(n: int) -> float:
+    """Common tokens below which an item of ``n`` tokens can't leak."""
+    return n if n < SHORTEST else min(SURE, LIKELY) * n
+
+
+class _Held:
+    """How many tokens of each item occur in the surroundings of a block: what its common subsequence can't exceed."""
+
+    def __init__(self, bins: list[np.ndarray]):
+        self.distinct = np.array([len(np.unique(x)) for x in bins])
+        # Of each item its tokens' own numbers, and how often the item has them; the last number is for all others.
+        most = int(self.distinct.max())
+        self.number = np.full((BINS + 1, len(bins)), most, np.min_scalar_type(most))
+        self.times = np.zeros((len(bins), most), np.int32)
+        for i, x in enumerate(bins):
+            own, times = np.unique(x, return_counts=True)
+            self.number[own, i], self.times[i, : len(own)] = np.arange(len(own)), times
+
+    def count(self, token: np.ndarray, doc: np.ndarray, b: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For blocks ``b - low`` to ``b + high - 1`` of the text, and item ``m``; ``token``: blocks by row."""
+        out, order, i = np.zeros(len(b), np.int64), np.argsort(self.distinct[m], kind="stable"), 0
+        while i < len(b):
+            wide = int(self.distinct[m[order[i : i + (1 << 14)]]].max())
+            part = order[i : i + max(1, min(1 << 14, (1 << 22) // wide))]
+            i += len(part)
+            at, last, mine, text = b[part] - low[part], b[part] + high[part], m[part], doc[b[part]]
+            there, row = np.zeros((len(part), wide + 1), bool), np.arange(len(part))
+            while len(row):
+                row = row[at[row] < last[row]]
+                inside = (at[row] >= 0) & (at[row] < len(doc))
+                here = row[inside]
+                here = here[doc[at[here]] == text[here]]
+                there[here[:, None], np.minimum(self.number[token[at[here]], mine[here, None]], wide)] = True
+                at += 1
+            out[part] = (there[:, :wide] * self.times[mine, :wide]).sum(1)
+        return out
 
 
 def _search(shared, cosine: float):
     def run(batches):
-        table, weights, raw = shared.value
+        table, raw = shared.value
         items = [Item(i, t) for i, t in raw]
         items = [x for x in items if x.n]
         if not items:
             return
         bins = [np.array(x.tokens, np.uint64) & np.uint64(BINS - 1) for x in items]
-        latent = _unit(np.stack([table[x].sum(0) for x in bins]))
-        share = np.zeros((BINS + 1, len(items)), np.float32)
-        for i, x in enumerate(bins):
-            own = np.unique(x).astype(np.int64)
-            share[own, i] = weights[own] / weights[own].sum()
+        held = _Held(bins)
+        least, around = (np.array(x) for x in zip(*((_least(x.n), -(-x.n // BLOCK)) for x in items), strict=True))
+        probes = [(i, bins[i][low:high]) for i, x in enumerate(items) for low, high in _segments(x.n)]
+        latent, of = _unit(np.stack([table[x].sum(0) for _, x in probes])), np.array([i for i, _ in probes])
+        long = np.array([len(x) >= LONG_ITEM or len(x) < items[i].n for i, x in probes])
         padded = _with_zero(table)
-        groups = [(2, np.array([i for i, x in enumerate(items) if x.n < LONG_ITEM], np.int64)), (4, np.array([i for i, x in enumerate(items) if x.n >= LONG_ITEM], np.int64))]
+        groups = [(2, np.flatnonzero(~long)), (4, np.flatnonzero(long))]
         for batch in batches:
             for part in slabs(batch, most=1 << 20):
                 h, first = tokens(part.column("text"))
@@ -288,8 +321,13 @@ def _search(shared, cosine: float):
                         continue
                     near = _unit(x) @ latent[mine].T
                     b, m = np.divmod(np.flatnonzero(near >= cosine), len(mine))
-                    c, m = near[b, m], mine[m]
-                    good = _covered(share, token, doc, b, m, width) >= COVER
+                    c, m = near[b, m], of[mine[m]]
+                    if len(near):
+                        # Of an item's probes in one passage, the nearest.
+                        order = np.lexsort((-c, m, b))
+                        order = order[np.concatenate([[True], (np.diff(b[order]) != 0) | (np.diff(m[order]) != 0)])[: len(order)]]
+                        b, m, c = b[order], m[order], c[order]
+                    good = held.count(token, doc, b, m, around[m], width + around[m]) >= least[m]
                     b, m, c = b[good], m[good], c[good]
                     for i in np.argsort(-c, kind="stable").tolist():
                         d, k = int(doc[b[i]]), int(m[i])
@@ -318,13 +356,13 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
-    table, _, weights = latent_space(rows.select("text"))
+    table, _, _ = latent_space(rows.select("text"))
     parts = max(1, -(-items.count() // ITEMS))
     out = None
     for i in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
         held = sorted((r.item_id, r.text) for r in block.collect() if r.item_id is not None)
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, weights, held)), cosine), RESULT)
+        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, held)), cosine), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -93,3 +93,19 @@ def test_singular_values(spark):
 @pytest.mark.parametrize("docs,items", [([], [(1, "a b c d e f")]), ([(1, "a b c d e f", "x")], []), ([], [])])
 def test_empty_tables(spark, docs, items):
     assert leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("n", [120, 200, 600])
+def test_long_items(spark, n):
+    """Verbatim, at 0.8 of the item, and at 0.6 with its answer: what the exact check accepts is found at any length."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    vocab = [word() for _ in range(6000)]
+    item = r.sample(vocab, n)
+    kept = lambda share: [w if i % 10 < 10 * share or i >= 0.8 * n else r.choice(vocab) for i, w in enumerate(item)]
+    text = lambda: [r.choice(vocab) for _ in range(150)]
+    docs = [(i, " ".join(text()), "x") for i in range(300)]
+    docs += [(900 + i, " ".join([*text(), *w, *text()]), "x") for i, w in enumerate([item, kept(0.8), kept(0.6)])]
+    df = spark.createDataFrame(docs, DOCS)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in leaked_items(df, bench).collect()} == {900, 901, 902}
