@@ -9,6 +9,8 @@
 4. Search: passages and items meet in the latent space, scaled by the singular values; pairs with a cosine of ``COSINE`` are
    candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.  A
    candidate goes if its surroundings, those that the next step reads, hold fewer tokens of the item than that step asks for.
+   Tokens in a twentieth of all blocks have no latent weight, and those a little rarer hardly any (``FAINT``), so an item of
+   which they make ``SURE`` meets all passages without the cosine, by the count of its tokens only.
 5. Check: the longest common subsequence of the item's tokens and the candidate's surroundings.  A pair counts as a leak if
    it covers ``SURE`` of the item, or ``LIKELY`` of it with the item's answer (what follows its last question mark or answer
    mark, else its last fifth) covered by ``ANSWER``.
@@ -40,6 +42,8 @@ RANK = 80
 COSINE = 0.42
 #: Logarithm of twenty.
 COMMON = 3.0
+#: Inverse frequency, after ``COMMON`` is taken off, up to which a token is too faint to be searched by.
+FAINT = 0.5
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.6
 SHORTEST = 5
 ITEMS = 4096
@@ -123,7 +127,7 @@ def _frequencies(batches):
 
 
 def _inverse(counts: np.ndarray) -> np.ndarray:
-    """Inverse document frequencies, less those of a term in a twentieth of all blocks, which carries nothing."""
+    """Inverse document frequencies, less those of a term in a twentieth of all blocks, which carries nothing: the search has a way of its own for them."""
     return (np.log((counts[-1] + 1.0) / (counts[:-1] + 1.0)) - COMMON).clip(0.0, None).astype(np.float32)
 
 
@@ -287,10 +291,24 @@ class _Held:
             out[part] = (there[:, :wide] * self.times[mine, :wide]).sum(1)
         return out
 
+    def everywhere(self, item: np.ndarray, block: np.ndarray, first: np.ndarray, last: np.ndarray, m: int) -> np.ndarray:
+        """For all blocks at once, with surroundings of blocks ``first`` to ``last - 1``; ``block``: that of each token of ``item``."""
+        out, own = np.zeros(len(first), np.int64), self.number[:, m].astype(np.int64)[item]
+        at = np.flatnonzero(own < self.distinct[m])
+        at = at[np.argsort(own[at], kind="stable")]
+        bound = np.searchsorted(own[at], np.arange(self.distinct[m] + 1))
+        for i in range(int(self.distinct[m])):
+            if bound[i] < bound[i + 1]:
+                there = np.zeros(len(first) + 1, np.int64)
+                there[block[at[bound[i] : bound[i + 1]]] + 1] = 1
+                there = np.cumsum(there)
+                out += self.times[m, i] * (there[last] > there[first])
+        return out
+
 
 def _search(shared, cosine: float):
     def run(batches):
-        table, raw = shared.value
+        table, weights, raw = shared.value
         items = [Item(i, t) for i, t in raw]
         items = [x for x in items if x.n]
         if not items:
@@ -301,8 +319,10 @@ def _search(shared, cosine: float):
         probes = [(i, bins[i][low:high]) for i, x in enumerate(items) for low, high in _segments(x.n)]
         latent, of = _unit(np.stack([table[x].sum(0) for _, x in probes])), np.array([i for i, _ in probes])
         long = np.array([len(x) >= LONG_ITEM or len(x) < items[i].n for i, x in probes])
+        faint = weights <= COMMON + FAINT + 0.1
+        plain = np.array([faint[x].sum() >= SURE * items[i].n for i, x in enumerate(bins)])
         padded = _with_zero(table)
-        groups = [(2, np.flatnonzero(~long)), (4, np.flatnonzero(long))]
+        groups = [(2, np.flatnonzero(~long & ~plain[of])), (4, np.flatnonzero(long & ~plain[of]))]
         for batch in batches:
             for part in slabs(batch, most=1 << 20):
                 h, first = tokens(part.column("text"))
@@ -315,6 +335,29 @@ def _search(shared, cosine: float):
                 token = np.where(step < size, item[np.minimum(at[:, None] + step, len(h) - 1)], BINS)
                 x = _gathered(padded, item, at)
                 out: dict[tuple[int, int], list] = {}
+
+                def check(width, b, m, c):
+                    for i in np.argsort(-c, kind="stable").tolist():
+                        d, k = int(doc[b[i]]), int(m[i])
+                        best = out.get((d, k))
+                        if best and best[1] >= items[k].n:
+                            continue
+                        low, high = max(first[d], at[b[i]] - items[k].n), min(first[d + 1], at[b[i]] + BLOCK * width + items[k].n)
+                        leak, got, answered = items[k].leaks(h[low:high].tolist())
+                        if leak and (best is None or got > best[1]):
+                            out[d, k] = [float(c[i]) if best is None else best[0], got, answered]
+
+                if plain.any():
+                    block, b0, b1 = np.repeat(np.arange(len(at)), size[:, 0]), np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+                for k in np.flatnonzero(plain).tolist():
+                    width = 2 if items[k].n < LONG_ITEM else 4
+                    b = np.arange(len(at))
+                    low, high = np.maximum(b - around[k], b0), np.minimum(b + width + around[k], b1)
+                    count = held.everywhere(item, block, low, high, k)
+                    # The fullest surroundings first.
+                    b = b[count >= least[k]]
+                    b = b[np.argsort(-count[b], kind="stable")]
+                    check(width, b, np.full(len(b), k), np.zeros(len(b), np.float32))
                 for width, mine in groups:
                     x = _sum_blocks(x, doc, width // 2)
                     if not len(mine):
@@ -329,15 +372,7 @@ def _search(shared, cosine: float):
                         b, m, c = b[order], m[order], c[order]
                     good = held.count(token, doc, b, m, around[m], width + around[m]) >= least[m]
                     b, m, c = b[good], m[good], c[good]
-                    for i in np.argsort(-c, kind="stable").tolist():
-                        d, k = int(doc[b[i]]), int(m[i])
-                        best = out.get((d, k))
-                        if best and best[1] >= items[k].n:
-                            continue
-                        low, high = max(first[d], at[b[i]] - items[k].n), min(first[d + 1], at[b[i]] + BLOCK * width + items[k].n)
-                        leak, got, answered = items[k].leaks(h[low:high].tolist())
-                        if leak and (best is None or got > best[1]):
-                            out[d, k] = [float(c[i]) if best is None else best[0], got, answered]
+                    check(width, b, m, c)
                 ids = part.column("doc_id")
                 rows = sorted(out)
                 yield pa.record_batch(
@@ -352,17 +387,20 @@ RESULT = "doc_id long, item_id long, item_tokens long, common long, answered boo
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE) -> DataFrame:
-    """One row for each document (row) and item found in it: ``doc_id, item_id, item_tokens, common, answered, cosine``."""
+    """One row for each document (row) and item found in it: ``doc_id, item_id, item_tokens, common, answered, cosine``.
+
+    The cosine is 0 for items that are searched by their tokens only.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).filter("text is not null")
-    table, _, _ = latent_space(rows.select("text"))
+    table, _, weights = latent_space(rows.select("text"))
     parts = max(1, -(-items.count() // ITEMS))
     out = None
     for i in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
         held = sorted((r.item_id, r.text) for r in block.collect() if r.item_id is not None)
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, held)), cosine), RESULT)
+        found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, weights, held)), cosine), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 

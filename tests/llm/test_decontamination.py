@@ -109,3 +109,22 @@ def test_long_items(spark, n):
     df = spark.createDataFrame(docs, DOCS)
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert {x.doc_id for x in leaked_items(df, bench).collect()} == {900, 901, 902}
+
+
+def test_small_tables(spark):
+    """In under 40 blocks every token is in a twentieth of them."""
+    docs = [(1, "clean words that say nothing of it at all and go on for a while", "x"), (2, "so it was: alpha beta gamma delta epsilon zeta eta, they said", "x")]
+    bench = spark.createDataFrame([(7, "Alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in leaked_items(spark.createDataFrame(docs, DOCS), bench).collect()] == [(2, 7)]
+
+
+def test_hot_item(spark):
+    """A third of all rows is the item, so its own tokens are in over a twentieth of all blocks."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    item = [word() for _ in range(20)]
+    docs = [(i, " ".join(item if i % 3 == 0 else [word() for _ in range(40)]), "x") for i in range(300)]
+    docs.append((900, " ".join([word() for _ in range(70)] + item + [word() for _ in range(70)]), "x"))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {x.doc_id for x in leaked_items(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert found == {i for i in range(0, 300, 3)} | {900}
