@@ -18,8 +18,8 @@
 All passes run over whole texts in Arrow batches; no pairs are shuffled.
 
 Defined cases: null or empty texts and items never match; an item of fewer than ``SHORTEST`` tokens is matched only as a
-whole contiguous run; repeated rows and equal items are reported row by row and item by item; an empty table on either side
-gives an empty result; other columns play no part.
+whole contiguous run; repeated rows and equal items are reported row by row and item by item, under a null id where theirs is
+null; an empty table on either side gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import materialize
+from ._common import NULL_ID, materialize
 from .near_dedup import slabs
 
 BLOCK = 12
@@ -399,14 +399,16 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for i in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else items
-        held = sorted((r.item_id, r.text) for r in block.collect() if r.item_id is not None)
+        held = sorted(((r.item_id, r.text) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         found = rows.mapInArrow(_search(spark.sparkContext.broadcast((table, weights, held)), cosine), RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of ``docs`` whose id has no leaked item; rows with a null id are kept if their text has none."""
-    bad = materialize(leaked_items(docs, benchmark, id_col, **more).select("doc_id").distinct(), "leaks")
-    bad = bad.select(F.col("doc_id").alias("__leaked_id"))
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__leaked_id")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of ``docs`` without a leaked item.  Rows are judged one by one, by id and text, whether or not others share their
+    id or it is null."""
+    row = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    rows = docs.select(row.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    bad = materialize(leaked_items(rows, benchmark, **more).select(F.col("doc_id").alias("__leaked_row")).distinct(), "leaks")
+    return docs.withColumn("__leaked_row", row).join(bad, "__leaked_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

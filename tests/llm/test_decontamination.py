@@ -128,3 +128,24 @@ def test_hot_item(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     found = {x.doc_id for x in leaked_items(spark.createDataFrame(docs, DOCS), bench).collect()}
     assert found == {i for i in range(0, 300, 3)} | {900}
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    docs, items, leaked = corpus(5, 60)
+    bad = {d for d, _ in leaked}
+    rows = [(None if i < 30 else 7, t, str(i)) for i, t, _ in docs]
+    df, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    found = {x.doc_id for x in leaked_items(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert len(found & bad) >= 0.9 * len(bad) and min(found) < 30 < max(found)
+    left = without_leaks(df, bench)
+    assert left.columns == df.columns
+    assert {int(x.item_id) for x in left.collect()} == {i for i, _, _ in docs} - found
+
+
+def test_items_with_a_null_id(spark):
+    docs, items, _ = corpus(5, 60)
+    df = spark.createDataFrame(docs, DOCS)
+    bench, nameless = (spark.createDataFrame(x, "item_id long, text string") for x in (items, [(None, t) for _, t in items]))
+    found = {x.doc_id for x in leaked_items(df, bench).collect()}
+    assert {(x.doc_id, x.item_id) for x in leaked_items(df, nameless).collect()} == {(d, None) for d in found}
+    assert {x.doc_id for x in without_leaks(df, nameless).collect()} == {d for d, _, _ in docs} - found
