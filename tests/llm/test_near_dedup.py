@@ -67,3 +67,24 @@ def test_matches_brute_force(spark, monkeypatch, seed, n, hot):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def form_texts(seed, pairs=600):
+    """Documents of one form: 160 words that all share and 40 of their own, of which both of a pair share 18 (0.802 alike)."""
+    r = random.Random(seed)
+    form = [f"f{i}" for i in range(160)]
+    rows = []
+    for i in range(pairs):
+        both = [f"b{i}x{j}" for j in range(18)]
+        for side in "lr":
+            w = form + both + [f"{side}{i}x{j}" for j in range(22)]
+            r.shuffle(w)
+            rows.append((2 * i + (side == "r"), " ".join(w)))
+    return rows
+
+
+def test_pairs_among_form_texts(spark, monkeypatch):
+    monkeypatch.setattr(module, "SMALL", 8)
+    got = near_duplicates(spark.createDataFrame(form_texts(1), "doc_id long, text string"), shingle=1).collect()
+    assert all(x.component_id in (x.doc_id, x.doc_id - x.doc_id % 2) for x in got)
+    assert sum(x.doc_id % 2 and x.component_id == x.doc_id - 1 for x in got) >= 0.995 * 600
