@@ -10,7 +10,8 @@
    candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.  A
    candidate goes if its surroundings, those that the next step reads, hold fewer tokens of the item than that step asks for.
    Tokens in a twentieth of all blocks have no latent weight, and those a little rarer hardly any (``FAINT``), so an item of
-   which they make ``SURE`` meets all passages without the cosine, by the count of its tokens only.
+   which they make ``SURE`` meets all passages without the cosine, by the count of its tokens only.  So does an item of fewer
+   than ``SHORTEST`` tokens, which are too small a part of any passage.
 5. Check: the longest common subsequence of the item's tokens and the candidate's surroundings.  A pair counts as a leak if
    it covers ``SURE`` of the item, or ``LIKELY`` of it with the item's answer (what follows its last question mark or answer
    mark, else its last fifth) covered by ``ANSWER``.
@@ -320,7 +321,7 @@ def _search(shared, cosine: float):
         latent, of = _unit(np.stack([table[x].sum(0) for _, x in probes])), np.array([i for i, _ in probes])
         long = np.array([len(x) >= LONG_ITEM or len(x) < items[i].n for i, x in probes])
         faint = weights <= COMMON + FAINT + 0.1
-        plain = np.array([faint[x].sum() >= SURE * items[i].n for i, x in enumerate(bins)])
+        plain = np.array([items[i].n < SHORTEST or faint[x].sum() >= SURE * items[i].n for i, x in enumerate(bins)])
         padded = _with_zero(table)
         groups = [(2, np.flatnonzero(~long & ~plain[of])), (4, np.flatnonzero(long & ~plain[of]))]
         for batch in batches:

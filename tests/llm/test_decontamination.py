@@ -149,3 +149,14 @@ def test_items_with_a_null_id(spark):
     found = {x.doc_id for x in leaked_items(df, bench).collect()}
     assert {(x.doc_id, x.item_id) for x in leaked_items(df, nameless).collect()} == {(d, None) for d in found}
     assert {x.doc_id for x in without_leaks(df, nameless).collect()} == {d for d, _, _ in docs} - found
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_short_items_in_long_texts(spark, n):
+    r = random.Random(n)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9))) for _ in range(3000)]
+    text = lambda: [r.choice(vocab) for _ in range(100)]
+    item = ["qqq", "rrrr", "sssss", "ttt"][:n]
+    docs = [(i, " ".join(text() + (item if i % 5 == 0 else item[:1] + text()[:1] + item[1:] if n > 1 else []) + text()), "x") for i in range(200)]
+    found = {x.doc_id for x in leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == set(range(0, 200, 5))
