@@ -24,9 +24,13 @@ group of thousands of near copies from becoming all its pairs:
 The token filter before confirming passes pairs ``SIGMAS`` standard deviations below the threshold, so it misses one true
 link in a thousand at the very threshold and fewer above.  All links meet ``100 * |A & B| >= percent * |A | B|`` on whole sets.
 
+Hot groups: every join is between written tables, so that both its sides are plain exchanges and Spark can split the
+partition of a set, or a component, that a third of all rows have.
+
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a text of fewer words than a
-shingle has its whole sequence as one shingle; rows with one id are judged row by row; null ids order last, and a component
-of null ids alone has a null component_id; other columns play no part.
+shingle has its whole sequence as one shingle; texts of any length are read whole; rows with one id are judged row by row, and
+repeated rows are equal sets; null ids order after every other id, and a component of null ids alone has a null component_id;
+an empty table gives an empty result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -36,11 +40,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import NULL_ID, id_and_text, materialize
+from ._common import LAST_ID, id_and_text, materialize
 from .components import connected_components
 
 COORDINATES = 128
@@ -327,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Also ``row``, a hash of the row's id and text, and ``root``, a number of the component, null for an empty set.
     """
-    pairs = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    pairs = id_and_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text", F.lit(1)))
     sketch = materialize(pairs.mapInArrow(_sketch(shingle), "doc_id long, row long, n_shingles long, k long, sig binary"), "sketch")
     # Equal sets become one vertex.
     vertex = materialize(
@@ -390,21 +394,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars = comp.select(F.col("k").alias("a"), F.col("root").alias("b"))
         comp = connected_components(_all([stars, *found[1:]]))
 
-    label = vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    low = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = label.join(low, "root").select("k", "root", "component_id", "n_equal")
-    out = sketch.select("doc_id", "row", "n_shingles", "k").join(label, "k", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return out.select(known("doc_id"), "n_shingles", known("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"), "row", "root")
+    label = materialize(vertex.select("k", "least", "n_equal").join(comp, "k", "left").withColumn("root", F.coalesce("root", "k")), "label")
+    low = materialize(label.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    label = materialize(label.join(low, "root").select("k", "root", "component_id", "n_equal"), "label")
+    known = sketch.filter("k is not null").select("doc_id", "row", "n_shingles", "k").join(label, "k")
+    alone = sketch.filter("k is null").select("doc_id", "row", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_equal"))
+    columns = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_equal", "row", "root"]
+    return known.select(*columns).unionByName(alone.select(*columns))
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns of a row; rows that agree in them are taken for the same."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return [F.xxhash64(every), F.xxhash64(every, F.lit(7))]
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10) -> DataFrame:
-    """The rows of ``docs`` but one of each group of near duplicates: that with the smallest id.  Empty sets all stay."""
-    found = materialize(near_duplicates(docs, id_col, text_col, shingle, percent, trees), "near")
-    keep = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)), "row")).alias("m")).select(F.col("m.row").alias("__kept_row"))
-    keep = keep.unionByName(found.filter("root is null").select(F.col("row").alias("__kept_row")).distinct())
-    row = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.withColumn("__kept_row", row).join(keep, "__kept_row", "left_semi").dropDuplicates(["__kept_row"]).drop("__kept_row")
+    """The rows of ``docs`` but one of each group of near duplicates: that with the smallest id.
+
+    Null ids order last.  Of rows with one id, the one with the smallest hash of all its columns stays; of rows that are equal
+    in every column one stays.  Rows of empty sets (null and empty texts, equal or not) all stay.  The columns of ``docs``
+    come back as they are, whatever their names.
+    """
+    first, second = row_key(docs)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), first.alias("h"), second.alias("g"))
+    # Each different row once, with its number: what is decided about it holds for all its copies.
+    once = held.select(F.col("r").getField(id_col).cast("long").alias("doc_id"), F.col("r").getField(text_col).cast("string").alias("text"), "h", "g")
+    found = materialize(near_duplicates(once.select("doc_id", "text"), "doc_id", "text", shingle, percent, trees).filter("root is not null").select(F.col("row").alias("of_row"), F.col("doc_id").alias("of_id"), "root").distinct(), "near")
+    mine = once.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(1)).alias("row"), "doc_id", "h", "g")
+    rows = materialize(mine.groupBy("row", "doc_id", "h", "g").agg(F.count("*").alias("copies")), "rows").join(found, (F.col("row") == F.col("of_row")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    rows = materialize(rows.select("doc_id", "h", "g", "copies", "root"), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("at"), F.col("doc_id").isNull().alias("none"), "h", "g")).alias("m"))
+    best = materialize(best.select("m.h", "m.g"), "best")
+    kept = materialize(rows.join(best, ["h", "g"], "left_semi").select("h", "g", "copies"), "kept")
+    empty = held.filter(~F.coalesce(F.col("r").getField(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("r")
+    stay = held.join(kept, ["h", "g"])
+    single = stay.filter("copies = 1").select("r").unionByName(empty)
+    # Dealt anew, so that the join before may be split where very many rows are equal.
+    several = stay.filter("copies > 1").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64))).repartition("h", "g", "part")
+    several = several.groupBy("h", "g", "part").agg(F.first("r").alias("r")).groupBy("h", "g").agg(F.first("r").alias("r")).select("r")
+    return single.unionByName(several).select("r.*")
 
 
 def _ends(links: DataFrame) -> DataFrame:
