@@ -90,21 +90,33 @@ class RunLengthIndex:
         border = np.ones(n, bool)
         border[1:] = (before[1:] != before[:-1]) | (before[1:] == SEPARATOR)
         start = np.flatnonzero(border)
-        end = np.append(start[1:], n) - 1 if n else start
-        self.letters, self.lengths = before[start], end - start + 1
-        self.first, self.last = sa[start], sa[end]
-        self.above, self.below = sa[np.maximum(start - 1, 0)], sa[np.minimum(end + 1, max(n - 1, 0))]
+        self.letters, self.lengths = before[start], np.diff(np.append(start, n))
+        self.first, self.last = sa[start], sa[start + self.lengths - 1]
 
-    def _stream(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    def transform(self) -> np.ndarray:
+        """The Burrows-Wheeler transform, from its runs."""
+        return np.repeat(self.letters, self.lengths)
+
+    def _stream(self, at: np.ndarray, other: np.ndarray, copies: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         n = len(self.text)
         out, sampled = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        out[at] = np.where(at == other, 0, common_prefix(self.text, at, other, np.minimum(self.left[at], self.left[other])))
+        out[at] = common_prefix(self.text, at, other, np.minimum(self.left[at], self.left[other]))
         sampled[at] = at
         np.maximum.accumulate(sampled, out=sampled)
-        return np.maximum(out[sampled] - (np.arange(n) - sampled), 0)
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each position, the length of the longest string from there on that also starts elsewhere."""
+        here = np.maximum(out[sampled] - (np.arange(n) - sampled), 0)
+        if copies is not None:
+            reach = np.zeros(n, np.int64)
+            np.maximum.at(reach, copies[0], copies[0] + copies[1])
+            here = np.maximum(here, np.maximum.accumulate(reach) - np.arange(n))
+        return here
+
+    def matching_statistics(self, copies: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """For each position, the length of the longest string from there on that also starts elsewhere.
+
+        ``copies``: positions and lengths of strings that have copies outside the index.
+        """
         if not len(self.text):
             return np.zeros(0, np.int64)
-        return np.minimum(np.maximum(self._stream(self.first, self.above), self._stream(self.last, self.below)), self.left)
+        # A run's first suffix follows the last one of the run before it, and the other way round.
+        up = self._stream(self.first[1:], self.last[:-1], copies)
+        return np.minimum(np.maximum(up, self._stream(self.last[:-1], self.first[1:])), self.left)

@@ -7,20 +7,22 @@ No index over 100 TB can sit on one machine, so strings are first brought togeth
 
 1. Anchors.  Of all ``ANCHOR``-byte strings within a string of ``length`` bytes, the one with the smallest hash is its anchor;
    both copies of a repeat choose the same.  An anchor's context is all strings that hold it: up to ``length - ANCHOR`` bytes
-   on either side.  Chunks send anchors and hashes of their contexts to buckets.  A context found twice is repeated as a
-   whole; one whose anchor occurs in other contexts only must be compared; one whose anchor is unique is unique.
-2. Chunks send the texts to be compared, one copy of each, to buckets by anchor.  A bucket builds the run-length index of
-   these texts (merged where they overlap in a document, so that each position is there once), streams the matching
-   statistics and marks statistics of ``length`` and more.  An anchor with over ``MOST_CONTEXTS`` different contexts, such as
-   one of a passage that a third of all documents share, would overfill a bucket: its strings are told apart by 128-bit
-   hashes instead, which are dealt by hash and are distinct per chunk.
+   on either side.  Chunks send anchors and hashes of their contexts to buckets.  An anchor that is there once can't be in a
+   repeat; all others are asked for, of equal contexts one text.
+2. Chunks send these texts to buckets by anchor, and their claims to equal ones.  A bucket builds the run-length index of its
+   texts (merged where they overlap in a document, so that each position is there once), streams the matching statistics, in
+   which copies of a text count as samples, and answers every claim with the statistics of ``length`` and more.
+   An anchor with over ``MOST_CONTEXTS`` different contexts would overfill one index, and no other anchor parts them: each
+   differs in the bytes beside a passage that, say, a third of all documents share.  Its strings are anchors of full length,
+   told apart by 128-bit hashes, which are dealt by hash and are distinct per chunk: the exact way for the rest.
 3. Chunks mark and cut their documents.
 
 Documents are dealt into chunks by one exchange that all three steps reuse.  What a step found out about its own chunk
 travels to the next step as one row.
 
-Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; equal rows are different places, so both
-lose everything; null ids stay null; an empty table gives an empty result; other columns play no part.
+Defined cases: a null text is empty; texts shorter than ``length`` lose nothing, texts of any length are read whole; equal
+rows are different places, so both lose everything, and there are no ties to decide; null ids stay null; an empty table gives
+an empty result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import _exchange as X
-from ._common import NULL_ID, bucket_bits, chunks_for, id_and_text, text_bytes, with_chunk
+from ._common import bucket_bits, chunks_for, id_and_text, text_bytes, with_carry, with_chunk
 from .run_length_index import SEPARATOR, RunLengthIndex
 from .substring_dedup import runs
 
@@ -95,7 +97,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> np.ndarray
 class _Chunk:
     def __init__(self, table: pa.Table, length: int):
         self.length = length
-        self.ids = table.column("doc_id").to_numpy()
+        self.ids = table.column("doc_id")
         self.buf, self.off = B.concat(table.column("text"))
 
     def contexts(self, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def _send_anchors(length: int, k: int, bits: int):
 
 
 def _answer_anchors(most: int):
-    """Three bits for each context: found twice; its text is asked for; its strings' hashes are asked for."""
+    """Three bits for each context: a claim to it is asked for; its text is; its strings' hashes are."""
 
     def answer(key, table):
         if key[0].as_py() < 0:
@@ -145,15 +147,15 @@ def _answer_anchors(most: int):
         order = np.lexsort((np.repeat(table.column("chunk").to_numpy(), n), b, a, fp))
         start = X.group_starts(fp[order], a[order], b[order])
         count = np.diff(np.append(start, len(fp)))
-        twice = (count > 1) | many[order[start]]
+        several = (count > 1) | many[order[start]]
         group = X.group_starts(fp[order[start]])
         size = np.diff(np.append(group, len(start)))
-        open_ = (size > 1) & ~np.logical_and.reduceat(twice, group)  # not all of its contexts are found twice
-        hot = np.repeat(open_ & (size > most), size)
-        ship = np.repeat(open_ & (size <= most), size)
+        again = (size > 1) | np.logical_or.reduceat(several, group)  # the anchor is there more than once
+        hot = np.repeat(again & (size > most), size)
+        ask = np.repeat(again & (size <= most), size)
         bit = np.zeros((3, len(fp)), bool)
-        bit[0][order] = np.repeat(twice, count)
-        bit[1][order[start[ship]]] = True  # the first chunk that has it
+        bit[0][order] = np.repeat(ask, count)
+        bit[1][order[start[ask]]] = True  # the first chunk that has it
         bit[2][order] = np.repeat(hot, count)
         edge, out = np.concatenate([[0], np.cumsum(n)]), _Out()
         for i, (g, chunk, at) in enumerate(zip(table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), table.column("at").to_pylist(), strict=True)):
@@ -200,21 +202,25 @@ def _send_texts(length: int, k: int, bits: int):
             if g >= 0:
                 for j in range(3):
                     bit[j, at : at + m] = X.flags_of(x, m, j * ((m + 7) // 8))
-        twice, ship, hot = bit
+        ask, ship, hot = bit
+        times = np.bincount(entry, minlength=entries)
         one = np.zeros(entries, np.int64)
         one[entry[::-1]] = np.arange(n)[::-1]
-        want = np.flatnonzero(ship)
+        want = np.flatnonzero(ask)
         if len(want):
             q = p[one[want]]
             fp = B.span_hash(c.buf, q, np.full(len(q), k), 11)
             s, e = c.contexts(q, k)
+            name = B.mix(B.span_hash(c.buf, s, e - s, 12) ^ ((q - s).astype(np.uint64) << np.uint64(40)))
+            flags = ship[want].astype(np.uint8) | ((times[want] > 1).astype(np.uint8) << 1)
             bucket = fp >> np.uint64(64 - bits)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
             for g in np.flatnonzero(np.diff(edge)):
                 i = order[edge[g] : edge[g + 1]]
-                head = np.stack([want[i], s[i], e[i], ~twice[want[i]]], 1).astype(np.int64)
-                out.add(g, chunk, 0, len(i), head.tobytes() + fp[i].tobytes() + b"".join(c.buf[x:y].tobytes() for x, y in zip(s[i], e[i], strict=True)))
+                t = i[ship[want[i]]]
+                texts = [c.buf[x:y].tobytes() for x, y in zip(s[t], e[t], strict=True)]
+                out.add(g, chunk, len(t), len(i), want[i].astype(np.int32).tobytes() + fp[i].tobytes() + name[i].tobytes() + s[t].tobytes() + e[t].tobytes() + flags[i].tobytes() + b"".join(texts))
         if hot.any():
             at = _hot_starts(c, p[hot[entry]], k)
             order, start, a, b = _string_hashes(c, at)
@@ -224,7 +230,7 @@ def _send_texts(length: int, k: int, bits: int):
             for g in np.flatnonzero(np.diff(edge)):
                 i, j = edge[g], edge[g + 1]
                 out.add((1 << bits) + g, chunk, i, j - i, a[i:j].tobytes() + b[i:j].tobytes() + X.bits_of(many[i:j]))
-        out.add(-1 - chunk, chunk, entries, n, blob + X.bits_of(twice) + X.bits_of(hot))
+        out.add(-1 - chunk, chunk, entries, n, blob + X.bits_of(hot))
         return out.table()
 
     return send
@@ -240,41 +246,61 @@ def _answer_texts(length: int, bits: int):
         n, blobs, chunks = table.column("n").to_numpy(), table.column("blob").to_pylist(), table.column("chunk").to_numpy()
         if bucket >= 1 << bits:
             return _answer_strings(table, n, blobs)
-        head = np.concatenate([np.frombuffer(x, np.int64, 4 * m).reshape(m, 4) for x, m in zip(blobs, n, strict=True)])
-        fp = np.concatenate([np.frombuffer(x, np.uint64, m, 32 * m) for x, m in zip(blobs, n, strict=True)])
+        m = table.column("at").to_numpy()
+        part = lambda t, size, at, of: np.concatenate([np.frombuffer(x, t, j, at(i, j)) for x, i, j in zip(blobs, n.tolist(), of.tolist(), strict=True)])
+        entry, fp, name = part(np.int32, 4, lambda i, j: 0, n), part(np.uint64, 8, lambda i, j: 4 * i, n), part(np.uint64, 8, lambda i, j: 12 * i, n)
+        s, e = part(np.int64, 8, lambda i, j: 20 * i, m), part(np.int64, 8, lambda i, j: 20 * i + 8 * j, m)
+        flags = np.concatenate([np.frombuffer(x, np.uint8, i, 20 * i + 16 * j) for x, i, j in zip(blobs, n.tolist(), m.tolist(), strict=True)])
+        texts = np.concatenate([np.frombuffer(x, np.uint8, -1, 21 * i + 16 * j) for x, i, j in zip(blobs, n.tolist(), m.tolist(), strict=True)])
         chunk = np.repeat(chunks, n)
-        size = head[:, 2] - head[:, 1]
-        texts = np.concatenate([np.frombuffer(x, np.uint8, -1, 40 * m) for x, m in zip(blobs, n, strict=True)])
+        size = e - s
         text_at = np.cumsum(size) - size
-        order = np.argsort(fp, kind="stable")
-        group = X.group_starts(fp[order])
-        before = np.append(np.concatenate([[0], np.cumsum(size[order])])[group], len(texts))
-        out, found, i = _Out(), {}, 0
+        # Of each context: its claims, its one text, whether it is there more than once.
+        order = np.lexsort((1 - (flags & 1), name, fp))
+        claim = X.group_starts(fp[order], name[order])
+        claims = np.diff(np.append(claim, len(fp)))
+        several = (claims > 1) | (np.bitwise_or.reduceat(flags[order], claim) > 1)
+        row = (np.cumsum(flags & 1) - 1)[order[claim]]
+        group = X.group_starts(fp[order[claim]])
+        s, e, size, text_at, home = s[row], e[row], size[row], text_at[row], chunk[order[claim]].astype(np.int64)
+        before = np.append(np.concatenate([[0], np.cumsum(size)])[group], len(texts))
+        full, some, i = {}, {}, 0
         while i < len(group):
             j = max(i + 1, int(np.searchsorted(before, before[i] + INDEX_BYTES, "right")) - 1)
-            rows = order[group[i] : group[j] if j < len(group) else len(order)]
+            rows = np.arange(group[i], group[j] if j < len(group) else len(s))
             i = j
-            rows = rows[np.lexsort((head[rows, 1], chunk[rows]))]
+            rows = rows[np.lexsort((s[rows], home[rows]))]
             # Contexts that overlap in their chunk become one segment, so that each position is indexed once.
-            s, e, t = head[rows, 1], head[rows, 2], chunk[rows].astype(np.int64)
-            reach = np.maximum.accumulate(e + (t << 40)) - (t << 40)
+            a, z, t = s[rows], e[rows], home[rows]
+            reach = np.maximum.accumulate(z + (t << 40)) - (t << 40)
             new = np.ones(len(rows), bool)
-            new[1:] = (t[1:] != t[:-1]) | (s[1:] > reach[:-1])
+            new[1:] = (t[1:] != t[:-1]) | (a[1:] > reach[:-1])
             seg = np.cumsum(new) - 1
-            low, high = s[new], np.maximum.reduceat(e, np.flatnonzero(new))
+            low, high = a[new], np.maximum.reduceat(z, np.flatnonzero(new))
             place = np.cumsum(high - low + 1) - (high - low + 1)
             text = np.full(int((high - low + 1).sum()), SEPARATOR, np.uint8)
-            at = place[seg] + s - low[seg]
-            for x, y, r in zip(at.tolist(), (e - s).tolist(), rows.tolist(), strict=True):
+            at = place[seg] + a - low[seg]
+            for x, y, r in zip(at.tolist(), (z - a).tolist(), rows.tolist(), strict=True):
                 text[x : x + y] = texts[text_at[r] : text_at[r] + y]
-            long = RunLengthIndex(text).matching_statistics() >= length
-            for x, y, r in zip(at.tolist(), (e - s - length + 1).tolist(), rows.tolist(), strict=True):
-                if head[r, 3] and y > 0 and (mark := long[x : x + y]).any():
-                    mask = np.zeros(8 * width, bool)
-                    mask[:y] = mark
-                    found.setdefault(int(chunk[r]), []).append((int(head[r, 0]), X.bits_of(mask)))
-        for c, marks in found.items():
-            out.add(bucket, c, 0, len(marks), np.array([m[0] for m in marks], np.int32).tobytes() + b"".join(m[1] for m in marks))
+            more = several[rows]
+            long = RunLengthIndex(text).matching_statistics((at[more], (z - a)[more])) >= length
+            marked = np.concatenate([[0], np.cumsum(long)])
+            starts = z - a - length + 1
+            got = marked[at + starts] - marked[at]
+            for x, y, r, found in zip(at.tolist(), starts.tolist(), rows.tolist(), got.tolist(), strict=True):
+                if not found:
+                    continue
+                for w in order[claim[r] : claim[r] + claims[r]].tolist():
+                    if found == y:
+                        full.setdefault(int(chunk[w]), []).append(int(entry[w]))
+                    else:
+                        mask = np.zeros(8 * width, bool)
+                        mask[:y] = long[x : x + y]
+                        some.setdefault(int(chunk[w]), []).append((int(entry[w]), X.bits_of(mask)))
+        out = _Out()
+        for c in full.keys() | some.keys():
+            whole, marks = full.get(c, []), some.get(c, [])
+            out.add(bucket, c, len(whole), len(whole) + len(marks), np.array([*whole, *(m[0] for m in marks)], np.int32).tobytes() + b"".join(m[1] for m in marks))
         return out.table()
 
     return answer
@@ -296,7 +322,7 @@ def _answer_strings(table, n, blobs) -> pa.Table:
     return out.table()
 
 
-def _cut(length: int, k: int, bits: int, carry: pa.DataType | None):
+def _cut(length: int, k: int, bits: int, carry: bool):
     width = (length + 7) // 8
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -313,17 +339,16 @@ def _cut(length: int, k: int, bits: int, carry: pa.DataType | None):
         if own := next((r for r in rows if r[0] < 0), None):
             _, entries, n, blob = own
             p, entry = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int32, n, 8 * n)
-            twice, hot = X.flags_of(blob, entries, 12 * n), X.flags_of(blob, entries, 12 * n + (entries + 7) // 8)
-            full = p[twice[entry]]
-            mark(*c.contexts(full, k))
+            hot, full = X.flags_of(blob, entries, 12 * n), np.zeros(entries, bool)
             one = np.zeros(entries, np.int64)
             one[entry[::-1]] = np.arange(n)[::-1]
             strings, lost = [], None
             for g, at, m, x in rows:
                 if 0 <= g < 1 << bits:
                     e = np.frombuffer(x, np.int32, m)
-                    first, _ = c.contexts(p[one[e]], k)
-                    i, o = np.nonzero(np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * m).reshape(m, width), axis=1))
+                    full[e[:at]] = True  # all of the context's strings, wherever the chunk has it
+                    first, _ = c.contexts(p[one[e[at:]]], k)  # a context with some strings only is there once
+                    i, o = np.nonzero(np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * m).reshape(m - at, width), axis=1))
                     strings.append(first[i] + o)
                 elif g >= 1 << bits:
                     if lost is None:
@@ -331,6 +356,7 @@ def _cut(length: int, k: int, bits: int, carry: pa.DataType | None):
                         order, start, _, _ = _string_hashes(c, hot_at)
                         lost = np.zeros(len(start), bool)
                     lost[at : at + m] = X.flags_of(x, m)
+            mark(*c.contexts(p[full[entry]], k))
             if lost is not None:
                 strings.append(hot_at[order[np.repeat(lost, np.diff(np.append(start, len(hot_at))))]])
             if strings:
@@ -348,9 +374,9 @@ def _cut(length: int, k: int, bits: int, carry: pa.DataType | None):
         removed = np.bincount(doc, b - a, n_docs).astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(size - removed + 1)])
         kept = [clean[edge[i] : edge[i + 1] - 1] for i in range(n_docs)]
-        columns = [pa.array(c.ids), pa.array(size), pa.array(removed), pa.array(np.bincount(doc, minlength=n_docs).astype(np.int64)), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span))]
+        columns = [c.ids, pa.array(size), pa.array(removed), pa.array(np.bincount(doc, minlength=n_docs).astype(np.int64)), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(span))]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes", "spans"]
-        if carry is not None:
+        if carry:
             columns += [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), docs.column("carry")]
             names += ["kept_text", "carry"]
         return pa.table(columns, names=names)
@@ -370,14 +396,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not 8 <= anchor < length:
         raise ValueError("an anchor has at least 8 bytes and fewer than a string")
-    pairs = id_and_text(docs, id_col, text_col)
-    if carry:
-        pairs = docs.select(*[F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carry")])
+    pairs = id_and_text(docs, id_col, text_col, carry)
     total = text_bytes(pairs)
     bits = bucket_bits(total)
     by_chunk = with_chunk(pairs, chunks_for(total)).groupBy("chunk")
     first = by_chunk.applyInArrow(_send_anchors(length, anchor, bits), MESSAGE_SQL).groupBy("bucket").applyInArrow(_answer_anchors(most_contexts), MESSAGE_SQL)
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_send_texts(length, anchor, bits), MESSAGE_SQL).groupBy("bucket").applyInArrow(_answer_texts(length, bits), MESSAGE_SQL)
-    schema = RESULT + (f", kept_text string, carry {docs.schema.simpleString()}" if carry else "")
-    out = by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(length, anchor, bits, pa.null() if carry else None), schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    schema = with_carry(RESULT + ", kept_text string", docs) if carry else RESULT
+    return by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(_cut(length, anchor, bits, carry), schema)
