@@ -6,28 +6,32 @@ the logistic of half the difference of Mahalanobis distances and log determinant
 are computed once and go out with the scoring function.
 
 Plan.  One pass over all texts in Arrow batches writes the vectors; the classes' moments are sums over all labelled rows
-outside the held-out fold (one partial row per task, p * p numbers for each class); a second pass scores the vectors.
+outside the held-out fold, of whole numbers (so that no order of adding changes a score), added per task and then by Spark:
+the driver gets 157 numbers for each class.  A second pass scores the vectors.
 
-Defined cases: a null or empty text is the vector of an empty text and is scored; texts are read whole; repeated rows and
-ids are scored row by row; with fewer than two labelled rows of a class all scores are the prior; an empty table gives an
-empty result; other columns play no part.
+Defined cases: a null or empty text is the vector of an empty text and is scored; texts of any length are read whole; repeated
+rows and ids are scored row by row, so equal texts tie; rows of ``labels`` that agree count once, and an id with different
+labels is not learnt from; with fewer than two labelled rows of a class all scores are the prior; an empty table gives an
+empty result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import materialize
+from ._common import id_and_text, materialize, with_carry
 from .near_dedup import slabs
-from .toxicity import held_out
+from .toxicity import held_out, learnt_labels
 
 SHRINK = 0.1
 RIDGE = 1e-3
 THRESHOLD = 0.7
+#: Moments are summed in units of one in so many.
+UNIT = 1 << 24
 
 NAMES = ("words", "word_length", "upper", "digit", "symbol", "mark", "other", "distinct", "same_as_last", "window_repeats", "line_repeats", "line_length")
 P = len(NAMES)
@@ -91,23 +95,26 @@ def vectors(texts: pa.Array) -> np.ndarray:
     )
 
 
-def _vectors(batches):
-    for batch in batches:
-        for part in slabs(batch):
-            v = vectors(part.column("text"))
-            yield pa.record_batch([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), P).cast(pa.list_(pa.float64()))], names=["doc_id", "v"])
+def _vectors(carry: bool):
+    def run(batches):
+        for batch in batches:
+            for part in slabs(batch):
+                v = vectors(part.column("text"))
+                v = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), P).cast(pa.list_(pa.float64()))
+                yield pa.record_batch([part.column("doc_id"), v, *([part.column("carry")] if carry else [])], names=["doc_id", "v", *(["carry"] if carry else [])])
+
+    return run
 
 
 def _moments(batches):
-    """For each class, as one row: rows, sums and sums of products of the task."""
-    total = {k: np.zeros(1 + P + P * P) for k in (0, 1)}
+    """For each class and place: rows, sums and sums of products of a batch, in units."""
     for b in batches:
         y = b.column("label").to_numpy()
         x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, P)
-        for k in total:
+        for k in (0, 1):
             part = x[y == k]
-            total[k] += np.concatenate([[len(part)], part.sum(0), (part.T @ part).ravel()])
-    yield pa.record_batch([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()])], names=["label", "sums"])
+            sums = np.concatenate([[len(part)], np.rint(part * UNIT).sum(0), np.rint(part[:, :, None] * part[:, None, :] * UNIT).sum(0).ravel()]).astype(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(sums), k)), pa.array(np.arange(len(sums))), pa.array(sums)], names=["label", "at", "sums"])
 
 
 class Discriminant:
@@ -122,11 +129,12 @@ class Discriminant:
         self.mean = {k: s[1 : 1 + P] / n[k] for k, s in sums.items()}
         cov = {k: s[1 + P :].reshape(P, P) / n[k] - np.outer(self.mean[k], self.mean[k]) for k, s in sums.items()}
         pooled = sum(cov[k] * n[k] for k in cov) / sum(n.values())
-        self.factor, self.logdet = {}, {}
+        self.factor, self.inverse, self.logdet = {}, {}, {}
         for k in cov:
             s = (1 - shrink) * cov[k] + shrink * pooled
             s += ridge * np.eye(P)
             self.factor[k] = np.linalg.cholesky(s)
+            self.inverse[k] = np.linalg.inv(self.factor[k])  # of a 12 x 12 triangle, once
             self.logdet[k] = 2 * float(np.log(np.diag(self.factor[k])).sum())
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -134,27 +142,31 @@ class Discriminant:
         if self.usable:
             half = {}
             for k in (0, 1):
-                y = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+                y = self.inverse[k] @ (x - self.mean[k]).T
                 half[k] = 0.5 * ((y * y).sum(0) + self.logdet[k])
             z += half[0] - half[1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrink: float = SHRINK) -> DataFrame:
-    """``doc_id, held_out, score`` for every row of ``docs``."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    table = materialize(rows.mapInArrow(_vectors, "doc_id long, v array<double>"), "vectors")
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    known = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    parts = table.join(known, "doc_id").select("label", "v").mapInArrow(_moments, "label long, sums binary").toPandas()
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shrink: float = SHRINK, carry: bool = False, extra: list[Column] | None = None) -> DataFrame:
+    """``doc_id, held_out, score`` for every row of ``docs``; with ``carry`` the columns ``extra`` of the row (all by default) as a struct."""
+    rows, schema = id_and_text(docs, id_col, text_col), "doc_id long, v array<double>"
+    if carry:
+        held = docs.select(*(extra or [F.col(f"`{c}`") for c in docs.columns]))
+        schema = with_carry(schema, held)
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(*(extra or [F.col(f"`{c}`") for c in docs.columns])).alias("carry"))
+    table = materialize(rows.mapInArrow(_vectors(carry), schema), "vectors")
+    known = learnt_labels(labels, id_col, label_col)
+    parts = table.select("doc_id", "v").join(known, "doc_id").select("label", "v").mapInArrow(_moments, "label long, at long, sums long")
     sums = {k: np.zeros(1 + P + P * P) for k in (0, 1)}
-    for k, blob in zip(parts["label"], parts["sums"], strict=True):
-        sums[int(k)] = sums[int(k)] + np.frombuffer(blob)
+    for k, at, total in parts.groupBy("label", "at").agg(F.sum(F.col("sums").cast("decimal(38,0)"))).collect():
+        sums[k][at] = float(total) / (UNIT if at else 1)
     model = Discriminant(sums, shrink)
 
     def run(batches):
         for b in batches:
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, P)
-            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(model.score(x)), *([b.column("carry")] if carry else [])], names=["doc_id", "score", *(["carry"] if carry else [])])
 
-    return table.mapInArrow(run, "doc_id long, score double").withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score")
+    schema = with_carry("doc_id long, score double", held) if carry else "doc_id long, score double"
+    return table.mapInArrow(run, schema).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", *(["carry"] if carry else []))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import quality_classifier, toxicity
 from .decontamination import leaked_items
 from .html_extract import main_text
-from .mixing import mix_sources
+from .mixing import mix_by_quality
 from .near_dedup import near_duplicates
 from .oracles import ORACLES as ORACLES
 from .quality_rules import quality_rules
@@ -49,7 +49,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "drawn")
+    return mix_by_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "drawn")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
