@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import NULL_ID, materialize
+from ._common import materialize
 from .near_dedup import slabs
 
 BLOCK = 12
@@ -408,8 +408,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` without a leaked item.  Rows are judged one by one, by id and text, whether or not others share their
-    id or it is null."""
-    row = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    id or it is null; all columns of ``docs`` come back as they are."""
+    row = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(1))
     rows = docs.select(row.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    bad = materialize(leaked_items(rows, benchmark, **more).select(F.col("doc_id").alias("__leaked_row")).distinct(), "leaks")
-    return docs.withColumn("__leaked_row", row).join(bad, "__leaked_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = materialize(leaked_items(rows, benchmark, **more).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
+    held = docs.select(row.alias("leaked"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    return held.join(bad, "leaked", "left_anti").select("r.*")

@@ -7,12 +7,14 @@ neutral mention of any group cannot carry weight of its own.
 
 Plan.  Labelled rows outside the held-out fold are found by a join on the id; at most ``sample_rows`` of them, by a hash of
 the id, fit the model.  That bound and the bounds on features are the only ones: candidates come from a distributed count
-over the sample, the sample's sparse rows (indices only) go to the driver, and the weights, ``MOST_FEATURES`` at most, go
-out with the scoring function, which reads every whole text in Arrow batches without a shuffle.
-
-Defined cases: a null or empty text has no features and gets the prior's score; texts of any length are read whole, in parts
-of a few megabytes for memory's sake; repeated rows and ids are scored row by row; without labelled rows all scores are 0.5;
-an empty table gives an empty result; other columns play no part.
+over the sample, the ``MOST_FEATURES`` that tell the classes apart from another, the sample's sparse rows of these (indices
+only) go to the driver, and the weights go out with the scoring function, which reads every whole text in Arrow batches
+without a shuffle.
+
+Defined cases: a null or empty text has no features and gets the prior's score; texts of any length are read whole; repeated
+rows and ids are scored row by row, so texts that tie in their features tie in their scores; rows of ``labels`` that agree
+count once, and an id with different labels is not learnt from; without labelled rows all scores are 0.5; an empty table gives
+an empty result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
+from ._common import id_and_text, materialize, with_carry
 from .near_dedup import slabs
 
 SAMPLE_ROWS = 24_000
@@ -121,6 +124,24 @@ def _sparse_rows(known: np.ndarray):
     return run
 
 
+def _class_counts(known: np.ndarray):
+    """For each known feature, in how many texts it is, and in how many of label 1: one row a feature and task."""
+
+    def run(batches):
+        total = np.zeros((2, len(known) + 1), np.int64)
+        for batch in batches:
+            for part in slabs(batch):
+                label = part.column("label").to_numpy()
+                doc, at = _members(known, *features(part.column("text")))
+                total[0] += np.bincount(at, minlength=len(known) + 1)
+                total[1] += np.bincount(at[label[doc] == 1], minlength=len(known) + 1)
+                total[:, -1] += len(label), int(label.sum())
+        full = np.flatnonzero(total[0])
+        yield pa.record_batch([pa.array(full), pa.array(total[0][full]), pa.array(total[1][full])], names=["at", "n", "positive"])
+
+    return run
+
+
 class Model:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
         self.hashes, self.weights, self.bias = hashes, weights, bias
@@ -141,6 +162,17 @@ def _parts(rows: list[tuple[int, np.ndarray]], by: int = 1000):
         yield np.repeat(np.arange(i, i + len(part)), size), np.repeat([float(r[0]) for r in part], size), np.concatenate([r[1] for r in part]).astype(np.int64)
 
 
+def chosen_features(n: int, positives: int, all_: np.ndarray, pos: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the features with the largest chi-square, and of all identity terms, ``MOST_FEATURES`` at most."""
+    rate = positives / max(n, 1)
+    spread = np.maximum(all_ * rate * (1 - rate) * (1 - all_ / (n + 1)), 1e-9)
+    chi = (pos - all_ * rate) ** 2 / spread
+    held = np.isin(hashes, np.concatenate([term_features(t) for pair in IDENTITY_SWAPS for t in pair]))
+    # Beyond 4.5 standard deviations no feature of a few ten thousand is there by chance.
+    keep = np.flatnonzero((chi > 20) | held)
+    return np.sort(keep[np.argsort(-(chi[keep] + held[keep] * 1e12), kind="stable")[:MOST_FEATURES]])
+
+
 def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual: float = 1.0, l2: float = 1.0, steps: int = 300) -> Model:
     """``rows``: label and sorted places in ``hashes`` of each labelled text."""
     n = len(rows)
@@ -153,10 +185,8 @@ def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual
     for _, label, item in _parts(rows):
         pos += np.bincount(item, label, m)
         all_ += np.bincount(item, minlength=m)
-    # Signed chi-square of each feature; identity terms stay in whatever it is, for the penalty to hold them.
     rate = y.mean()
-    spread = np.maximum(all_ * rate * (1 - rate) * (1 - all_ / (n + 1)), 1e-9)
-    chi = (pos - all_ * rate) ** 2 / spread
+    keep = chosen_features(n, int(y.sum()), all_, pos, hashes)
     swaps = []
     place = {int(h): i for i, h in enumerate(hashes)}
     for a, b in IDENTITY_SWAPS:
@@ -165,9 +195,6 @@ def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual
     held = np.zeros(m, bool)
     for x, z in swaps:
         held[x] = held[z] = True
-    # Beyond 4.5 standard deviations no feature of a few ten thousand is there by chance.
-    keep = np.flatnonzero((chi > 20) | held)
-    keep = np.sort(keep[np.argsort(-(chi[keep] + held[keep] * 1e12), kind="stable")[:MOST_FEATURES]])
     new = np.full(m, -1)
     new[keep] = np.arange(len(keep))
     kept_rows, kept_items = [], []
@@ -209,33 +236,39 @@ def train(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, counterfactual
     return Model(hashes[keep], w, b)
 
 
+def learnt_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(doc_id, label)`` outside the held-out fold, one row an id; an id with different labels has none."""
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
+    return known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, counterfactual: float = 1.0) -> Model:
     """Fits on labelled rows outside the held-out fold, ``sample_rows`` of them at most."""
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    known = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = learnt_labels(labels, id_col, label_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # The sample is at most ``sample_rows`` pairs of numbers, so it goes to the texts instead of the texts to it.
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = materialize(id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text"), "sample")
     counts = rows.filter("label = 1").select("text").mapInArrow(_positive_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_CANDIDATES).toPandas()
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
     terms = np.concatenate([term_features(t) for pair in IDENTITY_SWAPS for t in pair])
     hashes = np.union1d(hashes, terms)
+    # At most one row a candidate.
+    by_class = rows.mapInArrow(_class_counts(hashes), "at long, n long, positive long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toPandas()
+    all_, pos = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
+    all_[by_class["at"].to_numpy(np.int64)], pos[by_class["at"].to_numpy(np.int64)] = by_class["n"].to_numpy(), by_class["positive"].to_numpy()
+    hashes = hashes[chosen_features(int(all_[-1]), int(pos[-1]), all_[:-1], pos[:-1], hashes)]
     got = rows.mapInArrow(_sparse_rows(hashes), "label int, items binary").toPandas()
-    return train([(int(y), np.frombuffer(x, np.uint16)) for y, x in zip(got["label"], got["items"], strict=True)], hashes, counterfactual)
+    # In one order, so that the sums of a rerun agree to the last bit.
+    return train(sorted(((int(y), np.frombuffer(x, np.uint16)) for y, x in zip(got["label"], got["items"], strict=True)), key=lambda r: (r[0], r[1].tobytes())), hashes, counterfactual)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id, score`` for every row (with ``carry`` the row as a struct)."""
-    rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carry")] if carry else []),
-    )
+    rows, schema = id_and_text(docs, id_col, text_col, carry), "doc_id long, score double"
 
     def run(batches):
         for batch in batches:
             for part in slabs(batch):
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.score(part.column("text"))), *([part.column("carry")] if carry else [])], names=["doc_id", "score", *(["carry"] if carry else [])])
 
-    return rows.mapInArrow(run, "doc_id long, score double" + (f", carry {docs.schema.simpleString()}" if carry else ""))
+    return rows.mapInArrow(run, with_carry(schema, docs) if carry else schema)
