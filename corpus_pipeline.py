@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All stages but the last return the columns of ``documents``; the last adds what the mix decided.
+
+Defined cases, for every stage: rows are judged one by one, so null ids and repeated ids are no reason to go; further columns,
+whatever their names, pass unchanged; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import toxicity
-from siftwell.llm._common import materialize
+from siftwell.llm._common import scratch_dir, scratch_scope
 from siftwell.llm.decontamination import without_leaks
-from siftwell.llm.mixing import mix_sources
+from siftwell.llm.mixing import mix_by_quality
 from siftwell.llm.near_dedup import without_near_duplicates
 from siftwell.llm.suffix_dedup import suffix_dedup
 
@@ -22,19 +25,30 @@ REPEAT_ANCHOR = 48
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier, fitted on ``labels``, scores at its threshold or above."""
+    """Rejects documents that the classifier, fitted on ``labels``, scores at its threshold or above.
+
+    Null and empty texts get the score of a text without features, which is below it unless nearly all labels are 1; equal
+    texts tie, so they stay or go together.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, model, carry=True)
     return scored.filter(F.col("score") < toxicity.THRESHOLD).select("carry.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked at a similarity of 0.8 on five-word shingles."""
+    """Keeps the document with the smallest id of each group linked at a similarity of 0.8 on five-word shingles.
+
+    Null ids order last; of rows with one id the one with the smallest hash of all columns stays, of rows equal in all columns
+    one; null and empty texts all stay.
+    """
     return without_near_duplicates(docs, shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every repeated string of ``REPEAT_BYTES`` out of the texts; documents of which nothing is left go."""
+    """Cuts every repeated string of ``REPEAT_BYTES`` out of the texts; documents of which nothing is left go.
+
+    All copies of a repeat are cut, those within one document and in equal rows too; null and empty texts stay as they are.
+    """
     got = suffix_dedup(docs, length=REPEAT_BYTES, anchor=REPEAT_ANCHOR, carry=True)
     got = got.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     cut = F.col("n_removed") > 0
@@ -43,14 +57,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold an item of ``benchmark``."""
+    """Rejects documents that hold an item of ``benchmark``, items with a null id included; null and empty texts hold none."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with their number of ``copies``; sources weigh 1, 2, 3, repeating, over all that is left."""
-    got = mix_sources(docs, carry=True).withColumn("copies", F.col("epochs") + F.col("drawn").cast("long"))
-    return got.filter("copies > 0").select("carry.*", "size", "copies", "taken", "source_size", "target")
+    """Documents of the mix with their number of ``copies``; sources weigh 1, 2, 3, repeating, over all that is left.
+
+    A null source is a source of its own; ties of keys order by id, size, text and place.  An input column that has the name
+    of one of the added columns is replaced by it.
+    """
+    got = mix_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).withColumn("copies", F.col("epochs") + F.col("drawn").cast("long"))
+    added = ["size", "copies", "taken", "source_size", "target"]
+    return got.filter("copies > 0").select(*[F.col(f"carry.`{c}`") for c in docs.columns if c.lower() not in added], *added)
 
 
 STAGES = [
@@ -68,5 +87,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        at = f"{scratch_dir(spark)}/{name}"
+        # What a stage wrote for itself goes once its result is written.
+        with scratch_scope(spark):
+            got = stage(spark, docs, sf_dir)
+            got.write.parquet(at)
+        docs = spark.read.schema(got.schema).parquet(at)
     return docs
