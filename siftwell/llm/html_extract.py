@@ -1,29 +1,39 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
-Method.  Every page is cut into elements; each element's subtree (tags, attributes without values that change, text) has a
-hash.  Spark counts on how many pages of a host each hash occurs.  Subtrees that recur on many pages of their host are
-template and go, with all they hold.  What the tag names, roles, classes and ids say about menus, headers, footers,
-sidebars, notices, adverts, forms and comments by readers goes as well, and so do scripts, styles and markup.
+Method.  Every page is cut into elements; each element's subtree (tags and text) has a hash.  Spark counts on how many pages of
+a host each hash occurs.  Subtrees that recur on many pages of their host are template and go, with all they hold.  What the
+tag names, roles, classes and ids say about menus, headers, footers, sidebars, notices, adverts, forms and comments by readers
+goes as well, and so do scripts, styles and markup.
 
 Plan.  Pass 1 parses pages (Arrow batches) and sends ``(host, hash)`` counts, pre-aggregated in each batch; the count is a
 partial aggregate, so a host with a third of all pages is no bottleneck.  Only recurring hashes are kept, and they return to
 their pages by a join on (host, page bucket): pass 2 parses again, deletes and writes text.  The kept hashes of a host are at
-most five times as many as the elements of its average page, for each is on a fifth of its pages, or on five.
+most five times as many as the elements of its average page, for each is on a fifth of its pages, or on five.  Pages are dealt
+into slices of about 8 MB, and there are as many tasks as slices.  Parsing is one pass without recursion: its time follows the
+page's length, however deep or broken the page is.
 
 Which block recurs: an element of at least ``LEAST_TEXT`` characters of text, or with a link, that is on at least
 ``LEAST_PAGES`` pages and on a share ``SHARE`` of the pages of its host.  An ``article`` or ``main`` element and what holds
 one never goes by counting, for copies of a page are pages; nor do paragraphs, headings and lists inside one, for a
 quotation that many articles share is text.
 
+Names.  Outside an article, one telling part of a class or id is enough (``site-menu``).  Inside one, where a section may well
+be about menus or sharing, a name must be telling as a whole (``ad``, ``comments``, ``share-buttons``, ``cookie-notice``), and a
+paragraph goes only by a name of one word.  Of a ``header`` inside an article its headings stay, for they are the article's
+title.
+
 Defined cases: null html is empty; a page without article or main element yields what its body holds beside the blocks named
-above; unclosed and mis-nested elements are closed by their parents, and a page cut off anywhere keeps what it has; equal
-pages count each; null urls form one host; an empty table gives an empty result; other columns play no part.
+above; unclosed and mis-nested elements are closed by their parents, a menu that was never closed ends where the article
+begins, and a page cut off anywhere keeps what it has; pages of any length and depth are read whole; equal pages count each,
+and ties of counts don't arise, for every hash is judged by itself; null urls form one host; an empty table gives an empty
+result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -37,155 +47,267 @@ from .near_dedup import slabs
 LEAST_PAGES = 5
 SHARE = 0.2
 LEAST_TEXT = 20
-DEEPEST = 400
+SLICE_BYTES = 8 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template svg math iframe object head title canvas audio video select textarea button".split())
+#: Elements whose content is no markup; it goes unread.
+_RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+_SILENT = _RAW | frozenset("object head canvas audio video select button".split())
 _CHROME = frozenset("nav header footer aside form menu dialog".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _MAIN = frozenset(["article", "main"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_IN_HEAD = frozenset("title meta link style script base noscript template head".split())
 #: What an element's opening closes among its open ancestors, up to the nearest barrier.
 _CLOSES = {t: frozenset(["p"]) for t in _BLOCK} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 _BARRIER = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote td th figure".split())
+#: Elements that hold an article's own text.
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-_NAMES = re.compile(
+_OUTSIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisements?|alerts?|banner|breadcrumbs?|comments?|cookies?|consent|discussions?|disqus|feedback|footer|gdpr|header|masthead|menu|nav|navbar|navigation|navlinks|newsletter|notices?|pagination|popup|promo|promoted|related|replies|responses|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)[^<>]*$", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math")}
+_WORD = r"ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments|disqus|gdpr|masthead|navbar|navigation|navlinks|newsletter|pagination|popup|promo|promoted|share|sharing|sidebar|social|sponsored|subscribe|toolbar|topbar"
+_PAIR = r"(?:ads?|adverts?|alert|banner|breadcrumbs?|comments?|consent|cookies?|discussion|disqus|feedback|footer|gdpr|menu|nav|newsletter|notice|popup|promo|related|repl(?:y|ies)|responses?|shar(?:e|ing)|sidebar|social|sponsored|subscribe|widget)[_-](?:area|articles|bar|banner|block|box|button|buttons|container|content|consent|form|icons|links|list|media|message|notice|pages|posts|section|share|signup|slot|stories|thread|unit|widget|wrapper)"
+_BEFORE = r"(?:article|content|in|page|post|reader|site|top|user)[_-]"
+#: One whole name of an element inside an article.
+_INSIDE = re.compile(rf"(?:{_BEFORE})?(?:{_WORD}|{_PAIR}(?:[_-]\w+)?)")
+_ONE_WORD = re.compile(_WORD)
+_HIDDEN = re.compile(r"display\s*:\s*none")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_TELLING = frozenset(["class", "id", "role", "hidden", "aria-hidden", "style"])
 _SPACE = re.compile(r"\s+")
+_NOTHING: dict[str, str] = {}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "key", "size", "links", "main")
+    __slots__ = ("tag", "attributes", "key", "size", "links", "main")
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str]):
+        self.tag, self.attributes = tag, attributes
 
 
-def _chrome(tag: str, attributes: str) -> bool:
+def _chrome(node: Node, inside: bool) -> bool:
+    """Whether tag, role, class or id say that the element is no text; ``inside``: it is within an article."""
+    tag, attributes = node.tag, node.attributes
     if tag in _CHROME:
         return True
     if not attributes:
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id") and value and tag not in ("body", "html", "article", "main") and _NAMES.search(value.strip("\"'").lower()):
-            return True
-        if name == "role" and value.strip("\"'").lower() in _ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.strip("\"'").lower() == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value.lower()):
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in _ROLES:
+        return True
+    if _HIDDEN.search(attributes.get("style", "").lower()):
+        return True
+    if tag in ("body", "html", "article", "main"):
+        return False
+    for name in ("class", "id"):
+        value = attributes.get(name, "").lower()
+        if not value:
+            continue
+        if not inside:
+            if _OUTSIDE.search(value):
+                return True
+        elif any((_ONE_WORD if tag in _TEXTUAL and tag not in ("ul", "ol", "dl", "table", "figure") else _INSIDE).fullmatch(x) for x in value.split()):
             return True
     return False
 
 
-def parse(page: str) -> Node:
-    """The page as a tree; texts are plain strings among the children, character references not yet decoded."""
-    root = Node("html", "")
-    open_ = [root]
+class _Open:
+    """The open elements, and where in the stack those of each tag are: no search ever walks the stack."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.mains: list[int] = []
+
+    def push(self, node: Node):
+        i = len(self.nodes)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag in _BARRIER:
+            self.barriers.append(i)
+        if node.tag in _MAIN:
+            self.mains.append(i)
+        self.nodes.append(node)
+
+    def cut(self, to: int, events: list):
+        """Closes all elements from place ``to`` on."""
+        while len(self.nodes) > to:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in _BARRIER:
+                self.barriers.pop()
+            if node.tag in _MAIN:
+                self.mains.pop()
+            events.append(None)
+
+    def last(self, tag: str) -> int:
+        x = self.at.get(tag)
+        return x[-1] if x else -1
+
+    def close_for(self, tag: str, events: list):
+        """What the opening of ``tag`` closes."""
+        if tag not in _IN_HEAD and (i := self.last("head")) >= 0:
+            self.cut(i, events)
+        closes = _CLOSES.get(tag)
+        if not closes:
+            return
+        rows = tag in ("tr", "td", "th")
+        wall = -1
+        for i in reversed(self.barriers):
+            if not (rows and self.nodes[i].tag in closes):
+                wall = i
+                break
+        if rows:
+            above = [x[k] for t in closes if (x := self.at.get(t)) and (k := bisect_right(x, wall)) < len(x)]
+            if above:
+                self.cut(min(above), events)
+        else:
+            i = max(self.last(t) for t in closes)
+            if i > wall or (i == wall and i >= 0):
+                self.cut(i, events)
+        if tag in _MAIN and self.at.get("nav"):  # a menu that was never closed doesn't swallow the article
+            self.cut(self.at["nav"][0], events)
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int, bool]:
+    """The telling attributes of a tag whose name ends at ``at``; where it ends: after its ``>``, or -1 if the page ends first;
+    whether it closes itself."""
+    found, n = _NOTHING, len(page)
+    while True:
+        start, at = at, _GAP.match(page, at).end()
+        if at >= n:
+            return found, -1, False
+        if page[at] == ">":
+            return found, at + 1, at > start and page[at - 1] == "/"
+        m = _ATTRIBUTE.match(page, at)
+        name, value, at = m[0].lower(), "", m.end()
+        m = _EQUALS.match(page, at)
+        if m:
+            at = m.end()
+            quote = page[at] if at < n else ""
+            if quote in ("'", '"') and last[quote] > at:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            elif quote:
+                m = _BARE.match(page, at)
+                value, at = m[0], m.end()
+        if name in _TELLING:
+            if found is _NOTHING:
+                found = {}
+            found.setdefault(name, value)
+
+
+def parse(page: str) -> list:
+    """The page as a list of events: an element's ``Node`` where it opens, ``None`` where it closes, and texts as plain strings,
+    character references not yet decoded."""
+    events: list = []
+    open_ = _Open()
+    root = Node("html", _NOTHING)
+    open_.push(root)
+    events.append(root)
     at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "'\""}
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            open_[-1].children.append(page[at:])
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            events.append(page[at:])
             break
-        if m.start() > at:
-            open_[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        c = page[lt + 1]
+        name = _NAME.match(page, lt + 1) or (_NAME.match(page, lt + 2) if c == "/" else None)
+        if name is None and c not in "!?/":  # a plain sign
+            nxt = page.find("<", lt + 1)
+            events.append(page[at : nxt if nxt >= 0 else n])
+            at = nxt if nxt >= 0 else n
+            continue
+        if lt > at:
+            events.append(page[at:lt])
         if name is None:
-            if m[5] is not None:  # cut off inside a tag
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            if end < 0:
                 break
+            at = end + (3 if page.startswith("<!--", lt) else 1)
             continue
-        tag = name.lower()
-        if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in _MAIN and tag not in ("body", "html"):
-                    break
-            continue
-        closes = _CLOSES.get(tag)
-        if closes:
-            for i in range(len(open_) - 1, 0, -1):
-                t = open_[i].tag
-                if t in closes:
-                    del open_[i:]
-                    if tag not in ("tr", "td", "th"):
-                        break
-                elif t in _BARRIER:
-                    break
-        if tag in _MAIN:  # a menu that was never closed doesn't swallow the article
-            for i in range(1, len(open_)):
-                if open_[i].tag == "nav":
-                    del open_[i:]
-                    break
-        node = Node(tag, m[3])
-        open_[-1].children.append(node)
-        if tag in _VOID or m[3].endswith("/"):
+        tag = name[0].lower()
+        if c == "/":
+            at = page.find(">", name.end()) + 1
+            if not at:
+                break
+            i = open_.last(tag)
+            # What lies in an article doesn't close what holds it.
+            if i > 0 and (tag in ("body", "html") or not open_.mains or i >= open_.mains[-1]):
+                open_.cut(i, events)
             continue
-        raw = _RAW_END.get(tag)
-        if raw:
-            end = raw.search(page, at)
-            node.children.append(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else n
+        attributes, at, closed = _attributes(page, name.end(), last)
+        if at < 0:  # cut off inside a tag
+            break
+        open_.close_for(tag, events)
+        if tag in _RAW:
+            if not closed:
+                end = _RAW_END[tag].search(page, at)
+                at = page.find(">", end.end()) + 1 or n if end else n
             continue
-        if len(open_) < DEEPEST:  # what lies deeper belongs to the deepest element
-            open_.append(node)
-    return root
-
-
-def _measure(node: Node, found: list | None, inside: bool) -> tuple[int, str]:
-    """Sets keys, sizes and links; collects keys of subtrees that may be template."""
-    parts, size, links, main = [node.tag, ">"], 0, node.tag == "a", node.tag in _MAIN
-    within = inside or node.tag in _MAIN
-    for c in node.children:
-        if isinstance(c, str):
-            t = _SPACE.sub(" ", c).strip()
-            size += len(t)
-            parts.append(t)
-        elif c.tag not in _SILENT:
-            _measure(c, found, within)
-            size += c.size
-            links |= c.links
-            main |= c.main
-            parts.append(str(c.key))
-    parts.append("<")
-    node.size, node.links, node.main = size, links, main
-    node.key = xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
-    if found is not None and node.tag in _BLOCK and not main and node.tag not in ("html", "body") and not (inside and node.tag in _TEXTUAL) and (size >= LEAST_TEXT or (links and size)):
-        found.append(node.key)
-
-
-#: Elements that hold an article's own text.
-_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
-
-
-def _find_main(node: Node) -> list[Node]:
-    """Outermost article and main elements that aren't within page chrome."""
-    out = []
-    for c in node.children:
-        if isinstance(c, Node) and c.tag not in _SILENT and not _chrome(c.tag, c.attributes):
-            if c.tag in _MAIN:
-                out.append(c)
-            else:
-                out += _find_main(c)
-    return out
+        node = Node(tag, attributes)
+        events.append(node)
+        if tag in _VOID or closed:
+            events.append(None)
+        else:
+            open_.push(node)
+    open_.cut(0, events)
+    return events
+
+
+def measure(events: list, found: list | None) -> bool:
+    """Sets keys, sizes and links; collects keys of subtrees that may be template.  Whether the page has an article."""
+    stack: list[tuple[Node, list, bool]] = []
+    within, any_main = False, False
+    for e in events:
+        if e is None:
+            node, parts, inside = stack.pop()
+            parts.append("<")
+            node.key = xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
+            within = inside
+            if stack and node.tag not in _SILENT:
+                up, up_parts, _ = stack[-1]
+                up.size += node.size
+                up.links |= node.links
+                up.main |= node.main
+                up_parts.append(str(node.key))
+            if found is not None and node.tag in _BLOCK and not node.main and node.tag not in ("html", "body") and not (inside and node.tag in _TEXTUAL) and (node.size >= LEAST_TEXT or (node.links and node.size)):
+                found.append(node.key)
+        elif isinstance(e, str):
+            t = _SPACE.sub(" ", e).strip()
+            if stack:
+                stack[-1][0].size += len(t)
+                stack[-1][1].append(t)
+        else:
+            e.size, e.links, e.main = 0, e.tag == "a", e.tag in _MAIN
+            any_main |= e.main
+            stack.append((e, [e.tag, ">"], within))
+            within |= e.main
+    return any_main
 
 
 def text_of(page: str | None, template: frozenset | set) -> str:
     """The main text: blocks in page order, joined by an empty line."""
     if not page:
         return ""
-    root = parse(page)
-    _measure(root, None, False)
-    blocks, cur = [], []
+    events = parse(page)
+    measure(events, None)
+    whole = _collect(events, template, True)
+    return _collect(events, template, False) if whole is None else whole
+
+
+def _collect(events: list, template: frozenset | set, only_main: bool) -> str | None:
+    """``None`` if only what is in articles is asked for and there is none beside page chrome."""
+    blocks, cur, found = [], [], False
 
     def flush():
         t = _SPACE.sub(" ", entities.unescape("".join(cur))).strip()
@@ -193,34 +315,47 @@ def text_of(page: str | None, template: frozenset | set) -> str:
         if t:
             blocks.append(t)
 
-    def walk(node: Node, inside: bool):
-        for c in node.children:
-            if isinstance(c, str):
-                cur.append(c)
-                continue
-            tag = c.tag
-            if tag == "br":
-                cur.append(" ")
-                continue
-            if tag in _SILENT or _chrome(tag, c.attributes):
-                if tag in _BLOCK:
-                    flush()
-                continue
-            if c.key in template and tag in _BLOCK and not c.main and tag not in ("html", "body") and not (inside and tag in _TEXTUAL):
+    skip = 0  # open elements within, and including, one that goes
+    mains, headers, titles = 0, 0, 0
+    stack: list[Node] = []
+    for e in events:
+        if skip:
+            if e is None:
+                skip -= 1
+            elif not isinstance(e, str):
+                skip += 1
+            continue
+        if isinstance(e, str):
+            if (mains or not only_main) and (titles or not headers):
+                cur.append(e)
+            continue
+        if e is None:
+            node = stack.pop()
+            if node.tag in _BLOCK:
                 flush()
-                continue
+            mains -= node.tag in _MAIN
+            headers -= node.tag == "header"
+            titles -= node.tag in _HEADINGS
+            continue
+        tag = e.tag
+        inside = mains > 0
+        own_header = tag == "header" and inside and not e.attributes.keys() & {"hidden", "aria-hidden", "role"}
+        if tag in _SILENT or (not own_header and _chrome(e, inside)) or (e.key in template and tag in _BLOCK and not e.main and tag not in ("html", "body") and not (inside and tag in _TEXTUAL)):
             if tag in _BLOCK:
                 flush()
-                walk(c, inside or tag in _MAIN)
-                flush()
-            else:
-                walk(c, inside)
-
-    main = _find_main(root)
-    for part in main or [root]:
-        walk(part, part is not root)
-        flush()
-    return "\n\n".join(blocks)
+            skip = 1
+            continue
+        if tag in _BLOCK:
+            flush()
+        elif tag == "br":
+            cur.append(" ")
+        stack.append(e)
+        if tag in _MAIN:
+            mains, found = mains + 1, True
+        headers += tag == "header"
+        titles += tag in _HEADINGS
+    flush()
+    return "\n\n".join(blocks) if found or not only_main else None
 
 
 def _count(batches):
@@ -230,7 +365,7 @@ def _count(batches):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 found: list = []
                 if page:
-                    _measure(parse(page), found, False)
+                    measure(parse(page), found)
                 counts.update((host, k) for k in set(found))
         yield pa.record_batch([pa.array([h for h, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "key", "pages"])
 
@@ -261,8 +396,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     per_host = rows.groupBy("host").agg(F.count("*").alias("in_host"))
     template = often.join(per_host, "host").filter(F.col("pages") >= F.col("in_host") * share).groupBy("host").agg(F.collect_set("key").alias("keys"))
     template = materialize(template, "template")
-    # Pages stay where they are: each slice of them meets the template keys of the hosts that it holds.
-    slices = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]) // (8 << 20)))
-    rows = rows.withColumn("slice", F.expr(f"cast(pmod(xxhash64(page_id, url, octet_length(html)), {slices}) as int)"))
+    # Each slice of the pages meets the template keys of the hosts that it holds; a slice is a task, or nearly.
+    slices = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]) // SLICE_BYTES))
+    place = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("page_id", "html", place), F.lit(slices)).cast("int"))
     wanted = rows.select("slice", "host").distinct().join(template, "host").select(F.col("slice").alias("to_slice"), F.col("host").alias("of_host"), "keys")
-    return rows.groupBy("slice").cogroup(wanted.groupBy("to_slice")).applyInArrow(_extract, "page_id long, url string, text string")
+    # As many tasks as slices, for their size is what bounds a task's.
+    return rows.repartition(slices, "slice").groupBy("slice").cogroup(wanted.repartition(slices, "to_slice").groupBy("to_slice")).applyInArrow(_extract, "page_id long, url string, text string")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siftwell.llm.html_extract import main_text, text_of
@@ -22,6 +24,15 @@ NONE = frozenset()
         ("<html><head><title>t</title></head><body><p>one</p><p>two</p></body></html>", "one\n\ntwo"),
         ("<article><p>&lt;b&gt; stays</p></article>", "<b> stays"),
         ("<nav><ul><li>menu<article><p>text</p></article>", "text"),
+        ("<article><header><h1>The <a href=/x/>title</a></h1><p>by someone</p></header><p>t</p><header><nav>n</nav></header></article>", "The title\n\nt"),
+        ("<article><section id='discussion'><p>d</p></section><section id=related-work>r</section><div class=share-prices>s</div><p class='comments-policy'>c</p></article>", "d\n\nr\n\ns\n\nc"),
+        ("<article><p>t</p><div class='share-buttons'>s</div><div class='post-comments'>c</div><div class='ad'>a</div><p class=advert>b</p><div id=cookie-notice>k</div></article>", "t"),
+        ("<article><p title=it's>one<p title='it>s'>two</p><p title=\"a>three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<html><head><title>t</title><body><p>no end of the head</p>", "no end of the head"),
+        ("<table><tr><td>a<td>b<tr><td><table><tr><td>in</table>c</table>", "a\n\nb\n\nin\n\nc"),
+        ("<script>never closed <p>x</p>", ""),
+        ("x <", "x <"),
+        ("<article><nav>" + "<div>" * 1000 + "menu" + "</div>" * 1000 + "</nav>text</article>", "text"),
         ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
     ],
 )
@@ -29,6 +40,15 @@ def test_text(page, want):
     assert text_of(page, NONE) == want
 
 
+@pytest.mark.parametrize("part", ["<i title=it's ", "<b>", "<p><b>", "</x>", "<td>", "<a b='", "<!--", "<![", "<script ", "</script ", "<li>", "< ", "<a/", "&amp", "<article>", "<nav><x>", "<table><td>"])
+def test_hostile_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    for x in (page, "<script>" + page, "<article><x>" + page + "</x>" * 1000):
+        start = time.process_time()
+        text_of(x, NONE)
+        assert time.process_time() - start < 5
+
+
 def test_templates_are_counted_per_host(spark):
     box = "<div><p>Subscribe now to our letter of news</p></div>"
     rows = [(i, f"https://a.example/{i}", f"<body>{box}<div><p>body text number {i}</p></div></body>", "z") for i in range(8)]
