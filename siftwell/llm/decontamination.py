@@ -5,7 +5,7 @@
    and by segments of at most ``SEGMENT`` tokens, each of which lies wholly in one of the larger passages.
 2. TF-IDF over ``BINS`` hashed tokens; document frequencies are counted over all blocks of all documents.
 3. Distributed randomised SVD of all passages: every task adds up ``A'(A G)`` for a Gaussian ``G`` of ``RANK`` columns; the
-   sums, of fixed size, are added in two levels, and a Nystroem step on the driver gives singular values and vectors.
+   sums, of fixed size, are added in a tree, and a Nystroem step on the driver gives singular values and vectors.
 4. Search: passages and items meet in the latent space, scaled by the singular values; pairs with a cosine of ``COSINE`` are
    candidates.  Items are a stated query set and go out in blocks of ``ITEMS`` at most; every passage meets every item.  A
    candidate goes if its surroundings, those that the next step reads, hold fewer tokens of the item than that step asks for.
@@ -16,11 +16,13 @@
    it covers ``SURE`` of the item, or ``LIKELY`` of it with the item's answer (what follows its last question mark or answer
    mark, else its last fifth) covered by ``ANSWER``.
 
-All passes run over whole texts in Arrow batches; no pairs are shuffled.
+All passes run over whole texts in Arrow batches; no pairs are shuffled.  A block of items costs each task a table of at most
+``2 * ITEMS * BINS`` bytes, 67 MB.
 
 Defined cases: null or empty texts and items never match; an item of fewer than ``SHORTEST`` tokens is matched only as a
-whole contiguous run; repeated rows and equal items are reported row by row and item by item, under a null id where theirs is
-null; an empty table on either side gives an empty result; other columns play no part.
+whole contiguous run; texts and items of any length are read whole; repeated rows and equal items are reported row by row and
+item by item, so ties are all reported, under a null id where theirs is null; an empty table on either side gives an empty
+result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -47,7 +49,9 @@ COMMON = 3.0
 FAINT = 0.5
 SURE, LIKELY, ANSWER = 0.75, 0.55, 0.6
 SHORTEST = 5
-ITEMS = 4096
+ITEMS = 2048
+#: Tasks whose sums meet in one group.
+LANE = 64
 LONG_ITEM = 28
 #: Tokens of an item's segment at most: with any beginning, it ends within four blocks.
 SEGMENT = 3 * BLOCK
@@ -164,17 +168,18 @@ def _range_sums(shared):
                 _scatter(total, back, block, item[order])
         total *= idf[:, None]
         for i in range(0, BINS, BINS // 16):
-            yield pa.record_batch([pa.array([i]), pa.array([TaskContext.get().partitionId() % 16]), pa.array([total[i : i + BINS // 16].tobytes()])], names=["rows", "lane", "sums"])
+            yield pa.record_batch([pa.array([i]), pa.array([TaskContext.get().partitionId()]), pa.array([total[i : i + BINS // 16].tobytes()])], names=["rows", "lane", "sums"])
 
     return run
 
 
 def _add(key, table):
+    """Sums of one lane; the lane of the next level holds ``LANE`` of this one's."""
     total = None
     for x in table.column("sums"):
         part = np.frombuffer(x.as_buffer(), np.float32)
         total = part.astype(np.float64) if total is None else total + part
-    return pa.table({"rows": [table.column("rows")[0].as_py()], "lane": [0], "sums": [total.astype(np.float32).tobytes()]}, schema=pa.schema([("rows", pa.int64()), ("lane", pa.int64()), ("sums", pa.binary())]))
+    return pa.table({"rows": [table.column("rows")[0].as_py()], "lane": [key[1].as_py()], "sums": [total.astype(np.float32).tobytes()]}, schema=pa.schema([("rows", pa.int64()), ("lane", pa.int64()), ("sums", pa.binary())]))
 
 
 def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,10 +193,17 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weights = (np.log((all_[-1] + 1.0) / (all_[:-1] + 1.0)) + 0.1).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
     schema = "rows long, lane long, sums binary"
-    got = docs.mapInArrow(_range_sums(shared), schema).groupBy("rows", "lane").applyInArrow(_add, schema).groupBy("rows").applyInArrow(_add, schema).toPandas()
+    got, lanes = docs.mapInArrow(_range_sums(shared), schema), docs.rdd.getNumPartitions()
+    while True:
+        # A group holds the sums of LANE tasks at most, some 20 MB, however many tasks there are.
+        got = got.withColumn("lane", F.floor(F.col("lane") / LANE)).groupBy("rows", "lane").applyInArrow(_add, schema)
+        lanes = -(-lanes // LANE)
+        if lanes <= 1:
+            break
+    got = got.toPandas()
     z = np.zeros((BINS, RANK))
-    for i, x in zip(got["rows"], got["sums"], strict=True):
-        z[i : i + BINS // 16] = np.frombuffer(x, np.float32).reshape(-1, RANK)
+    for i, x in zip(got["rows"], got["sums"], strict=True):  # one lane, or a few if the plan made more tasks than were counted
+        z[i : i + BINS // 16] += np.frombuffer(x, np.float32).reshape(-1, RANK)
     # Nystroem: A'A is near Z (G'Z)^-1 Z'.
     g = _tests().astype(np.float64)
     core = g.T @ z
@@ -266,31 +278,45 @@ class _Held:
     def __init__(self, bins: list[np.ndarray]):
         self.distinct = np.array([len(np.unique(x)) for x in bins])
         # Of each item its tokens' own numbers, and how often the item has them; the last number is for all others.
-        most = int(self.distinct.max())
+        most = -(-int(self.distinct.max()) // 64) * 64
         self.number = np.full((BINS + 1, len(bins)), most, np.min_scalar_type(most))
         self.times = np.zeros((len(bins), most), np.int32)
         for i, x in enumerate(bins):
             own, times = np.unique(x, return_counts=True)
             self.number[own, i], self.times[i, : len(own)] = np.arange(len(own)), times
-
-    def count(self, token: np.ndarray, doc: np.ndarray, b: np.ndarray, m: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """For blocks ``b - low`` to ``b + high - 1`` of the text, and item ``m``; ``token``: blocks by row."""
-        out, order, i = np.zeros(len(b), np.int64), np.argsort(self.distinct[m], kind="stable"), 0
-        while i < len(b):
-            wide = int(self.distinct[m[order[i : i + (1 << 14)]]].max())
-            part = order[i : i + max(1, min(1 << 14, (1 << 22) // wide))]
-            i += len(part)
-            at, last, mine, text = b[part] - low[part], b[part] + high[part], m[part], doc[b[part]]
-            there, row = np.zeros((len(part), wide + 1), bool), np.arange(len(part))
-            while len(row):
-                row = row[at[row] < last[row]]
-                inside = (at[row] >= 0) & (at[row] < len(doc))
-                here = row[inside]
-                here = here[doc[at[here]] == text[here]]
-                there[here[:, None], np.minimum(self.number[token[at[here]], mine[here, None]], wide)] = True
-                at += 1
-            out[part] = (there[:, :wide] * self.times[mine, :wide]).sum(1)
-        return out
+        self.repeats = [[(int(j), int(t[j]) - 1) for j in np.flatnonzero(t > 1)] for t in self.times]
+        self.more = np.array([sum(x[1] for x in r) for r in self.repeats])
+
+    def enough(self, token: np.ndarray, first: np.ndarray, last: np.ndarray, m: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether blocks ``first`` to ``last - 1`` of a text hold ``least`` tokens of item ``m``; ``token``: blocks by row; ordered by
+        ``m``, then ``first``."""
+        out, bits = np.zeros(len(m), np.int64), []
+        if not len(m):
+            return out > 0
+        # What neighbouring ranges of one item share is looked up once.
+        fresh = np.ones(len(m), bool)
+        fresh[1:] = m[1:] != m[:-1]
+        begin = first.copy()
+        begin[1:] = np.where(fresh[1:], first[1:], np.maximum(first[1:], last[:-1]))
+        size = np.maximum(last - begin, 0)
+        stop = np.cumsum(size)
+        start = stop - (last - first)
+        for word in range(-(-int(self.distinct[m].max()) // 64)):
+            has = np.zeros(int(stop[-1]) + 1, np.uint64)  # a bit for each of the item's tokens that the block has
+            for a in range(0, len(m), 1 << 13):
+                z = min(len(m), a + (1 << 13))
+                block = np.repeat(begin[a:z] - (stop[a:z] - size[a:z]), size[a:z]) + np.arange(stop[a] - size[a], stop[z - 1])
+                number = self.number[token[block], np.repeat(m[a:z], size[a:z])[:, None]]
+                mine = np.uint64(1) << (number & 63).astype(np.uint64)
+                mine[number >> 6 != word] = 0
+                has[stop[a] - size[a] : stop[z - 1]] = np.bitwise_or.reduce(mine, 1)
+            got = np.bitwise_or.reduceat(has, np.stack([start, stop], 1).ravel())[::2]
+            out += np.bitwise_count(got)
+            bits.append(got)
+        good = out + self.more[m] >= least
+        for k in np.flatnonzero(good & (out < least)):  # only by tokens that the item has more than once
+            good[k] = out[k] + sum(more for j, more in self.repeats[m[k]] if int(bits[j >> 6][k]) >> (j & 63) & 1) >= least[k]
+        return good
 
     def everywhere(self, item: np.ndarray, block: np.ndarray, first: np.ndarray, last: np.ndarray, m: int) -> np.ndarray:
         """For all blocks at once, with surroundings of blocks ``first`` to ``last - 1``; ``block``: that of each token of ``item``."""
@@ -348,8 +374,7 @@ def _search(shared, cosine: float):
                         if leak and (best is None or got > best[1]):
                             out[d, k] = [float(c[i]) if best is None else best[0], got, answered]
 
-                if plain.any():
-                    block, b0, b1 = np.repeat(np.arange(len(at)), size[:, 0]), np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+                block, b0, b1 = np.repeat(np.arange(len(at)), size[:, 0]), np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
                 for k in np.flatnonzero(plain).tolist():
                     width = 2 if items[k].n < LONG_ITEM else 4
                     b = np.arange(len(at))
@@ -371,7 +396,9 @@ def _search(shared, cosine: float):
                         order = np.lexsort((-c, m, b))
                         order = order[np.concatenate([[True], (np.diff(b[order]) != 0) | (np.diff(m[order]) != 0)])[: len(order)]]
                         b, m, c = b[order], m[order], c[order]
-                    good = held.count(token, doc, b, m, around[m], width + around[m]) >= least[m]
+                    order = np.lexsort((b, m))
+                    b, m, c = b[order], m[order], c[order]
+                    good = held.enough(token, np.maximum(b - around[m], b0[b]), np.minimum(b + width + around[m], b1[b]), m, least[m])
                     b, m, c = b[good], m[good], c[good]
                     check(width, b, m, c)
                 ids = part.column("doc_id")

@@ -160,3 +160,45 @@ def test_short_items_in_long_texts(spark, n):
     docs = [(i, " ".join(text() + (item if i % 5 == 0 else item[:1] + text()[:1] + item[1:] if n > 1 else []) + text()), "x") for i in range(200)]
     found = {x.doc_id for x in leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert found == set(range(0, 200, 5))
+
+
+def all_windows(words, item):
+    """Whether any surroundings of any passage hold the item, every one of them tried."""
+    n = item.n
+    if n < module.SHORTEST:
+        return item.leaks(words)[0]
+    return any(item.leaks(words[max(0, at - n) : at + 4 * module.BLOCK + n])[0] for at in range(0, len(words), module.BLOCK))
+
+
+def test_recall_against_all_pairs(spark):
+    """Items of 2 to 2000 tokens, verbatim and paraphrased, among words as frequent as in prose: all pairs of a document and an item are tried."""
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    weight = [1 / (i + 3) for i in range(len(vocab))]
+    text = lambda k: r.choices(vocab, weight, k=k)
+    items = [(i, text(n)) for i, n in enumerate([2, 3, 5, 8, 12, 15, 20, 27, 28, 40, 48, 49, 60, 90, 130, 180, 250, 500, 2000])]
+
+    def changed(w, kind):
+        out = []
+        for x in w:
+            if r.random() > kind[0]:
+                out.append(x if r.random() > kind[1] else r.choice(vocab))
+                out += text(1) if r.random() < kind[2] else []
+        return out
+
+    docs = [(i, " ".join(text(r.randint(20, 300))), "x") for i in range(200)]
+    kinds = [(0, 0, 0), (0, 0.1, 0), (0, 0.2, 0), (0.1, 0.05, 0.1), (0, 0, 0.3), (0.2, 0, 0)]
+    docs += [(1000 + 10 * i + k, " ".join([*text(r.randint(0, 120)), *changed(w, kind), *text(r.randint(0, 120))]), "x") for i, w in items for k, kind in enumerate(kinds)]
+    bench = [Item(i, " ".join(w)) for i, w in items]
+    truth = {(d, x.item_id) for d, t, _ in docs for x in bench if all_windows(tokens(pa.array([t]))[0].tolist(), x)}
+    found = {(x.doc_id, x.item_id) for x in leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    verbatim = {(1000 + 10 * i, i) for i, _ in items}
+    # A few common words of an item under a block's length meet by chance in any long text; that is for the cosine to part.
+    sizes = {i: len(w) for i, w in items}
+    planted = {(d, i) for d, i in truth if d // 10 == 100 + i}
+    long = {(d, i) for d, i in truth if sizes[i] >= module.BLOCK}
+    print(f"recall {len(found & long)} of {len(long)} pairs, {len(found & planted)} of {len(planted)} planted")
+    assert len(long) > 60 and len(planted) > 80 and verbatim <= found
+    assert len(found & long) >= 0.95 * len(long), sorted(long - found)
+    assert len(found & planted) >= 0.95 * len(planted), sorted(planted - found)
+    assert found <= truth, sorted(found - truth)
