@@ -87,7 +87,7 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     full, out = B.window_hash(h, n), []
     for i, c in enumerate(counts):
         a = first[i]
-        out.append(np.unique(full[a : a + c - n + 1]) if c >= n else B.window_hash(h[a : a + c], int(c), 7) if c else np.zeros(0, np.uint64))
+        out.append(B.distinct(full[a : a + c - n + 1]) if c >= n else B.window_hash(h[a : a + c], int(c), 7) if c else np.zeros(0, np.uint64))
     return out
 
 

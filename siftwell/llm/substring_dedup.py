@@ -220,9 +220,11 @@ def _send_windows(window: int, block: int, bits: int):
             return _MESSAGE.empty_table()
         c = _Chunk(docs)
         at, h = c.blocks(block, bits)
-        own = np.unique(h)
+        order = np.argsort(h)
+        start = X.group_starts(h[order])
+        own, of = h[order[start]], np.empty(len(h), np.int64)
+        of[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
         hit, *ref = _read_hits(X.bounds(own, bits, 32), len(own), answers)
-        of = np.searchsorted(own, h)
         at, of = at[hit[of]], of[hit[of]]
         chained = _chained(c, at, *(x[of] for x in ref), window, block)
         hits = np.zeros(len(c.starts), bool)

@@ -89,7 +89,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> np.ndarray
                 if len(least):
                     keep = np.ones(len(least), bool)
                     keep[1:] = least[1:] != least[:-1]
-                    found.append(np.unique((least[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)) + a)
+                    found.append(B.distinct((least[keep] & np.uint64(0xFFFFFFFF)).astype(np.int64)) + a)
         i = j
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
@@ -171,7 +171,7 @@ def _hot_starts(c: _Chunk, p: np.ndarray, k: int) -> np.ndarray:
     """Starts of all strings that hold one of the anchors ``p``, each once."""
     s, e = c.contexts(p, k)
     n = np.maximum(e - s - c.length + 1, 0)
-    return np.unique(np.repeat(s, n) + B.window_offsets(n))
+    return B.distinct(np.repeat(s, n) + B.window_offsets(n))
 
 
 def _string_hashes(c: _Chunk, at: np.ndarray):
