@@ -51,7 +51,7 @@ SURE, LIKELY, ANSWER = 0.75, 0.55, 0.6
 SHORTEST = 5
 ITEMS = 2048
 #: Tasks whose sums meet in one group.
-LANE = 64
+LANE = 16
 LONG_ITEM = 28
 #: Tokens of an item's segment at most: with any beginning, it ends within four blocks.
 SEGMENT = 3 * BLOCK
@@ -195,7 +195,7 @@ def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     schema = "rows long, lane long, sums binary"
     got, lanes = docs.mapInArrow(_range_sums(shared), schema), docs.rdd.getNumPartitions()
     while True:
-        # A group holds the sums of LANE tasks at most, some 20 MB, however many tasks there are.
+        # A group holds the sums of LANE tasks at most, some 5 MB, however many tasks there are.
         got = got.withColumn("lane", F.floor(F.col("lane") / LANE)).groupBy("rows", "lane").applyInArrow(_add, schema)
         lanes = -(-lanes // LANE)
         if lanes <= 1:
