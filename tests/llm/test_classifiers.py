@@ -135,3 +135,31 @@ def test_quality_without_labels(spark, labels):
     got = score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert len(got) == 1 and 0 <= got[0].score <= 1
     assert score_quality(spark.createDataFrame([], SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")).collect() == []
+
+
+def test_conflicting_labels_are_not_learnt(spark):
+    rows, labels = toxic_corpus(4, 300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    double = labels + [(i, 1 - y) for i, y in labels[:60]] + labels[60:90]
+    a, b = (fit(docs, spark.createDataFrame(x, "doc_id long, toxic int").repartition(n)) for x, n in ((double, 3), (labels[60:], 5)))
+    assert np.array_equal(a.hashes, b.hashes) and np.array_equal(a.weights, b.weights) and a.bias == b.bias
+    texts, good = quality_corpus(300)
+    docs = spark.createDataFrame(texts, SCHEMA)
+    double = good + [(i, 1 - y) for i, y in good[:60]]
+    a, b = ({x.doc_id: x.score for x in score_quality(docs.repartition(n), spark.createDataFrame(x, "doc_id long, quality int")).collect()} for x, n in ((double, 3), (good[60:], 5)))
+    assert a == b
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    rows, labels = toxic_corpus(1, 600)
+    tail = " ".join(["plain"] * 400_000) + " blimeyish blimeyer, Zounds!"
+    model = fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in score(spark.createDataFrame([(1, tail, 0), (2, "plain", 0)], SCHEMA), model).collect()}
+    assert got[1] > toxicity.THRESHOLD > got[2]
+
+
+def test_odd_column_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 2, "x")], "doc_id long, text string, `a b` int, `score` string")
+    model = fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    got = score(docs, model, carry=True).select("carry.*")
+    assert got.columns == docs.columns and [tuple(x) for x in got.collect()] == [(1, "a b", 2, "x")]

@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm.mixing import mix_sources
+from siftwell.llm.mixing import mix_by_quality, mix_sources
 
 SCHEMA = "doc_id long, text string, source string, target int"
 
@@ -71,3 +72,55 @@ def test_weights_matter(spark):
 
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def brute_draw(rows, rest):
+    """The documents with the smallest keys, while their sum stays nearest to the rest."""
+    total, drawn = 0, set()
+    for x in sorted(rows, key=lambda x: (x.key, x.doc_id is None, x.doc_id or 0, x.size)):
+        total += x.size
+        if total - x.size / 2 > rest:
+            break
+        drawn.add(x)
+    return drawn
+
+
+@pytest.mark.parametrize("bins", [2, 8, 4096])
+def test_draw_against_brute_force(spark, bins):
+    """Of each source exactly the documents with the smallest keys are drawn, and the keys are those of the method."""
+    r = random.Random(bins)
+    rows = [(i if i % 4 else None, f"{i} " + "w " * r.choice([1, 5, 40]), r.choice("aaaaab"), r.random() + 0.1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    got = mix_sources(df, bins=bins, quality=F.col("q"), carry=True).collect()
+    for s in {x.source for x in got}:
+        mine = [x for x in got if x.source == s]
+        want = brute_draw(mine, mine[0].target - mine[0].epochs * mine[0].source_size)
+        assert {x for x in mine if x.drawn} == want
+    # -ln(u) = key * w is exponential: its mean is 1, and its median ln 2.
+    e = sorted(x.key * x.carry.q for x in got)
+    assert abs(sum(e) / len(e) - 1) < 0.12 and abs(e[len(e) // 2] - math.log(2)) < 0.1
+
+
+def test_null_ids_are_sampled(spark):
+    """Rows without an id draw keys apart, equal texts too, and what is drawn doesn't depend on the size."""
+    rows = [(None, "w " * (1 + i % 50), "a" if i % 2 else "b", 0) for i in range(2000)] + [(None, "same text", "b", 0)] * 500
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), weights=(1, 3), quality=F.lit(1.0)).filter("source = 'a'").collect()
+    drawn, left = [x.size for x in got if x.drawn], [x.size for x in got if not x.drawn]
+    assert len(drawn) > 100 and len(left) > 100 and abs(sum(drawn) / len(drawn) - sum(left) / len(left)) < 5
+    same = mix_sources(spark.createDataFrame([(None, "same text", x, 0) for x in "ab" for _ in range(500)], SCHEMA), weights=(1, 3), quality=F.lit(1.0)).filter("source = 'a'").collect()
+    assert 0 < sum(x.drawn for x in same) < 500 and len({x.key for x in same}) > 490
+
+
+def test_weights_are_quality_scores(spark):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        t = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+        rows.append((i, " ".join(t if i % 2 else [x.upper() + "###" for x in t]), "a" if i % 4 < 2 else "b", 0))
+        labels.append((i, i % 2, 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mix_by_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), weights=(1, 3)).filter("source = 'a'").collect()
+    good, bad = ([x.drawn for x in got if x.doc_id % 2 == k] for k in (1, 0))
+    assert sum(good) > 3 * sum(bad) and len(good) == len(bad) == 150
+    again = mix_by_quality(docs.repartition(3), spark.createDataFrame(labels[::-1], "doc_id long, quality int, toxic int"), weights=(1, 3)).filter("source = 'a'").collect()
+    assert {tuple(x) for x in got} == {tuple(x) for x in again}

@@ -64,3 +64,75 @@ def test_empty_tables(spark, tmp_path, stage):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[stage][1](spark, docs, str(tmp_path)).collect() == []
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a b` string, `a-b` int, carry string, `__kept_row` int, leaked string, score double, row string, h long, size string"
+
+
+def odd_rows(extra):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstu") for _ in range(r.randint(3, 9)))
+    texts = {k: " ".join(word() for _ in range(60)) for k in "abcdef"}
+    rows = [
+        (None, None), (None, None), (None, ""), (7, None), (7, ""), (7, " \n"),  # empty, with ids that are null or repeated
+        (None, texts["a"]), (8, texts["b"]), (8, texts["c"]), (None, texts["d"]),
+        (9, " ".join(word() for _ in range(40_000))),  # very long
+        *extra(texts),
+    ]
+    return [(i, t, "en", "s", len(t or ""), f"row {n}", n, "c", n, "x", 0.5, "r", n, "big") for n, (i, t) in enumerate(rows)]
+
+
+def odd_run(spark, tmp_path, stage, extra=lambda t: [], items=()):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = odd_rows(extra)
+    spark.createDataFrame(rows, ODD).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert got.columns[: len(docs.columns)] == docs.columns or stage == "source_mixing"
+    return rows, [tuple(x) for x in got.collect()]
+
+
+def test_toxicity_keeps_odd_rows(spark, tmp_path):
+    corpus_pipeline.toxicity.THRESHOLD, before = 0.6, corpus_pipeline.toxicity.THRESHOLD
+    try:  # without labels all scores are 0.5
+        rows, got = odd_run(spark, tmp_path, "toxicity")
+    finally:
+        corpus_pipeline.toxicity.THRESHOLD = before
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_near_duplicates_are_judged_row_by_row(spark, tmp_path):
+    """Empty rows all stay; of rows with one set the smallest id stays, of one id one row, of rows equal in all columns one."""
+    rows, got = odd_run(spark, tmp_path, "minhash_near_dedup", lambda t: [(5, t["a"]), (8, t["b"]), (None, t["d"]), (20, t["e"]), (21, t["e"] + " end")])
+    left = sorted(x[6] for x in got)
+    assert set(got) <= set(rows) and len(got) == len(left)
+    # 6 equals 11, which has an id; 7 equals 12; 9 equals 13; 14 has a near copy.
+    assert set(range(6)) | {8, 10, 11, 14} <= set(left) and 6 not in left and 15 not in left
+    assert len({7, 12} & set(left)) == 1 and len({9, 13} & set(left)) == 1 and len(left) == 12
+
+
+def test_equal_rows_leave_one(spark):
+    rows = [(1, "one text of a few words", "x")] * 50 + [(None, None, "x")] * 3 + [(2, "another text of some words", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(4)
+    got = sorted((tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, "one text of a few words", "x"), (2, "another text of some words", "y"), *[(None, None, "x")] * 3], key=str)
+
+
+def test_repeats_are_cut_from_odd_rows(spark, tmp_path):
+    rows, got = odd_run(spark, tmp_path, "suffix_array_dedup", lambda t: [(30, f"before it {t['a']} after it"), (None, t["f"])])
+    by = {x[6]: x for x in got}
+    assert all(by[i] == rows[i] for i in range(len(rows)) if i not in (6, 11))
+    assert 6 not in by and by[11][1].startswith("before it") and by[11][1].endswith("after it") and by[11][4] == len(by[11][1]) < 30
+
+
+def test_leaks_are_judged_row_by_row(spark, tmp_path):
+    item = " ".join(f"leak{i}" for i in range(20))
+    rows, got = odd_run(spark, tmp_path, "benchmark_decontamination", lambda t: [(None, f"{t['a']} {item} {t['b']}"), (8, item)], [(None, item), (1, None), (2, "")])
+    assert sorted(got, key=str) == sorted(rows[:-2], key=str)
+
+
+def test_mix_of_odd_rows(spark, tmp_path):
+    rows, got = odd_run(spark, tmp_path, "source_mixing")
+    at = ODD.replace("`", "").split(", ")
+    assert {x[6] for x in got} == {r[6] for r in rows} and len(at) + 4 == len(got[0])  # one source takes its whole share once; size is replaced

@@ -72,3 +72,21 @@ def test_matches_brute_force(spark, monkeypatch, chunks, most):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_long_texts_and_odd_columns(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghij ") for _ in range(1_500_000))
+    rows = [(1, long, 1), (2, "x" * 100 + long[700_000:700_900] + "y" * 100, 2), (3, "z" * 1_000_000, 3), (None, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a b` int")
+    got = {x.carry["a b"]: (x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup(df, carry=True).collect()}
+    assert got == {1: (1, 1_500_000, 900, 1), 2: (2, 1100, 900, 1), 3: (3, 1_000_000, 1_000_000, 1), 4: (None, 0, 0, 0)}
+
+
+def test_the_index_is_the_transform_in_runs():
+    text = np.frombuffer(b"banana\xffbandana\xff", np.uint8)
+    index = RunLengthIndex(text)
+    assert index.lengths.sum() == len(text) == len(index.transform()) and len(index.letters) < len(text)
+    assert sorted(index.transform().tolist()) == sorted(text.tolist())
+    copied = index.matching_statistics((np.array([7]), np.array([7])))
+    assert copied[7:14].tolist() == [7, 6, 5, 4, 3, 2, 1] and index.matching_statistics()[7] == 3
