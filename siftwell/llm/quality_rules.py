@@ -8,12 +8,16 @@ quantile are rejected.
 
 One concentration step is one pass: distances are binned on a log scale and moments are summed per group and bin (partial
 aggregates, so that a group with a third of all rows is no bottleneck); the subset's moments are then a prefix sum over the
-bins, on a table of groups times bins.  A variance never falls below the square of a coordinate's ``FLOOR``: most texts have
-no symbols and no repeats at all, and a plain determinant would collapse on them.  Groups under ``LEAST_ROWS`` rows are
-pooled by language, and languages under it into one group; if that is smaller still, its rows are kept.
-
-Defined cases: a null or empty text has no words and fails the base rule; null language and null source are values of their
-own; repeated rows count each; ids may be null; an empty table gives an empty result; other columns play no part.
+bins, on a table of groups times bins.  The square of a coordinate's ``FLOOR`` is added to each variance: most texts have
+no symbols and no repeats at all, and a plain determinant would collapse on them.  The floor of repeated lines is small enough
+for a text of nothing else to be rejected by them alone; for repeated words there is the base rule.  A covariance of five coordinates needs rows, so
+languages and sources with under ``LEAST_ROWS`` of them are estimated together with the others such of their language, and
+where these are under it too, with all others such; that last group is judged by its own estimate however small it is.
+
+Defined cases: a null or empty text has no words and fails the base rule; texts of any length are counted whole; null language
+and null source are values of their own; repeated rows count each, and rows that tie in distance fall into one bin, so they
+are taken or left together; ids may be null; an empty table gives an empty result; other columns play no part and may have any
+name.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ STEPS = 5
 LEAST_ROWS = 60
 CUT = 0.9999
 #: Least standard deviation of each coordinate, in its own (logarithmic) units.
-FLOOR = (0.2, 0.05, 0.3, 0.5, 0.5)
+FLOOR = (0.2, 0.05, 0.3, 0.47, 0.5)
 P = len(FLOOR)
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 X = [f"x{i}" for i in range(P)]
@@ -204,7 +208,7 @@ def robust_scatter(rows: DataFrame, steps: int = STEPS, h: float = H) -> DataFra
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, the base statistics, ``base_failed``, ``distance`` (squared, null where not judged), ``kept``."""
+    """One row per row of ``docs``: ``doc_id``, the base statistics, ``base_failed``, ``distance`` (squared, null where ``base_failed``), ``kept``."""
     small = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string")), F.lit("null")).alias("lang"),
@@ -219,12 +223,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_lang = Window.partitionBy("lang")
     size = size.withColumn("own", F.col("n") >= LEAST_ROWS).withColumn("left", F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).over(by_lang))
     size = size.withColumn("grp", F.when(F.col("own"), F.to_json(F.struct("lang", "source"))).when(F.col("left") >= LEAST_ROWS, F.to_json(F.struct("lang"))).otherwise(F.lit("rest")))
-    total = size.groupBy("grp").agg(F.sum("n").alias("in_group"))
-    size = materialize(size.join(total, "grp").select("lang", "source", "grp", (F.col("in_group") >= LEAST_ROWS).alias("judged")), "groups")
+    size = materialize(size.select("lang", "source", "grp"), "groups")
 
-    rows = materialize(sound.join(size.filter("judged"), ["lang", "source"]).select("grp", *X), "rows")
+    rows = materialize(sound.join(size, ["lang", "source"]).select("grp", *X), "rows")
     scatter = robust_scatter(rows)
     judged = _distance(facts.join(size, ["lang", "source"], "left").join(scatter, "grp", "left"))
-    distance = F.when(~F.col("base_failed") & F.coalesce("judged", F.lit(False)), F.col("d2"))
+    distance = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & (distance.isNull() | (distance <= chi2_quantile(cut, P)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), kept.alias("kept"))

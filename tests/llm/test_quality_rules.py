@@ -89,6 +89,53 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert sum(map(len, [rows])) == len(rows)
 
 
+def test_verdicts_against_an_exact_estimate(spark):
+    """Of each language and source: the vectors, the estimate from exact subsets and the cut, all by numpy."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    rows = []
+    for i in range(1500):
+        t = [word() for _ in range(int(r.lognormvariate(4.5, 0.6)) + 20)]
+        if i % 25 == 0:
+            t = [x + "#$" for x in t]
+        elif i % 25 == 1:
+            t = [x * 8 for x in t]
+        elif i % 25 == 2:
+            t = ["the same line again\n"] * 30 + t
+        rows.append((i, " ".join(t), "en" if i % 3 else "de", "s"))
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    names = {i: lang for i, _, lang, _ in rows}
+    lines = {i: len([x for x in t.split("\n") if WORD.search(x)]) for i, t, _, _ in rows}
+    same = 0
+    for lang in ("en", "de"):
+        mine = [x for x in got if names[x.doc_id] == lang and not x.base_failed]
+        x = np.array([[np.log(y.n_words + 1), np.log((y.word_chars + 1) / (y.n_words + 1)), np.log1p(10 * y.n_symbols / (y.n_words + 1)), np.log1p(10 * y.n_dup_lines / (lines[y.doc_id] + 1)), np.log1p(10 * y.n_repeat_words / (y.n_words + 1))] for y in mine])
+        mean, cov = numpy_scatter(x)
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        same += sum((d <= chi2_quantile(module.CUT, P)) == y.kept for d, y in zip(d2, mine, strict=True))
+    sound = [x for x in got if not x.base_failed]
+    assert same >= 0.99 * len(sound) and 60 <= sum(not x.kept for x in sound) <= 250
+    assert all(x.base_failed == (x.n_words < 20 or 100 * x.n_repeat_words > 30 * x.n_words) and not (x.base_failed and x.kept) for x in got)
+
+
+def test_small_tables_are_judged_and_repeated_lines_alone_reject(spark):
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(n))
+    rows = [(i, text(r.randint(60, 90)), "en", "s") for i in range(30)]
+    rows.append((91, " ".join(x + "###" for x in text(70).split()), "en", "s"))
+    rows += [(95, text(70), None, None), (96, text(80), None, None)]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i].kept for i in range(30)) >= 29 and not got[91].kept and got[91].distance > 0 and got[95].kept and got[96].kept and got[95].distance is not None
+    assert (np.log1p(10) / FLOOR[3]) ** 2 > chi2_quantile(module.CUT, P)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word " * 200_000, "en", "s"), (2, " ".join(f"w{i}" for i in range(100_000)), "en", "s")]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (200_000, 200_000, True)
+    assert (got[2].n_words, got[2].n_repeat_words, got[2].base_failed) == (100_000, 0, False)
+
+
 def test_chi2():
     assert chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
     assert chi2_quantile(0.5, 2) == pytest.approx(1.38629, abs=1e-4)
