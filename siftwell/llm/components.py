@@ -25,7 +25,6 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(materialize(_least(both), "least"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # Small star: the neighbours are all smaller here, as u > v holds in every edge.
-        large = materialize(large, "large")
         small = large.join(materialize(_least(large), "least"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         cur = materialize(small, "edges")
         now = tuple(cur.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))"), F.lit(0))).first())

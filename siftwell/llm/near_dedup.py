@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = materialize(pairs.mapInArrow(_sketch(shingle), "doc_id long, row long, n_shingles long, k long, sig binary"), "sketch")
     # Equal sets become one vertex.
     vertex = materialize(
-        sketch.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
+        sketch.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
         "vertex",
     )
     facts = vertex.select("k", "n_shingles", "sig")
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = one.unionByName(two).filter("good").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(forest.unionByName(star).distinct(), "links")
 
-    links = _confirmed(first, _sets(pairs, sketch, _ends(first), shingle), percent)
+    links = _confirmed(first, _sets(pairs, vertex, _ends(first), shingle), percent)
     comp = connected_components(links)
 
     # Nodes that hold several components still.
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialize(across.join(first, ["a", "b"], "left_anti"), "links")
     found = [links]
     if not (more.isEmpty() and crowd.isEmpty()):
-        sets = _sets(pairs, sketch, _ends(more).unionByName(crowd.select("k")).distinct(), shingle)
+        sets = _sets(pairs, vertex, _ends(more).unionByName(crowd.select("k")).distinct(), shingle)
         found.append(_confirmed(more, sets, percent))
         whole = materialize(crowd.join(facts, "k").join(sets, "k").withColumn("outside", F.col("size") - F.col("in_main")), "crowd")
         blocks = _packed(whole.filter("root <> main"), "outside", "few").join(_packed(whole, "size", "many"), "node")
@@ -446,9 +446,9 @@ def _confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _sets(pairs: DataFrame, sketch: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
+def _sets(pairs: DataFrame, vertex: DataFrame, vertices: DataFrame, shingle: int) -> DataFrame:
     """``(k, items)``: the full sets of the vertices, made again from the text of one document of each."""
-    reader = sketch.join(vertices, "k", "left_semi").groupBy("k").agg(F.min("row").alias("row"))
+    reader = vertex.select("k", "row").join(vertices, "k", "left_semi")
     texts = pairs.join(reader, "row").dropDuplicates(["k"])
     return materialize(texts.select("k", "text").mapInArrow(_sets_of(shingle), "k long, items binary"), "sets")
 
