@@ -17,7 +17,8 @@ group of thousands of near copies from becoming all its pairs:
    with two pivots, the second of which is the member most alike to the first and so lies near the middle of the node;
 3. these links are confirmed on full sets; components;
 4. nodes that still hold several components: all pairs across components; confirmed on full sets; components again.  A large
-   node is branched further for that.  Where most of it is one component, or where branching has not parted it in
+   node is branched further for that.  Where half of it is one component, which branching would copy to no use, where
+   comparing is cheaper than copies (``MEDIUM``: some two thousand members), or where branching has not parted it in
    ``MAX_ROUNDS`` rounds, the members outside its largest component are compared with all of it exhaustively, block by block,
    on full sets.
 
@@ -52,6 +53,8 @@ COORDINATES = 128
 SIGMAS = 3.1
 #: Members up to which a node is compared exhaustively.
 SMALL = 128
+#: Members outside a node's largest component, times all its members, up to which it is compared exhaustively, block by block.
+MEDIUM = 1 << 22
 #: Branching steps between two counts of the nodes.
 STEPS = 4
 #: Counts of the nodes after which what is still large is compared block by block.
@@ -371,12 +374,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cur = materialize(cur.select("node", "k", "root").join(mixed, "node"), "mixed")
         leaves.append(cur.filter(F.col("size") <= SMALL))
         cur = cur.filter(F.col("size") > SMALL)
-        dense = F.lit(turn == MAX_ROUNDS) | (2 * F.col("in_main") >= F.col("size"))
+        dense = F.lit(turn == MAX_ROUNDS) | (2 * F.col("in_main") >= F.col("size")) | ((F.col("size") - F.col("in_main")) * F.col("size") <= MEDIUM)
         crowds.append(cur.filter(dense))
         cur = cur.filter(~dense)
         if cur.isEmpty():
             break
         cur = cur.join(facts.select("k", "sig"), "k").mapInArrow(_children(percent / 100, 1 if turn else COPIES), "node long, k long, root long")
+        cur = materialize(cur, "children")  # read twice
     tested, crowd = _all(leaves), materialize(_all(crowds), "crowd")
     # Nodes of the very same members, from several trees or copies, are compared once.
     same = crowd.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(k))").alias("x"), F.expr("bit_xor(xxhash64(k, 1))").alias("y"))
