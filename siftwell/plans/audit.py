@@ -66,11 +66,23 @@ def template_report(system: str, message: str, evidence: str) -> str:
     return f"# SEO Audit Report\n\n**Website:** {title}\n\n---\n\n{body}\n"
 
 
-def with_reports(texts: DataFrame, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "") -> DataFrame:
+def _without_key(system: str, message: str, evidence: str) -> str:
+    raise ValueError(MISSING_KEY)
+
+
+#: The error of all rows if a hosted provider is to be asked without a key; the API answers 500 for it.
+MISSING_KEY = "No key for the report provider is configured: set LLM_API_KEY in the environment or the .env file."
+
+
+def with_reports(texts: DataFrame, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "", settings: Settings | None = None) -> DataFrame:
     """Reports for ``base_url, evidence_text``: ``audit_id, url, markdown_report, created_at, report_error``.
 
     A provider may call out, so write the result before using it twice.  A row it fails for keeps its error (502 at the API).
+    With ``settings``, a provider other than the template needs their key; without it none is called and every row has
+    ``MISSING_KEY``.
     """
+    if settings is not None and provider is not template_report and not settings.llm_api_key:
+        provider = _without_key
     system = guidance.system_prompt_column(F.col("base_url")) if guidance else F.lit("")
     rows = texts.select(audit_id(F.col("base_url"), snapshot).alias("audit_id"), F.col("base_url").alias("url"), system.alias("system"), user_message(F.col("base_url"), F.col("evidence_text")).alias("message"), "evidence_text")
 
@@ -94,7 +106,7 @@ def with_reports(texts: DataFrame, guidance: Guidance | None = None, provider: P
 
 
 def results(reports: DataFrame) -> DataFrame:
-    """What the API answers per audit, from ``with_reports`` and ``with_pdf``: 202 with the report, or 502 and the error.
+    """What the API answers per audit, from ``with_reports`` and ``with_pdf``: 202 with the report, 500 without a key, or 502 and the error.
 
     A report whose PDF failed is still a result; its download URL is empty.
     """
@@ -102,7 +114,7 @@ def results(reports: DataFrame) -> DataFrame:
     return reports.select(
         "audit_id",
         "url",
-        F.when(failed, 502).otherwise(202).alias("http_status"),
+        F.when(F.col("report_error") == MISSING_KEY, 500).when(failed, 502).otherwise(202).alias("http_status"),
         "markdown_report",
         F.when(failed, F.lit("")).otherwise(F.col("pdf_download_url")).alias("pdf_download_url"),
         "created_at",
@@ -127,7 +139,7 @@ def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter
     first = kept(fetch(planned_requests(audits), settings, get), "first")
     resources = first.unionByName(kept(fetch(further_sitemaps(first), settings, get), "further"))
     found = kept(evidence(resources), "evidence")
-    reports = kept(with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot), "reports")
+    reports = kept(with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot, settings), "reports")
     return {"rejects": rejected(checked), "resources": resources, "evidence": found, "reports": reports, "results": results(with_pdf(reports))}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -88,15 +89,20 @@ def http_get(url: str, timeout: int, max_redirects: int) -> dict:
 Getter = Callable[[str, int, int], dict]
 
 
-def fetch(requests: DataFrame, settings: Settings, get: Getter = http_get) -> DataFrame:
-    """Runs the requests on the executors.  A side effect: write the result before using it twice."""
+#: Requests that one task has open at a time.
+AT_ONCE = 16
+
+
+def fetch(requests: DataFrame, settings: Settings, get: Getter = http_get, at_once: int = AT_ONCE) -> DataFrame:
+    """Runs the requests on the executors, ``at_once`` of a task together.  A side effect: write the result before using it twice."""
     timeout, redirects = settings.fetch_timeout_seconds, settings.fetch_max_redirects
     names = [f.split()[0] for f in _FETCHED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([get(u, timeout, redirects) for u in b["url"]], columns=names)
-            yield pd.concat([b.reset_index(drop=True), got], axis=1)
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            for b in batches:
+                got = pd.DataFrame(list(pool.map(lambda u: get(u, timeout, redirects), b["url"])), columns=names)
+                yield pd.concat([b.reset_index(drop=True), got], axis=1)
 
     return requests.select("audit_id", "seq", "kind", "url", "label").mapInPandas(run, f"audit_id string, seq int, kind string, url string, label string, {_FETCHED}").select(*[f.split()[0] for f in RESOURCE.split(", ")])
 

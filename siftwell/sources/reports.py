@@ -57,6 +57,17 @@ def pdf_name(audit_id: Column) -> Column:
     return F.concat(F.lit("seo-audit-"), F.substring(audit_id, 1, 8), F.lit(".pdf"))
 
 
+def write_pdfs(reports: DataFrame, path: str, mode: str = "append") -> None:
+    """The files of ``with_pdf`` as rows, ``audit_id, name, pdf``, laid out like the reports; audits without one have none."""
+    rows = reports.filter("pdf is not null").select("audit_id", pdf_name(F.col("audit_id")).alias("name"), "pdf", prefix(F.col("audit_id")).alias("id_prefix"))
+    rows.repartition("id_prefix").sortWithinPartitions("id_prefix", "audit_id").write.mode(mode).partitionBy("id_prefix").parquet(path)
+
+
+def find_pdf(spark: SparkSession, path: str, audit_id: str) -> DataFrame:
+    """``audit_id, name, pdf`` of one audit; no row if its id is unknown or it has no file.  Reads one prefix."""
+    return spark.read.parquet(path).filter((F.col("id_prefix") == prefix(F.lit(audit_id))) & (F.col("audit_id") == audit_id)).drop("id_prefix")
+
+
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
 

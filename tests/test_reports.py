@@ -3,14 +3,14 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.config import read_settings
+from siftwell.config import Settings, read_settings
 from siftwell.operators import scoring
 from siftwell.operators.blocks import EMPTY, cover_blocks, inline, markdown_blocks, md_blocks
-from siftwell.plans.audit import captured_evidence, with_evidence_text, with_reports
+from siftwell.plans.audit import MISSING_KEY, captured_evidence, results, template_report, with_evidence_text, with_reports
 from siftwell.schemas import REPORT
 from siftwell.sources.captures import fetch, fetch_summary, further_sitemaps, planned_requests
 from siftwell.sources.guidance import FILES, read_guidance
-from siftwell.sources.reports import find_report, read_reports, read_reports_json, render_pdf, with_pdf, write_reports, write_reports_json
+from siftwell.sources.reports import find_pdf, find_report, read_reports, read_reports_json, render_pdf, with_pdf, write_pdfs, write_reports, write_reports_json
 from siftwell.streaming.evidence_stream import evidence_stream, page_stream, write_evidence
 
 
@@ -87,6 +87,24 @@ def test_pdf(spark):
     assert got["b"].pdf is None and got["b"].pdf_download_url == ""
 
 
+def test_pdf_files_by_id(spark, tmp_path):
+    rows = [(f"id-{i}", "u", "# x", "2026-01-02T03:04:05+00:00" if i else "no time") for i in range(6)]
+    write_pdfs(with_pdf(spark.createDataFrame(rows, REPORT)), str(tmp_path / "pdf"))
+    found = find_pdf(spark, str(tmp_path / "pdf"), "id-3")
+    assert [(x.audit_id, x.name, bytes(x.pdf)[:5]) for x in found.collect()] == [("id-3", "seo-audit-id-3.pdf", b"%PDF-")]
+    assert "PartitionFilters: [isnotnull(id_prefix" in found._jdf.queryExecution().executedPlan().toString()
+    assert find_pdf(spark, str(tmp_path / "pdf"), "id-0").collect() == find_pdf(spark, str(tmp_path / "pdf"), "../id-3").collect() == []
+
+
+def test_missing_key(spark):
+    texts = spark.createDataFrame([("https://a.com", "## text"), ("https://b.com", "## text")], "base_url string, evidence_text string")
+    asked = lambda system, message, evidence: "# report"
+    bare, keyed = Settings(), Settings(llm_api_key="k")
+    status = lambda settings, provider: [(x.http_status, x.detail) for x in results(with_pdf(with_reports(texts, provider=provider, settings=settings))).collect()]
+    assert status(bare, asked) == [(500, MISSING_KEY)] * 2
+    assert status(keyed, asked) == status(bare, template_report) == status(None, asked) == [(202, None)] * 2
+
+
 def test_guidance(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="ai_guidelines"):
         read_guidance(tmp_path)
@@ -135,6 +153,21 @@ def test_requests_and_fetch(spark, tmp_path):
     assert {(x.audit_id, x.n_resources, x.n_retrieved) for x in fetch_summary(got).collect()} == {("a", 3, 3), ("b", 3, 0)}
 
 
+def test_requests_of_a_task_run_together(spark):
+    requests = spark.createDataFrame([("a", i, "extra", f"https://e.com/{i}", "x") for i in range(32)], "audit_id string, seq int, kind string, url string, label string").coalesce(1)
+
+    def get(url, timeout, redirects):
+        import threading
+        import time
+
+        time.sleep(0.2)
+        return {"final_url": url, "status_code": 200, "content": str(threading.active_count()), "is_success": True, "is_fetched": True, "error_message": ""}
+
+    got = fetch(requests, read_settings(), get, at_once=8).collect()
+    assert all(x.final_url == x.url for x in got) and len(got) == 32
+    assert max(int(x.content) for x in got) >= 8
+
+
 def test_http_get_records_failures():
     from siftwell.sources.captures import http_get
 
