@@ -83,8 +83,11 @@ def form_texts(seed, pairs=600):
     return rows
 
 
-def test_pairs_among_form_texts(spark, monkeypatch):
+@pytest.mark.parametrize("medium", [0, module.MEDIUM])
+def test_pairs_among_form_texts(spark, monkeypatch, medium):
+    """By branching, and by comparing the mixed nodes exhaustively."""
     monkeypatch.setattr(module, "SMALL", 8)
+    monkeypatch.setattr(module, "MEDIUM", medium)
     got = near_duplicates(spark.createDataFrame(form_texts(1), "doc_id long, text string"), shingle=1).collect()
     assert all(x.component_id in (x.doc_id, x.doc_id - x.doc_id % 2) for x in got)
     assert sum(x.doc_id % 2 and x.component_id == x.doc_id - 1 for x in got) >= 0.995 * 600
