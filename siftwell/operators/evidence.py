@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.robots import robots_evidence
 from ..functions.sitemaps import sitemap_evidence
+from ..functions.urls import site_root
 from ..schemas import EVIDENCE_FIELDS, ROBOTS, SITEMAP
 from .html import parsed
 from .links import classify
@@ -77,25 +79,43 @@ def evidence(resources: DataFrame) -> DataFrame:
     """``audit_id`` and the evidence fields, from the ``RESOURCE`` table.
 
     Bodies are parsed where they are; only the small results meet, in one aggregation by audit.  The base URL is the
-    homepage's requested one.
+    homepage's requested one.  An audit without a homepage row has the evidence of one that failed, at the root of its site.
     """
     home = home_fields(resources.filter("kind = 'homepage'").withColumn("base_url", F.col("url")))
     names = [c for c in home.columns if c != "audit_id"]
-    home = home.select("audit_id", F.lit(0).alias("seq"), F.struct(*names).alias("home"), F.lit(None).cast(ROBOTS).alias("robots"), F.lit(None).cast(SITEMAP).alias("sitemap"))
-    none = F.lit(None).cast(home.schema["home"].dataType)
-    robots = resources.filter("kind = 'robots'").select(
-        "audit_id", "seq", none.alias("home"), robots_evidence(F.col("content"), F.col("status_code"), F.col("is_success"), F.col("is_fetched")).cast(ROBOTS).alias("robots"), F.lit(None).cast(SITEMAP).alias("sitemap")
-    )
-    sitemaps = resources.filter("kind = 'extra' or (kind = 'sitemap' and is_fetched)").select(
-        "audit_id", "seq", none.alias("home"), F.lit(None).cast(ROBOTS).alias("robots"), sitemap_evidence(F.col("url"), F.col("content"), F.col("status_code"), F.col("is_success")).cast(SITEMAP).alias("sitemap")
-    )
-    whole = home.unionByName(robots).unionByName(sitemaps).groupBy("audit_id")
+    form = home.select(F.struct(*names).alias("home")).schema["home"].dataType
+    blank = {"robots": F.lit(None).cast(ROBOTS), "sitemap": F.lit(None).cast(SITEMAP), "home": F.lit(None).cast(form)}
+
+    def small(rows: DataFrame, seq: Column, root: Column, **given: Column) -> DataFrame:
+        return rows.select("audit_id", seq.alias("seq"), root.alias("root"), *[given.get(name, empty).alias(name) for name, empty in blank.items()])
+
+    root = site_root(F.col("url"))
+    robots = resources.filter("kind = 'robots'")
+    robots = small(robots, F.col("seq"), root, robots=robots_evidence(F.col("content"), F.col("status_code"), F.col("is_success"), F.col("is_fetched")).cast(ROBOTS))
+    sitemap = sitemap_evidence(F.col("url"), F.col("content"), F.col("status_code"), F.col("is_success")).cast(SITEMAP)
+    sitemaps = small(resources.filter("kind in ('sitemap', 'extra')"), F.col("seq"), root, sitemap=F.when((F.col("kind") == "extra") | F.col("is_fetched"), sitemap))
+    whole = small(home, F.lit(0), site_root(F.col("base_url")), home=F.struct(*names)).unionByName(robots).unionByName(sitemaps).groupBy("audit_id")
     got = whole.agg(
         F.first("home", ignorenulls=True).alias("home"),
+        F.min_by("root", "seq").alias("root"),
         F.first("robots", ignorenulls=True).alias("robots_txt"),
         F.array_sort(F.collect_list(F.when(F.col("sitemap").isNotNull(), F.struct("seq", "sitemap")))).alias("maps"),
-    ).filter("home is not null")
-    return _fixed(got.select("audit_id", "home.*", "robots_txt", F.transform("maps", lambda m: m["sitemap"]).alias("sitemaps")))
+    )
+    return _fixed(got.select("audit_id", F.coalesce("home", _failed_home(F.col("root"), form)).alias("home"), "robots_txt", F.transform("maps", lambda m: m["sitemap"]).alias("sitemaps")).select("audit_id", "home.*", "robots_txt", "sitemaps"))
+
+
+def _failed_home(root: Column, form: StructType) -> Column:
+    """The homepage's fields as a failed fetch of ``root`` would have them."""
+    known = {"base_url": root, "final_url": root, "is_https": root.startswith("https://")}
+
+    def value(f: StructField) -> Column:
+        if f.name in known:
+            return known[f.name]
+        if isinstance(f.dataType, ArrayType):
+            return F.array().cast(f.dataType)
+        return F.lit(0).cast(f.dataType) if isinstance(f.dataType, IntegerType) else F.lit(None).cast(f.dataType)
+
+    return F.struct(*[value(f).alias(f.name) for f in form.fields])
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

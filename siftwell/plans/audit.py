@@ -122,9 +122,21 @@ def results(reports: DataFrame) -> DataFrame:
     )
 
 
+def fetch_failures(resources: DataFrame) -> DataFrame:
+    """What the API answers, in the columns of ``results``, for audits whose homepage request raised: 502 and the error.
+
+    A homepage that was answered, with whatever status, is none of them: its audit goes on with what there is.
+    """
+    failed = resources.filter("kind = 'homepage' and not is_fetched")
+    detail = F.concat(F.lit("Could not fetch the website: "), F.col("error_message"), F.lit(". Please check the URL and try again."))
+    return failed.select("audit_id", "url", F.lit(502).alias("http_status"), F.lit(None).cast("string").alias("markdown_report"), F.lit("").alias("pdf_download_url"), F.lit(None).cast("string").alias("created_at"), detail.alias("detail"))
+
+
 def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter = http_get, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "") -> dict[str, DataFrame]:
     """The whole chain for raw URLs (column ``url``): ``rejects, resources, evidence, reports`` and ``results``.
 
+    Audits whose homepage request raised have no evidence and no report, but a result.
+
     What calls out, requests and the provider, is written below ``path`` before anything reads it, so that neither a retried
     task nor a second use of the result calls twice for what is there.
     """
@@ -138,9 +150,10 @@ def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter
     audits = accepted(checked).select(audit_id(F.col("normalized_url"), snapshot).alias("audit_id"), F.col("normalized_url").alias("url")).dropDuplicates(["audit_id"])
     first = kept(fetch(planned_requests(audits), settings, get), "first")
     resources = first.unionByName(kept(fetch(further_sitemaps(first), settings, get), "further"))
-    found = kept(evidence(resources), "evidence")
+    failures = fetch_failures(resources)
+    found = kept(evidence(resources).join(failures, "audit_id", "left_anti"), "evidence")
     reports = kept(with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot, settings), "reports")
-    return {"rejects": rejected(checked), "resources": resources, "evidence": found, "reports": reports, "results": results(with_pdf(reports))}
+    return {"rejects": rejected(checked), "resources": resources, "evidence": found, "reports": reports, "results": results(with_pdf(reports)).unionByName(failures)}
 
 
 def host_rollup(rows: DataFrame) -> DataFrame:

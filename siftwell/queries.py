@@ -106,7 +106,7 @@ _SHOP = """concat('<html lang="en"><head><title> Shop ', {k}, ' </title>',
   '<script>var x = "<a href=no>";</script><!-- <h1>no</h1> --></body></html>')"""
 
 
-def _shop_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shop_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homepages of suppliers, robots.txt of all, sitemaps of some; every third homepage failed."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     k = "cast(s_suppkey as string)"
@@ -121,34 +121,34 @@ def _shop_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images_alt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evidence(_shop_resources(spark, sf_dir))
+    e = evidence(shop_resources(spark, sf_dir))
     return e.select(F.col("audit_id").cast("long").alias("s_suppkey"), F.size("images").cast("long").alias("n_images"), F.col("images_missing_alt_count").cast("long").alias("n_missing"), F.col("images_empty_alt_count").cast("long").alias("n_empty"))
 
 
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evidence(_shop_resources(spark, sf_dir))
+    e = evidence(shop_resources(spark, sf_dir))
     return e.select(F.col("audit_id").cast("long").alias("s_suppkey"), "page_title", "meta_description", F.col("meta_description_length").cast("long").alias("meta_description_length"), "canonical_url", F.array_join("h2_tags", "|").alias("h2_tags"))
 
 
 def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = evidence(_shop_resources(spark, sf_dir))
+    e = evidence(shop_resources(spark, sf_dir))
     return e.select(F.col("audit_id").cast("long").alias("s_suppkey"), F.array_join("internal_links", " ").alias("internal_links"), F.array_join("external_links", " ").alias("external_links"))
 
 
 def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = with_evidence_text(evidence(_shop_resources(spark, sf_dir)))
+    e = with_evidence_text(evidence(shop_resources(spark, sf_dir)))
     return e.select(F.col("audit_id").cast("long").alias("s_suppkey"), "evidence_text")
 
 
 def fetch_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fetch_summary(_shop_resources(spark, sf_dir)).select(F.col("audit_id").cast("long").alias("s_suppkey"), "n_resources", "n_retrieved")
+    return fetch_summary(shop_resources(spark, sf_dir)).select(F.col("audit_id").cast("long").alias("s_suppkey"), "n_resources", "n_retrieved")
 
 
 def requests_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First requests of every page's site, and the further sitemaps of suppliers' robots files."""
     u = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("audit_id"), normalize_url(F.col("url"))["normalized_url"].alias("url"))
     first = planned_requests(u).select(F.concat(F.lit("page "), "audit_id").alias("audit"), F.col("seq").cast("int").alias("seq"), "kind", "url", "label")
-    more = further_sitemaps(_shop_resources(spark, sf_dir)).select(F.concat(F.lit("shop "), "audit_id").alias("audit"), F.col("seq").cast("int").alias("seq"), "kind", "url", "label")
+    more = further_sitemaps(shop_resources(spark, sf_dir)).select(F.concat(F.lit("shop "), "audit_id").alias("audit"), F.col("seq").cast("int").alias("seq"), "kind", "url", "label")
     return first.unionByName(more)
 
 
@@ -291,7 +291,7 @@ def api_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = int(text.split("https://shop", 1)[1].split(".", 1)[0])
         return "" if key % 5 == 0 else f"# Report {key}"
 
-    e = with_evidence_text(evidence(_shop_resources(spark, sf_dir))).select("base_url", "evidence_text")
+    e = with_evidence_text(evidence(shop_resources(spark, sf_dir))).select("base_url", "evidence_text")
     r = with_reports(e, provider=provider).withColumn("pdf_download_url", pdf_url(F.col("audit_id"), F.lit(True)))
     return results(r).select("audit_id", "url", F.col("http_status").cast("int").alias("http_status"), "markdown_report", "pdf_download_url", "detail")
 
@@ -316,6 +316,16 @@ _INTERNAL = "'https://blog.shop' || s_suppkey || '.example.com/ https://shop' ||
 _LINKS_SQL = f"""SELECT page_id, {_PAGE_URL} AS base, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages"""
 _ABSOLUTE = "list_sort(list_distinct(list_transform(hrefs, lambda h: regexp_extract(base, '^https?://[^/?#]*') || replace(h, '&amp;', '&'))))"
 
+#: The template report of a page: what it shares with ``_TEXT_SQL`` is taken from there.
+_REPORT_SQL = f"""WITH p AS ({_LINKS_SQL}), e AS (SELECT page_id, base, {_TITLE.replace("html", "h.html")} AS t, regexp_extract(h.html, '<html lang="([^"]*)"', 1) AS lang, trim({_DECODED.format("regexp_extract(h.html, '(?s)<h1>(.*?)</h1>', 1)")}) AS h1, len({_ABSOLUTE}) AS n
+    FROM p JOIN pages h USING (page_id)), m AS (SELECT base, concat_ws(chr(10), '# SEO Audit Report', '', '**Website:** ' || base, '', '---', '', '### Homepage', '- Final URL: ' || base, '- HTTP Status: 200',
+  '- HTTPS: ' || CASE WHEN starts_with(base, 'https://') THEN 'Yes' ELSE 'No' END, '', '### Page Metadata', '- Title: "' || t || '"', '- Title Length: ' || length(t) || ' characters',
+  '- Meta Description: **Missing** — no <meta name="description"> element found', '- Meta Description Length: 0 characters', '- Canonical URL: Not found in static HTML', '- Page Language: ' || lang, '',
+  '### Heading Structure', '- H1 Tags Found: 1', '  - "' || h1 || '"', '- H2 Tags Found: 0', '', '### Links', '- Internal Links: ' || n || ' unique URLs found', '- External Links: 0 unique URLs found', '',
+  '### Images', '- Total Images: 0', '- Images Missing ALT Attribute: 0', '- Images With Empty ALT (alt=""): 0', '', '### robots.txt', '- robots.txt: Not fetched', '', '### Sitemaps', '- No sitemaps were fetched.', '',
+  {_TEXT_SQL[_TEXT_SQL.index("'### Fields That") : _TEXT_SQL.index(") AS evidence_text")]}) || chr(10) AS text FROM e)
+SELECT base AS url, md5(text) AS report_md5, length(text)::BIGINT AS n_chars FROM m"""
+
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_rejects, page_title, page_language, headings, links_exploded, link_counts, images_alt_counts, page_metadata, link_classes, evidence_text, fetch_summaries,
     requests_planned, robots_rules, robots_blocks_root, robots_sitemaps, sitemap_loc_count, report_lookup, report_markdown, report_blocks, report_cover, md_blocks_of_conversations, category_scores,
@@ -349,6 +359,8 @@ ORACLES = {
       CASE WHEN n_nationkey % 7 = 5 THEN false WHEN n_nationkey % 7 <> 6 THEN n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 END AS blocks_root_path FROM nation""",
     "robots_sitemaps": "SELECT n_nationkey, 'https://n' || n_nationkey || '.example.com/s.xml' AS to_fetch FROM nation",
     "sitemap_loc_count": "SELECT n_regionkey, count(*)::BIGINT AS url_count FROM nation GROUP BY n_regionkey",
+    "report_markdown": _REPORT_SQL,
+    "md_blocks_of_conversations": "SELECT conv_id || '-' || turn AS audit_id, 0::INTEGER AS seq, 'body' AS kind, 0::INTEGER AS level, replace(text, chr(10), '<br/>' || chr(10)) AS text, '' AS items FROM conversations",
     "report_lookup": f"""SELECT audit_id, url, '# Report ' || page_id AS markdown_report, '/api/v1/audits/' || audit_id || '/pdf' AS pdf_download_url, 'seo-audit-' || substr(audit_id, 1, 8) || '.pdf' AS pdf_name
       FROM (SELECT sha256({_PAGE_URL} || '|s1') AS audit_id, url, page_id FROM pages) WHERE audit_id = (SELECT min(sha256({_PAGE_URL} || '|s1')) FROM pages)""",
     "report_cover": """SELECT o_orderkey, 0::INTEGER AS seq, 'title' AS kind, 'SEO Audit Report' AS text FROM orders

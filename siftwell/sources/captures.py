@@ -89,19 +89,30 @@ def http_get(url: str, timeout: int, max_redirects: int) -> dict:
 Getter = Callable[[str, int, int], dict]
 
 
+def attempted(get: Getter, url: str, timeout: int, max_redirects: int) -> dict:
+    """The getter's record; one that isn't fetched, with the error's text, where it raised."""
+    try:
+        return get(url, timeout, max_redirects)
+    except Exception as e:  # noqa: BLE001  an unforeseen error is that request's, not the task's
+        return {"final_url": "", "status_code": 0, "content": "", "is_success": False, "is_fetched": False, "error_message": str(e)}
+
+
 #: Requests that one task has open at a time.
 AT_ONCE = 16
 
 
 def fetch(requests: DataFrame, settings: Settings, get: Getter = http_get, at_once: int = AT_ONCE) -> DataFrame:
-    """Runs the requests on the executors, ``at_once`` of a task together.  A side effect: write the result before using it twice."""
+    """Runs the requests on the executors, ``at_once`` of a task together.  A side effect: write the result before using it twice.
+
+    A request whose getter raised has ``is_fetched`` false and the error's text.
+    """
     timeout, redirects = settings.fetch_timeout_seconds, settings.fetch_max_redirects
     names = [f.split()[0] for f in _FETCHED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, at_once)) as pool:
             for b in batches:
-                got = pd.DataFrame(list(pool.map(lambda u: get(u, timeout, redirects), b["url"])), columns=names)
+                got = pd.DataFrame(list(pool.map(lambda u: attempted(get, u, timeout, redirects), b["url"])), columns=names)
                 yield pd.concat([b.reset_index(drop=True), got], axis=1)
 
     return requests.select("audit_id", "seq", "kind", "url", "label").mapInPandas(run, f"audit_id string, seq int, kind string, url string, label string, {_FETCHED}").select(*[f.split()[0] for f in RESOURCE.split(", ")])

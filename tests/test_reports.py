@@ -227,3 +227,17 @@ def test_top_findings(spark):
     rows = [("a", s, i) for i, s in enumerate(["Low", "Critical", "High", "Critical", "Medium", "Information", None])]
     got = scoring.top_findings(spark.createDataFrame(rows, "k string, severity string, i int"), "k", ["i"], 3).orderBy("rank").collect()
     assert [(x.severity, x.i) for x in got] == [("Critical", 1), ("Critical", 3), ("High", 2)]
+
+
+def test_a_getter_that_raises_is_a_result(spark, tmp_path):
+    from siftwell.plans.audit import audit_sites
+
+    def get(url, timeout, redirects):
+        if url == "https://e.com" or url == "https://f.com/robots.txt":
+            raise RuntimeError("no route")
+        return {"final_url": url, "status_code": 200, "content": "", "is_success": True, "is_fetched": True, "error_message": ""}
+
+    got = audit_sites(spark.createDataFrame([("e.com",), ("f.com",)], "url string"), str(tmp_path / "run"), read_settings(), get)
+    results = {x.url: (x.http_status, x.detail) for x in got["results"].collect()}
+    assert results == {"https://e.com": (502, "Could not fetch the website: no route. Please check the URL and try again."), "https://f.com": (202, None)}
+    assert [(x.base_url, x.robots_txt) for x in got["evidence"].collect()] == [("https://f.com", None)]
