@@ -25,9 +25,25 @@ _NUMBER = re.compile(r"^ {0,3}\d+\.[ \t]+(.*)$")
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 _SPLIT_ROW = re.compile(r"(?<!\\)\|")
 _DIVIDER = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+#: How emphasis is written.  ``bold`` and ``slant`` hold text in both styles, which counts as the outer one.
+_STARS = (
+    r"\*{3}(?P<bold1>.+?)\*(?P<bold2>.*?)\*\*",
+    r"\*{3}(?P<slant1>.+?)\*\*(?P<slant2>.*?)\*",
+    r"\*\*(?!\*)(?P<bold3>[^*]+?)\*(?!\*)(?P<bold4>.+?)\*{3}",
+    r"\*\*(?P<bold5>.+?)\*\*",
+    r"\*(?P<slant3>[^*]+)\*",
+)
+_LOW_LINES = (
+    r"_{3}(?P<bold6>.+?)_(?P<bold7>.*?)__",
+    r"_{3}(?P<slant4>.+?)__(?P<slant5>.*?)_",
+    r"(?<!\w)__(?!_)(?P<bold8>.+?)(?<!_)__(?!\w)",
+    r"(?<!\w)_(?!_)(?P<slant6>.+?)(?<!_)_(?!\w)",
+)
+#: Marks between spaces are no marks; they stand aside while the others are read.
+_ALONE = re.compile(r"(?:^|(?<=\s))(?:\*{1,3}|_{1,3})(?=\s|$)")
+_ASIDE, _BACK = str.maketrans("*_", "\x02\x03"), str.maketrans("\x02\x03", "*_")
 _INLINE = re.compile(
-    r"(?P<escape>\\[\\`*_{}\[\]()>#+.!-])|(?P<tick>`+)(?P<code>.+?)(?P=tick)|!?\[(?P<link>[^\]]*)\]\([^)]*\)|<(?P<auto>https?://[^>\s]+)>"
-    r"|(?P<strong>\*\*(?=\S)(?P<s1>.+?)(?<=\S)\*\*(?!\*)|(?<!\w)__(?=\S)(?P<s2>.+?)(?<=\S)__(?!\w))|(?P<em>\*(?=\S)(?P<e1>.+?)(?<=\S)\*|(?<!\w)_(?=\S)(?P<e2>.+?)(?<=\S)_(?!\w))|(?P<br>\n)",
+    r"(?P<escape>\\[\\`*_{}\[\]()>#+.!-])|(?P<tick>`+)(?P<code>.+?)(?P=tick)|!?\[(?P<link>[^\]]*)\]\([^)]*\)|<(?P<auto>https?://[^>\s]+)>|" + "|".join((*_STARS, *_LOW_LINES, r"(?P<br>\n)")),
     re.S,
 )
 
@@ -36,47 +52,49 @@ def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-def plain(text: str) -> str:
-    """Inline Markdown without its marks."""
-    out, at = [], 0
+def _pieces(text: str) -> Iterator[tuple[str, str]]:
+    """The text as ``(style, content)`` in order; ``text`` is as it stands, the others are as written inside their marks."""
+    at = 0
     for m in _INLINE.finditer(text):
-        out.append(text[at : m.start()])
+        yield "text", text[at : m.start()]
         at = m.end()
-        g = m.groupdict()
-        if g["escape"]:
-            out.append(g["escape"][1])
-        elif g["code"] is not None:
-            out.append(g["code"].strip())
-        elif g["br"]:
-            out.append("\n")
+        given = {k: v for k, v in m.groupdict().items() if v is not None}
+        styled = lambda style: "".join(v for k, v in given.items() if k.startswith(style))  # noqa: E731, B023
+        if "escape" in given:
+            yield "text", given["escape"][1]
+        elif "code" in given:
+            yield "code", given["code"].strip()
+        elif "br" in given:
+            yield "br", "\n"
+        elif "auto" in given:
+            yield "auto", given["auto"]
+        elif "link" in given:
+            yield "image" if m[0].startswith("!") else "link", given["link"]
+        elif any(k.startswith("bold") for k in given):
+            yield "bold", styled("bold")
         else:
-            inner = next((g[k] for k in ("link", "auto", "s1", "s2", "e1", "e2") if g[k] is not None), "")
-            out.append(inner if g["auto"] else plain(inner))
-    return "".join([*out, text[at:]])
+            yield "slant", styled("slant")
+    yield "text", text[at:]
+
+
+def plain(text: str) -> str:
+    """Inline Markdown without its marks."""
+    nested = ("link", "image", "bold", "slant")
+    return "".join(plain(t) if style in nested else t for style, t in _pieces(_set_aside(text))).translate(_BACK)
+
+
+def _set_aside(text: str) -> str:
+    return _ALONE.sub(lambda m: m[0].translate(_ASIDE), text)
+
+
+#: The markup of each style; an image has no text.
+_MARKUP = {"bold": "<b>{}</b>", "slant": "<i>{}</i>", "link": "<u>{}</u>", "auto": "<u>{}</u>", "code": "<font size='9' face='Courier'>{}</font>", "br": "<br/>\n", "image": "", "text": "{}"}
 
 
 def inline(text: str) -> str:
     """Inline Markdown as renderer markup."""
-    out, at = [], 0
-    for m in _INLINE.finditer(text):
-        out.append(_escape(text[at : m.start()]))
-        at = m.end()
-        g = m.groupdict()
-        if g["escape"]:
-            out.append(_escape(g["escape"][1]))
-        elif g["code"] is not None:
-            out.append(f"<font size='9' face='Courier'>{_escape(g['code'].strip())}</font>")
-        elif g["strong"]:
-            out.append(f"<b>{_escape(plain(g['s1'] or g['s2']))}</b>")
-        elif g["em"]:
-            out.append(f"<i>{_escape(plain(g['e1'] or g['e2']))}</i>")
-        elif g["br"]:
-            out.append("<br/>\n")
-        elif g["link"] is not None and m[0].startswith("!"):
-            pass  # an image has no text
-        else:
-            out.append(f"<u>{_escape(plain(g['link']) if g['link'] is not None else g['auto'])}</u>")
-    return "".join([*out, _escape(text[at:])])
+    nested = ("link", "bold", "slant")
+    return "".join(_MARKUP[style].format(_escape(plain(t) if style in nested else t)) for style, t in _pieces(_set_aside(text))).translate(_BACK)
 
 
 def _cells(line: str) -> list[str]:

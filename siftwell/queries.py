@@ -326,6 +326,23 @@ _REPORT_SQL = f"""WITH p AS ({_LINKS_SQL}), e AS (SELECT page_id, base, {_TITLE.
   {_TEXT_SQL[_TEXT_SQL.index("'### Fields That") : _TEXT_SQL.index(") AS evidence_text")]}) || chr(10) AS text FROM e)
 SELECT base AS url, md5(text) AS report_md5, length(text)::BIGINT AS n_chars FROM m"""
 
+#: The same report's blocks: texts between three stars are bold, all else in a title stands as it is.
+_INLINE_SQL = "regexp_replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*{{3}}(.+?)\\*(.*?)\\*\\*', '<b>\\1\\2</b>', 'g')"
+_UNSEEN_SQL = _TEXT_SQL[_TEXT_SQL.index("'- Core Web") : _TEXT_SQL.index(") AS evidence_text")].replace("'- ", "'")
+_BLOCKS_SQL = f"""WITH {_REPORT_SQL[5 : _REPORT_SQL.index(", m AS (")]}, r AS (SELECT base, t, n, lang, replace(base, '&', '&amp;') AS u, {_INLINE_SQL.format("t")} AS bt, {_INLINE_SQL.format("h1")} AS bh FROM e),
+b AS (SELECT base, unnest([
+  ['heading', '1', 'SEO Audit Report', ''], ['body', '0', '<b>Website:</b> ' || u, ''], ['spacer', '0', '', ''], ['rule', '0', '', ''], ['spacer', '0', '', ''],
+  ['heading', '3', 'Homepage', ''], ['bullets', '0', '', concat_ws(chr(10), 'Final URL: ' || u, 'HTTP Status: 200', 'HTTPS: ' || CASE WHEN starts_with(base, 'https://') THEN 'Yes' ELSE 'No' END)],
+  ['heading', '3', 'Page Metadata', ''], ['bullets', '0', '', concat_ws(chr(10), 'Title: "' || bt || '"', 'Title Length: ' || length(t) || ' characters', 'Meta Description: <b>Missing</b> — no &lt;meta name="description"&gt; element found',
+    'Meta Description Length: 0 characters', 'Canonical URL: Not found in static HTML', 'Page Language: ' || lang)],
+  ['heading', '3', 'Heading Structure', ''], ['bullets', '0', '', concat_ws(chr(10), 'H1 Tags Found: 1', '"' || bh || '"', 'H2 Tags Found: 0')],
+  ['heading', '3', 'Links', ''], ['bullets', '0', '', concat_ws(chr(10), 'Internal Links: ' || n || ' unique URLs found', 'External Links: 0 unique URLs found')],
+  ['heading', '3', 'Images', ''], ['bullets', '0', '', concat_ws(chr(10), 'Total Images: 0', 'Images Missing ALT Attribute: 0', 'Images With Empty ALT (alt=""): 0')],
+  ['heading', '3', 'robots.txt', ''], ['bullets', '0', '', 'robots.txt: Not fetched'], ['heading', '3', 'Sitemaps', ''], ['bullets', '0', '', 'No sitemaps were fetched.'],
+  ['heading', '3', 'Fields That Could Not Be Verified', ''], ['body', '0', 'The following items CANNOT be determined from static content. For each, write: "Could not be verified in this audit."', ''],
+  ['bullets', '0', '', concat_ws(chr(10), {_UNSEEN_SQL})]]) AS b, unnest(range(22)) AS seq FROM r)
+SELECT base AS url, seq::INTEGER AS seq, b[1] AS kind, b[2]::INTEGER AS level, b[3] AS text, b[4] AS items FROM b"""
+
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_rejects, page_title, page_language, headings, links_exploded, link_counts, images_alt_counts, page_metadata, link_classes, evidence_text, fetch_summaries,
     requests_planned, robots_rules, robots_blocks_root, robots_sitemaps, sitemap_loc_count, report_lookup, report_markdown, report_blocks, report_cover, md_blocks_of_conversations, category_scores,
@@ -360,6 +377,7 @@ ORACLES = {
     "robots_sitemaps": "SELECT n_nationkey, 'https://n' || n_nationkey || '.example.com/s.xml' AS to_fetch FROM nation",
     "sitemap_loc_count": "SELECT n_regionkey, count(*)::BIGINT AS url_count FROM nation GROUP BY n_regionkey",
     "report_markdown": _REPORT_SQL,
+    "report_blocks": _BLOCKS_SQL,
     "md_blocks_of_conversations": "SELECT conv_id || '-' || turn AS audit_id, 0::INTEGER AS seq, 'body' AS kind, 0::INTEGER AS level, replace(text, chr(10), '<br/>' || chr(10)) AS text, '' AS items FROM conversations",
     "report_lookup": f"""SELECT audit_id, url, '# Report ' || page_id AS markdown_report, '/api/v1/audits/' || audit_id || '/pdf' AS pdf_download_url, 'seo-audit-' || substr(audit_id, 1, 8) || '.pdf' AS pdf_name
       FROM (SELECT sha256({_PAGE_URL} || '|s1') AS audit_id, url, page_id FROM pages) WHERE audit_id = (SELECT min(sha256({_PAGE_URL} || '|s1')) FROM pages)""",

@@ -47,6 +47,12 @@ def test_blocks(markdown, want):
         ("[text & more](http://e.com)", "<u>text &amp; more</u>"),
         ("a & b < c > d", "a &amp; b &lt; c &gt; d"),
         (r"\*not\*", "*not*"),
+        ("a*** b*** c", "a<b> b</b> c"),
+        ("***both*** ***b*a** ***a**b*", "<b>both</b> <b>ba</b> <i>ab</i>"),
+        ("**a *b***", "<b>a b</b>"),
+        ("a * b * c ** d ** _ e _", "a * b * c ** d ** _ e _"),
+        ("*a * b* x*** y", "<i>a * b</i> x*** y"),
+        ("__a__ _b c_ x_y_z ___d___", "<b>a</b> <i>b c</i> x_y_z <b>d</b>"),
         ("![alt](x.png)done", "done"),
     ],
 )
