@@ -5,15 +5,13 @@ Ids are data, never paths: a lookup is a filter that Parquet pushes down, on a t
 
 from __future__ import annotations
 
-import textwrap
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.blocks import markdown_blocks
+from ..operators.pdf import render_pdf
 from ..schemas import REPORT
 
 
@@ -72,54 +70,6 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
 
 
-_SIZES = {"title": 24, "heading": 15, "body": 10}
-
-
-def _pdf_lines(url: str, created: str, markdown: str | None) -> Iterator[tuple[int, str]]:
-    yield from ((24, "SEO Audit Report"), (10, url), (10, f"Generated: {created}"), (10, ""))
-    import re
-
-    for b in markdown_blocks(markdown):
-        size = {1: 18, 2: 15, 3: 13}.get(b["level"], 11) if b["kind"] == "heading" else 10
-        texts = [b["text"]] if not b["items"] else [f"{'-' if b['kind'] == 'bullets' else f'{i}.'} {t}" for i, t in enumerate(b["items"], 1)]
-        for t in texts:
-            t = re.sub(r"<br/>\n?", "\n", t)
-            t = re.sub(r"</?[biu]>|<font[^>]*>|</font>", "", t).replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
-            for part in t.split("\n"):
-                for line in textwrap.wrap(part, int(950 / size)) or [""]:
-                    yield size, line
-        yield 6, ""
-
-
-def render_pdf(url: str, created: str, markdown: str | None) -> bytes:
-    """An A4 document with 20 mm margins, text only, in a base font."""
-    pages, cur, y = [], [], 785.0
-    for size, line in _pdf_lines(url, created, markdown):
-        y -= size * 1.4
-        if y < 57:
-            pages.append(cur)
-            cur, y = [], 785.0 - size * 1.4
-        safe = line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-        cur.append(b"BT /F1 %d Tf 57 %.1f Td (%s) Tj ET" % (size, y, safe))
-    pages.append(cur)
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
-    kids = []
-    for page in pages:
-        data = zlib.compress(b"\n".join(page))
-        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
-        kids.append(b"%d 0 R" % len(objects))
-    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(kids))
-    out, at = bytearray(b"%PDF-1.4\n"), []
-    for i, o in enumerate(objects, 1):
-        at.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
-    start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % x for x in at)
-    out += b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start)
-    return bytes(out)
-
-
 def with_pdf(reports: DataFrame) -> DataFrame:
     """Adds ``pdf`` (null where rendering failed, which fails no audit) and its download URL."""
 

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from siftwell.config import Settings, read_settings
 from siftwell.operators import scoring
+from siftwell.operators import pdf
 from siftwell.operators.blocks import EMPTY, cover_blocks, inline, markdown_blocks, md_blocks
+from siftwell.operators.pdf import render_pdf
 from siftwell.plans.audit import MISSING_KEY, captured_evidence, results, template_report, with_evidence_text, with_reports
 from siftwell.schemas import REPORT
 from siftwell.sources.captures import fetch, fetch_summary, further_sitemaps, planned_requests
 from siftwell.sources.guidance import FILES, read_guidance
-from siftwell.sources.reports import find_pdf, find_report, read_reports, read_reports_json, render_pdf, with_pdf, write_pdfs, write_reports, write_reports_json
+from siftwell.sources.reports import find_pdf, find_report, read_reports, read_reports_json, with_pdf, write_pdfs, write_reports, write_reports_json
 from siftwell.streaming.evidence_stream import evidence_stream, page_stream, write_evidence
 
 
@@ -93,6 +95,35 @@ def test_pdf(spark):
     assert got["b"].pdf is None and got["b"].pdf_download_url == ""
 
 
+def drawn(data):
+    """The drawing operators of a file's pages, its offsets checked."""
+    import re
+    import zlib
+
+    start = int(re.search(rb"startxref\n(\d+)", data)[1])
+    assert data[start:].startswith(b"xref\n")
+    offsets = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", data[start:])]
+    assert all(data[at:].startswith(b"%d 0 obj" % i) for i, at in enumerate(offsets, 1))
+    kids = re.search(rb"/Kids \[([^\]]*)\]", data)[1].split(b" 0 R")[:-1]
+    assert all(b"/Type /Page " in data[offsets[int(k) - 1] :].split(b"endobj")[0] for k in kids)
+    return [zlib.decompress(x) for x in re.findall(rb"stream\n(.*?)\nendstream", data, re.S)]
+
+
+def test_pdf_styles():
+    (page,) = drawn(render_pdf("https://e.com/?a&b", "now", "# Big\n\na **b** `c` é €\n\n- x\n- y\n\n1. z\n\n> q\n\n| h | i |\n|---|---|\n| j | k |\n\n---\n"))
+    for part in (b"/F2 24 Tf (SEO Audit Report)", b"(https://e.com/?a&b)", b"/F2 18 Tf (Big)", b"/F1 10 Tf (a ) Tj /F2 10 Tf (b) Tj", b"/F4 10 Tf (c)", "é €".encode("cp1252"), b"(\x95 x)", b"(1. z)", b"/F3 10 Tf (q)", b"/F2 9 Tf (h | i)"):
+        assert part in page, part
+    assert page.count(b" l S") == 2
+
+
+def test_pdf_lines_fit():
+    pages = drawn(render_pdf("u", "now", "word " * 2000 + "\n\n" + "x" * 5000 + "\n\n" + "a(b\\)c\x00 \u4e00"))
+    text = b"".join(pages)
+    assert len(pages) > 3 and text.count(b"word") == 2000 and text.count(b"x") >= 5000 and b"(a\\(b\\)c  ?)" in text
+    for line in pdf._lines("word " * 2000 + "x" * 5000, pdf.STYLES["body"]):
+        assert sum(pdf._advance(t.rstrip(), f, 10) for f, t in line) <= 595 - 2 * 56
+
+
 def test_pdf_files_by_id(spark, tmp_path):
     rows = [(f"id-{i}", "u", "# x", "2026-01-02T03:04:05+00:00" if i else "no time") for i in range(6)]
     write_pdfs(with_pdf(spark.createDataFrame(rows, REPORT)), str(tmp_path / "pdf"))
