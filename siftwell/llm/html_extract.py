@@ -300,8 +300,9 @@ def text_of(page: str | None, template: frozenset | set) -> str:
     if not page:
         return ""
     events = parse(page)
-    measure(events, None)
-    whole = _collect(events, template, True)
+    # Keys are only needed to be looked up.
+    any_main = measure(events, None) if template else any(isinstance(e, Node) and e.tag in _MAIN for e in events)
+    whole = _collect(events, template, True) if any_main else None
     return _collect(events, template, False) if whole is None else whole
 
 
@@ -310,6 +311,8 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
     blocks, cur, found = [], [], False
 
     def flush():
+        if not cur:
+            return
         t = _SPACE.sub(" ", entities.unescape("".join(cur))).strip()
         cur.clear()
         if t:
@@ -340,7 +343,7 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
         tag = e.tag
         inside = mains > 0
         own_header = tag == "header" and inside and not e.attributes.keys() & {"hidden", "aria-hidden", "role"}
-        if tag in _SILENT or (not own_header and _chrome(e, inside)) or (e.key in template and tag in _BLOCK and not e.main and tag not in ("html", "body") and not (inside and tag in _TEXTUAL)):
+        if tag in _SILENT or (not own_header and _chrome(e, inside)) or (template and e.key in template and tag in _BLOCK and not e.main and tag not in ("html", "body") and not (inside and tag in _TEXTUAL)):
             if tag in _BLOCK:
                 flush()
             skip = 1
