@@ -43,5 +43,30 @@ eq AS (SELECT k, count(*) AS c FROM keys GROUP BY k)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, low.c AS component_id, d.doc_id = low.c AS kept, coalesce(eq.c, 1)::BIGINT AS n_equal
 FROM d JOIN low ON low.a = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN keys USING (doc_id) LEFT JOIN eq USING (k)"""
 
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8: a step for each byte, eight for its bits."""
+    byte = "instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 17"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ({byte})::BIGINT)), lambda c, b: {bits}), 4294967295) FROM (SELECT hex(encode({text})) AS x))"
+
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS c FROM runs WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, c, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM d),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM cut),
+pairs AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN v b ON a.k = b.word UNION SELECT b.word, a.word FROM less a JOIN v b ON a.k = b.word),
+best AS (SELECT a, count(*) AS n_near, arg_min(struct_pack(w := b, n := v.n), (-v.n, b)) AS top FROM pairs JOIN v ON v.word = b GROUP BY a),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top.n >= 5 * v.n THEN top.w END AS form, CASE WHEN top.n >= 5 * v.n THEN top.n END AS form_n FROM v LEFT JOIN best ON a = v.word),
+up AS (SELECT word, word AS r FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.r WHERE f.form IS NOT NULL),
+roots AS (SELECT up.word, r AS root FROM up JOIN f ON f.word = r WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)"""
+
 #: Tokenising and sampling hashes, models and searches have no SQL; their queries are tested against brute force.
-ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_array_dedup": OP2, "op4_minhash_near_dedup": OP4}
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_array_dedup": OP2, "op4_minhash_near_dedup": OP4, "op11_spelling_variants": OP11}
