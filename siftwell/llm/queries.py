@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality_classifier, toxicity
 from .decontamination import leaked_items
 from .html_extract import main_text
+from .media import text_videos, video_facts
 from .mixing import mix_by_quality
 from .near_dedup import near_duplicates
 from .oracles import ORACLES as ORACLES
@@ -73,6 +74,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    stored = text_videos(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    f = video_facts(stored)
+    shots = F.format_string("%d frames in %d shots, the longest of %d; clips %s", "facts.n_frames", F.size("facts.clips"), F.array_max("facts.clips.n_frames"), F.sha2(F.to_json("facts.clips"), 256))
+    return f.select("doc_id", "n_bytes", F.col("facts.n_samples").alias("payload_bytes"), F.col("facts.samples_sha256").alias("payload_sha256"), "facts.tail_crc32", "media_bytes", "media_sha256", shots.alias("feature"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -85,5 +94,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_media_columns": op12_media_columns,
 }
 
