@@ -68,5 +68,20 @@ up AS (SELECT word, word AS r FROM f UNION ALL SELECT up.word, f.form FROM up JO
 roots AS (SELECT up.word, r AS root FROM up JOIN f ON f.word = r WHERE f.form IS NULL)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)"""
 
+
+OP13 = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, 0 AS own, p, r, t FROM c JOIN o ON o.conv_id = base WHERE p < h UNION ALL SELECT c.conv_id, 1, p, r, t FROM c JOIN o ON o.conv_id = c.conv_id WHERE p >= h),
+s AS (SELECT conv_id, row_number() OVER w AS d, strlen(t) AS bytes, md5(string_agg(md5(r) || md5(t), '') OVER w) AS k FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, p)),
+a AS (SELECT conv_id, 0 AS d, 0 AS bytes, 'root' AS k FROM c UNION ALL SELECT * FROM s),
+x AS (SELECT *, lag(k) OVER v AS up, d = max(d) OVER (PARTITION BY conv_id) AS last FROM a WINDOW v AS (PARTITION BY conv_id ORDER BY d)),
+n AS (SELECT k, min(conv_id) AS conv_id, any_value(d)::BIGINT AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(bytes) AS bytes, coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends FROM x GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up),
+under AS (SELECT DISTINCT i.k AS top, j.k FROM x i JOIN x j ON i.conv_id = j.conv_id AND j.d >= i.d),
+sums AS (SELECT top, count(*) FILTER (kids.k IS NULL) AS leaves, sum((n.n_convs - 1) * n.bytes) AS saved FROM under JOIN n ON n.k = under.k LEFT JOIN kids ON kids.k = under.k GROUP BY top)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN sums ON sums.top = n.k LEFT JOIN n m ON m.k = n.up LEFT JOIN kids ON kids.k = n.k"""
+
 #: Tokenising and sampling hashes, models and searches have no SQL; their queries are tested against brute force.
-ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_array_dedup": OP2, "op4_minhash_near_dedup": OP4, "op11_spelling_variants": OP11}
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_array_dedup": OP2, "op4_minhash_near_dedup": OP4, "op11_spelling_variants": OP11, "op13_conversation_trie": OP13}

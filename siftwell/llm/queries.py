@@ -12,6 +12,7 @@ from .media import text_videos, video_facts
 from .mixing import mix_by_quality
 from .near_dedup import near_duplicates
 from .oracles import ORACLES as ORACLES
+from .prefix_trie import conversation_trie
 from .quality_rules import quality_rules
 from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
@@ -82,6 +83,10 @@ def op12_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "n_bytes", F.col("facts.n_samples").alias("payload_bytes"), F.col("facts.samples_sha256").alias("payload_sha256"), "facts.tail_crc32", "media_bytes", "media_sha256", shots.alias("feature"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -95,5 +100,6 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_media_columns": op12_media_columns,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
