@@ -18,6 +18,7 @@ from ..operators.render import evidence_text, user_message
 from ..sources.captures import Getter, fetch, further_sitemaps, http_get, planned_requests
 from ..sources.guidance import Guidance
 from ..sources.reports import with_pdf
+from .counters import RunCounters, fetch_metrics, reject_metrics
 
 #: Bounds of a request's URL in characters.
 SHORTEST_URL, LONGEST_URL = 3, 2048
@@ -132,27 +133,32 @@ def fetch_failures(resources: DataFrame) -> DataFrame:
     return failed.select("audit_id", "url", F.lit(502).alias("http_status"), F.lit(None).cast("string").alias("markdown_report"), F.lit("").alias("pdf_download_url"), F.lit(None).cast("string").alias("created_at"), detail.alias("detail"))
 
 
-def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter = http_get, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "") -> dict[str, DataFrame]:
+def audit_sites(requests: DataFrame, path: str, settings: Settings, get: Getter = http_get, guidance: Guidance | None = None, provider: Provider = template_report, snapshot: str = "", counters: RunCounters | None = None) -> dict[str, DataFrame]:
     """The whole chain for raw URLs (column ``url``): ``rejects, resources, evidence, reports`` and ``results``.
 
     Audits whose homepage request raised have no evidence and no report, but a result.
 
     What calls out, requests and the provider, is written below ``path`` before anything reads it, so that neither a retried
     task nor a second use of the result calls twice for what is there.
+
+    ``counters`` fills with the writes: requests and rejects by code under ``requests``, resources asked for and retrieved under
+    ``resources``, reports made and failed under ``reports``.
     """
     spark = requests.sparkSession
+    counted = counters.watch if counters else lambda name, df, metrics: df
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     checked = checked_urls(requests)
-    audits = accepted(checked).select(audit_id(F.col("normalized_url"), snapshot).alias("audit_id"), F.col("normalized_url").alias("url")).dropDuplicates(["audit_id"])
-    first = kept(fetch(planned_requests(audits), settings, get), "first")
-    resources = first.unionByName(kept(fetch(further_sitemaps(first), settings, get), "further"))
+    audits = accepted(counted("requests", checked, reject_metrics())).select(audit_id(F.col("normalized_url"), snapshot).alias("audit_id"), F.col("normalized_url").alias("url")).dropDuplicates(["audit_id"])
+    first = kept(counted("resources", fetch(planned_requests(audits), settings, get), fetch_metrics()), "first")
+    resources = first.unionByName(kept(counted("resources", fetch(further_sitemaps(first), settings, get), fetch_metrics()), "further"))
     failures = fetch_failures(resources)
     found = kept(evidence(resources).join(failures, "audit_id", "left_anti"), "evidence")
-    reports = kept(with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot, settings), "reports")
+    made = with_reports(with_evidence_text(found).select("base_url", "evidence_text"), guidance, provider, snapshot, settings)
+    reports = kept(counted("reports", made, {"made": F.count("markdown_report"), "failed": F.count("report_error")}), "reports")
     return {"rejects": rejected(checked), "resources": resources, "evidence": found, "reports": reports, "results": results(with_pdf(reports)).unionByName(failures)}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.audit import captured_evidence, with_evidence_text
@@ -14,7 +15,10 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def evidence_stream(pages: DataFrame) -> DataFrame:
+def evidence_stream(pages: DataFrame, counted: str | None = None) -> DataFrame:
+    """With ``counted``, each micro-batch reports its pages and their bytes under that name; see ``StreamCounters``."""
+    if counted:
+        pages = pages.observe(counted, F.count("*").alias("pages"), F.count("html").alias("with_html"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
     return with_evidence_text(captured_evidence(pages))
 
 
