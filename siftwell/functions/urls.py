@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 #: What a user reads for each error.
 MESSAGES = {
@@ -20,6 +20,8 @@ MESSAGES = {
     "characters": "'{}' contains invalid characters. Please enter a standard web address.",
 }
 ALLOWED_SCHEMES = ("http", "https")
+#: Scheme (which may be missing), authority, path with parameters, and query of generic URL syntax.
+_WHOLE = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?\z"
 _SCHEME = r"(?s)\A([A-Za-z][A-Za-z0-9+.\-]*):(.*)\z"
 
 
@@ -47,27 +49,40 @@ def split_url(url: Column) -> dict[str, Column]:
 
 def normalize_url(raw: Column) -> Column:
     """``struct<is_valid, normalized_url, error_code, error_message>``; the first rule that fails decides.  Null counts as empty."""
-    url = strip(F.coalesce(raw, F.lit("")))
-    token = F.lower(F.substring_index(url, ":", 1))
-    bare = url.contains(":") & ~url.contains("://") & ~token.contains(".") & ~token.isin(*ALLOWED_SCHEMES)
-    parts = split_url(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url)))
-    netloc = F.lower(parts["netloc"])
-    host = F.substring_index(netloc, ":", 1)
-    bad = F.get(F.filter(F.split(host, r"\."), lambda x: (x == "") | (F.char_length(x) > 63)), F.lit(0))
-    path = F.when(parts["path"] == "/", F.lit("")).otherwise(parts["path"])
-    query = F.when(parts["query"] != "", F.concat(F.lit("?"), parts["query"])).otherwise(F.lit(""))
-    return (
-        F.when(url == "", _failure("empty", _say("empty")))
-        .when(F.char_length(url) < 4, _failure("too_short", _say("too_short", url)))
-        .when(bare, _failure("scheme_not_allowed", _say("bare_scheme", token)))
-        .when(~parts["scheme"].isin(*ALLOWED_SCHEMES), _failure("scheme_not_allowed", _say("scheme", parts["scheme"])))
-        .when(netloc == "", _failure("no_domain", _say("no_domain")))
-        .when(~host.contains("."), _failure("invalid_domain", _say("no_dot", host)))
-        .when(bad == "", _failure("invalid_domain", _say("empty_label", host)))
-        .when(bad.isNotNull(), _failure("invalid_domain", _say("long_label", host)))
-        .when(~host.rlike(r"\A[a-z0-9][a-z0-9\-.]*[a-z0-9](:\d+)?\z"), _failure("invalid_domain", _say("characters", host)))
-        .otherwise(_result(F.lit(True), F.concat(parts["scheme"], F.lit("://"), netloc, path, query), F.lit(""), F.lit("")))
-    )
+
+    def checked(u: Column) -> Column:
+        url, token, netloc, host = u["url"], u["token"], u["netloc"], u["host"]
+        bare = url.contains(":") & ~url.contains("://") & ~token.contains(".") & ~token.isin(*ALLOWED_SCHEMES)
+        bad = F.get(F.filter(F.split(host, r"\."), lambda x: (x == "") | (F.char_length(x) > 63)), F.lit(0))
+        path = F.when(u["path"] == "/", F.lit("")).otherwise(u["path"])
+        query = F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(F.lit(""))
+        return (
+            F.when(url == "", _failure("empty", _say("empty")))
+            .when(F.char_length(url) < 4, _failure("too_short", _say("too_short", url)))
+            .when(bare, _failure("scheme_not_allowed", _say("bare_scheme", token)))
+            .when(~u["scheme"].isin(*ALLOWED_SCHEMES), _failure("scheme_not_allowed", _say("scheme", u["scheme"])))
+            .when(netloc == "", _failure("no_domain", _say("no_domain")))
+            .when(~host.contains("."), _failure("invalid_domain", _say("no_dot", host)))
+            .when(bad == "", _failure("invalid_domain", _say("empty_label", host)))
+            .when(bad.isNotNull(), _failure("invalid_domain", _say("long_label", host)))
+            .when(~host.rlike(r"\A[a-z0-9][a-z0-9\-.]*[a-z0-9](:\d+)?\z"), _failure("invalid_domain", _say("characters", host)))
+            .otherwise(_result(F.lit(True), F.concat(u["scheme"], F.lit("://"), netloc, path, query), F.lit(""), F.lit("")))
+        )
+
+    def split(url: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url)), r"\A[\x00-\x20]+", ""), r"[\t\r\n]", "")
+        return let(F.struct(url.alias("url"), *[F.regexp_extract(clean, _WHOLE, k).alias(n) for k, n in enumerate(("scheme", "netloc", "path", "query"), 1)]), named)
+
+    def named(x: Column) -> Column:
+        netloc = F.lower(x["netloc"])
+        return let(F.struct(x["url"], F.lower(F.substring_index(x["url"], ":", 1)).alias("token"), F.lower(x["scheme"]).alias("scheme"), netloc.alias("netloc"), F.substring_index(netloc, ":", 1).alias("host"), x["path"], x["query"]), checked)
+
+    return let(strip(F.coalesce(raw, F.lit(""))), split)
+
+
+def normal_url(url: Column) -> Column:
+    """The one form of a URL that links and captures are compared in; null where it is none."""
+    return let(normalize_url(url), lambda n: F.when(n["is_valid"], n["normalized_url"]))
 
 
 def site_root(url: Column) -> Column:

@@ -46,11 +46,16 @@ class _Page(HTMLParser):
         self.images: list[dict] = []
         self.og: dict[str, str] = {}
         self.open: set[str] = set()
+        self.json_ld: list[str] = []
+        self.in_json = False
 
     def handle_starttag(self, tag: str, pairs: list) -> None:
         a: dict[str, str] = {}
         for k, v in pairs:
             a.setdefault(k, v or "")
+        self.in_json = tag == "script" and a.get("type", "").split(";")[0].strip().lower() == "application/ld+json"
+        if self.in_json:
+            self.json_ld.append("")
         if tag == "title":
             if self.title is None:
                 self.title = []
@@ -83,8 +88,11 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.open.discard(tag)
+        self.in_json &= tag != "script"
 
     def handle_data(self, data: str) -> None:
+        if self.in_json:
+            self.json_ld[-1] += data
         piece = data.strip()
         if not piece or self.cdata_elem in ("script", "style"):
             return
@@ -114,6 +122,7 @@ def parse_page(base: str | None, content: str | None) -> dict:
         "images": p.images,
         "og_tags": p.og,
         "robots_meta": get("robots", "content"),
+        "json_ld": p.json_ld,
     }
 
 
@@ -122,7 +131,7 @@ def _parse_batches(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.DataFrame([parse_page(b, c) for b, c in zip(base, content, strict=True)], columns=_NAMES)
 
 
-_NAMES = ["page_title", "meta_description", "canonical_url", "page_language", "h1_tags", "h2_tags", "links", "images", "og_tags", "robots_meta"]
+_NAMES = ["page_title", "meta_description", "canonical_url", "page_language", "h1_tags", "h2_tags", "links", "images", "og_tags", "robots_meta", "json_ld"]
 
 
 def parsed(base: Column, content: Column) -> Column:

@@ -12,7 +12,7 @@ MOST_HOT, HOT_ROWS, PARTS = 1000, 100_000, 32
 def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
     """``left`` joined with ``right``, whose ``on`` is unique: rows of hot keys of ``left`` are dealt to ``parts`` tasks by their content.
 
-    The hot keys are a table of ``MOST_HOT`` rows at most, which is broadcast; ``right`` is copied for them only.  ``how`` is inner,
+    ``left`` is read twice, for its hot keys first: it should be a written table.  The hot keys are a table of ``MOST_HOT`` rows at most, which is broadcast; ``right`` is copied for them only.  ``how`` is inner,
     left, left_semi or left_anti.
     """
     hot = left.groupBy(on).agg(F.count("*").alias("__n")).filter((F.col("__n") > hot_rows) & F.col(on).isNotNull()).orderBy(F.desc("__n"), on).limit(MOST_HOT).select(on, F.lit(True).alias("__hot"))

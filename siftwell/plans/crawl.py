@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import authority, normalize_url
+from ..functions.urls import authority, normal_url
 from ..operators.html import parsed
 from ..operators.links import is_internal, web_links
 from ..operators.skew import first_of, salted_join
@@ -14,17 +14,11 @@ from ..sources.rounds import Rounds
 OK, DEAD, UNKNOWN, REDIRECTED = "ok", "dead", "unknown", "redirected"
 
 
-def normal(url: Column) -> Column:
-    """The one form of a URL that links and captures are compared in; null where it is none."""
-    n = normalize_url(url)
-    return F.when(n["is_valid"], n["normalized_url"])
-
-
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``page, link, internal``: the distinct web links of each captured page, normalised, not capped."""
-    p = pages.select(normal(F.col(url)).alias("page"), F.col(html).alias("html")).filter("page is not null")
-    links = p.select("page", F.explode(web_links(parsed(F.col("page"), F.col("html"))["links"])).alias("raw"))
-    links = links.select("page", normal("raw").alias("link")).filter("link is not null")
+    p = pages.select(normal_url(F.col(url)).alias("page"), F.col(html).alias("html")).filter("page is not null")
+    found = F.filter(F.transform(web_links(parsed(F.col("page"), F.col("html"))["links"]), normal_url), lambda u: u.isNotNull())
+    links = p.select("page", F.explode(F.array_distinct(found)).alias("link"))
     return links.distinct().withColumn("internal", is_internal(F.col("link"), authority(F.col("page"))))
 
 
@@ -59,15 +53,16 @@ def crawl(links: DataFrame, seeds: DataFrame, budget: int, max_depth: int, path:
     return seen
 
 
-def link_states(links: DataFrame, statuses: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def link_states(links: DataFrame, statuses: DataFrame, path: str | None = None, hot_rows: int = 100_000) -> DataFrame:
     """``links`` with ``state``: dead, unknown, redirected or ok, by the captured status of the link's target.
 
     ``statuses``: ``url`` (normalised, unique), ``status_code``, ``is_fetched``, ``final_url``.  A target that was never captured is
     unknown, one that was asked for in vain or answered with an error is dead.  Links to one target may be a third of all: they
-    are dealt to many tasks.
+    are dealt to many tasks, and so written first, below ``path``.
     """
+    links = Rounds(links.sparkSession, path).keep("links", links)
     ok = F.coalesce(F.col("is_fetched"), F.lit(False)) & F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
-    moved = F.coalesce(normal("final_url") != F.col("url"), F.lit(False)) | F.coalesce(F.col("status_code").between(300, 399), F.lit(False))
+    moved = F.coalesce(normal_url(F.col("final_url")) != F.col("url"), F.lit(False)) | F.coalesce(F.col("status_code").between(300, 399), F.lit(False))
     found = statuses.select(F.col("url").alias("link"), F.when(~ok, DEAD).when(moved, REDIRECTED).otherwise(OK).alias("state"))
     return salted_join(links, found, "link", "left", hot_rows).withColumn("state", F.coalesce("state", F.lit(UNKNOWN)))
 
@@ -83,8 +78,8 @@ def url_hops(pages: DataFrame, canonical: bool = True) -> DataFrame:
 
     ``pages``: ``url, final_url, canonical_url``.  URLs are normalised; a URL that leads nowhere else has no row.
     """
-    url = normal("url")
-    to = F.coalesce(F.nullif(normal("final_url"), url), *([F.nullif(normal("canonical_url"), url)] if canonical else []))
+    url = normal_url(F.col("url"))
+    to = F.coalesce(F.nullif(normal_url(F.col("final_url")), url), *([F.nullif(normal_url(F.col("canonical_url")), url)] if canonical else []))
     return pages.select(url.alias("url"), to.alias("next")).filter("url is not null and next is not null").groupBy("url").agg(F.min("next").alias("next"))
 
 

@@ -8,7 +8,7 @@ SITEMAP = "struct<url: string, is_accessible: boolean, http_status: int, url_cou
 #: What one parse of a page yields; links are ``(raw, absolute)`` in document order, those that cannot be resolved left out.
 PARSED = (
     "page_title string, meta_description string, canonical_url string, page_language string, h1_tags array<string>, h2_tags array<string>, "
-    f"links array<struct<raw: string, absolute: string>>, images array<{IMAGE}>, og_tags map<string, string>, robots_meta string"
+    f"links array<struct<raw: string, absolute: string>>, images array<{IMAGE}>, og_tags map<string, string>, robots_meta string, json_ld array<string>"
 )
 EVIDENCE_FIELDS = (
     "base_url", "final_url", "http_status", "is_https", "page_title", "page_title_length", "meta_description", "meta_description_length",

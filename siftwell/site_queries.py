@@ -6,17 +6,27 @@ paths of its own host that were never captured, and nowhere; some pages are gone
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cases import _answers, _key_lines
+from .cases import _FINDINGS_SQL, _answers, _key_lines
 from .config import Settings
+from .functions.urls import normal_url
+from .operators.content import content_by_host
+from .operators.crawlability import crawlability, robots_of
+from .operators.evidence import evidence
+from .operators.findings import findings
 from .operators.html import parsed
+from .operators.structured import json_ld, structured_items
+from .plans.action_plan import action_plan
 from .plans.audit import audit_sites, captured_evidence
 from .plans.counters import RunCounters
-from .plans.crawl import crawl, link_report, link_states, normal, page_links, url_chains, url_hops
+from .plans.crawl import crawl, link_report, link_states, page_links, url_chains, url_hops
 from .plans.history import audit_before, changes
-from .queries import _DECODED, _TITLE, table
+from .plans.linking import authority_scores, orphans
+from .queries import _DECODED, _TITLE, shop_resources, table
 from .sources.rounds import shared_folder
 
 # --- Several runs -----------------------------------------------------------------------------------------------------
@@ -78,9 +88,12 @@ def _page(k: str) -> str:
 
 
 _HALF = "(k - k % 2) / 2"
+#: What pages say in JSON-LD, by k % 6.
+_JSON_LD = """case k % 6 when 1 then '{"@type": "Product", "name": "n' || k || '"}' when 2 then '{"@type": "Product", "name": null}' when 3 then '{"@graph": [{"@type": "Organization", "name": "o", "url": "u"}, {"@type": ["WebSite", "Thing"], "name": "w"}]}'
+  when 4 then '{"@type": "Product"' when 5 then '[{"@type": "Article"}, {}]' end"""
 #: Attributes repeated (the first counts), entities, a comment, tags that stay open.
 _SITE = f"""'<html lang="en" lang="de"><head><title>Part ' || k || ' &amp; co</title>' || case when k % 10 = 4 then '<link rel="canonical" href="' || {_page("k - 1")} || '">' else '' end
-  || '<meta name="robots" content="index"></head><body><h1>Part &lt;' || k || '&gt;<h2>No end<p><!-- <a href="/no"> --><a href="' || {_page("2 * k + 1")} || '" href="/no">a<a href="' || {_page("2 * k + 2")} || '#part">b</a>'
+  || '<meta name="robots" content="index">' || coalesce('<script type="application/ld+json">' || {_JSON_LD} || '</script>', '') || '</head><body><h1>Part &lt;' || k || '&gt;<h2>No end<p><!-- <a href="/no"> --><a href="' || {_page("2 * k + 1")} || '" href="/no">a<a href="' || {_page("2 * k + 2")} || '#part">b</a>'
   || '<a href="' || {_page("{half}")} || '">up</a><a href="/own?q=' || (k % 5) || '&amp;r=1#x">own</a><a href="#top">t</a><a href="mailto:a@b.c">m</a><p>' || p_name || ' <![CDATA[' || k || ']]></body>'"""
 
 
@@ -100,7 +113,7 @@ CRAWL_BUDGET, CRAWL_DEPTH = 60, 7
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a crawl from the first page reaches, at most ``CRAWL_BUDGET`` pages a host; only pages that were answered have links."""
     pages = site_pages(spark, sf_dir)
-    seeds = pages.filter("k = 0").select(normal("url").alias("url"))
+    seeds = pages.filter("k = 0").select(normal_url(F.col("url")).alias("url"))
     return crawl(page_links(pages.filter("status_code = 200")).select("page", "link"), seeds, CRAWL_BUDGET, CRAWL_DEPTH)
 
 
@@ -119,7 +132,7 @@ def _crawl_sql() -> str:
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page by what became of their targets."""
     pages = site_pages(spark, sf_dir)
-    statuses = pages.select(normal("url").alias("url"), "status_code", "is_fetched", "final_url")
+    statuses = pages.select(normal_url(F.col("url")).alias("url"), "status_code", "is_fetched", "final_url")
     return link_report(link_states(page_links(pages), statuses))
 
 
@@ -140,7 +153,97 @@ last AS (SELECT url, arg_max(r, len(path)) AS r, max(len(path)) AS n, arg_max(pa
 SELECT last.url, CASE WHEN g.url IS NULL THEN r ELSE list_min(path[list_position(path, g.next):]) END AS representative, CASE WHEN g.url IS NULL THEN n END AS n_hops, g.url IS NOT NULL AS in_loop FROM last LEFT JOIN g ON g.url = r"""
 
 
-QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives)}
+#: robots.txt of the large host, and of the others.
+_RULES = {"big": ["Disallow: /own", "Allow: /own?q=3", "Disallow: /*7$", "Allow: /p1", "Disallow: /p1*2$"], "other": ["Disallow: /p", "Allow: /p*4", "Disallow: /*q=*r=", "Allow: /own?q=1&r=1$", "Disallow: /p2000"]}
+
+
+def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of the site by what its host's robots.txt says of it."""
+    pages = site_pages(spark, sf_dir)
+    text = {name: "User-agent: *\n" + "\n".join(rules) for name, rules in _RULES.items()}
+    host = F.regexp_extract("url", "^https://[^/]+", 0)
+    robots = pages.select(host.alias("root")).distinct().select(F.concat("root", F.lit("/robots.txt")).alias("url"), F.when(F.col("root").contains("big"), text["big"]).otherwise(text["other"]).alias("content"))
+    robots = robots.selectExpr("'' as audit_id", "'robots' as kind", "url", "content", "200 as status_code", "true as is_success", "true as is_fetched")
+    return crawlability(page_links(pages).select("page", "link"), robots_of(robots))
+
+
+def _rules_sql() -> str:
+    pattern = lambda p: "^" + re.sub(r"([.?+()\[\]])", r"\\\1", p.removesuffix("$")).replace("*", ".*") + ("$" if p.endswith("$") else "")
+    rows = ", ".join(f"({'true' if name == 'big' else 'false'}, '{rule}', {len(rule.split(': ')[1])}, {'true' if rule[0] == 'A' else 'false'}, '{pattern(rule.split(': ')[1])}')" for name, rules in _RULES.items() for rule in rules)
+    return f"""WITH e AS ({_EDGES}), r(big, rule, n, allow, regex) AS (VALUES {rows}),
+    m AS (SELECT link, max(struct_pack(n := n, allow := allow, rule := rule)) AS r FROM (SELECT DISTINCT link FROM e) JOIN r ON r.big = (link LIKE 'https://big.%') AND regexp_matches(regexp_extract(link, '^https://[^/]+(.*)$', 1), regex) GROUP BY link)
+    SELECT page, e.link, coalesce(r.allow, true) AS allowed, r.rule AS rule FROM e LEFT JOIN m USING (link)"""
+
+
+def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of all JSON-LD blocks of the site, with what they lack."""
+    found = structured_items(json_ld(site_pages(spark, sf_dir)).select("k", "json_ld"), "k")
+    return found.withColumn("missing", F.array_join("missing", ","))
+
+
+_STRUCTURED_SQL = """SELECT k, 0::INTEGER AS block, x.item::INTEGER AS item, x.type AS type, x.missing AS missing, x.bad AS malformed FROM (SELECT p_partkey AS k, unnest(CASE p_partkey % 6
+  WHEN 1 THEN [{'item': 0, 'type': 'Product', 'missing': '', 'bad': false}] WHEN 2 THEN [{'item': 0, 'type': 'Product', 'missing': 'name', 'bad': false}]
+  WHEN 3 THEN [{'item': 0, 'type': 'Organization', 'missing': '', 'bad': false}, {'item': 1, 'type': 'WebSite', 'missing': 'url', 'bad': false}, {'item': 1, 'type': 'Thing', 'missing': '', 'bad': false}]
+  WHEN 4 THEN [{'item': NULL, 'type': NULL, 'missing': '', 'bad': true}] WHEN 5 THEN [{'item': 0, 'type': 'Article', 'missing': 'headline', 'bad': false}, {'item': 1, 'type': NULL, 'missing': '', 'bad': false}] END) AS x FROM part)"""
+
+
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the site by how many others link to them."""
+    pages = site_pages(spark, sf_dir)
+    return orphans(pages.select(normal_url(F.col("url")).alias("page")), page_links(pages))
+
+
+_ORPHANS_SQL = f"""WITH e AS ({_EDGES}), n AS (SELECT link, count(*) AS n FROM e WHERE page <> link GROUP BY link)
+SELECT {_page("p_partkey")} AS page, coalesce(n, 0)::BIGINT AS n_in, n IS NULL AS is_orphan FROM part LEFT JOIN n ON link = {_page("p_partkey")}"""
+AUTHORITY_ROUNDS = 6
+
+
+def page_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authority of the site's pages after ``AUTHORITY_ROUNDS`` rounds."""
+    pages = site_pages(spark, sf_dir)
+    scores = authority_scores(pages.select(normal_url(F.col("url")).alias("page")), page_links(pages), most_rounds=AUTHORITY_ROUNDS)
+    return scores.select("page", F.round("score", 10).alias("score"))
+
+
+def _authority_sql() -> str:
+    rounds = ", ".join(
+        f"""s{i} AS (SELECT p.page, (0.15 + 0.85 * (SELECT coalesce(sum(s) FILTER (n_out = 0), 0) FROM s{i - 1})) / (SELECT count(*) FROM p) + 0.85 * coalesce(g, 0) AS s, n_out FROM p LEFT JOIN (
+          SELECT link, sum(s / n_out) AS g FROM e JOIN s{i - 1} USING (page) GROUP BY link) ON link = p.page)"""
+        for i in range(1, AUTHORITY_ROUNDS + 1)
+    )
+    return f"""WITH k AS (SELECT {_page("p_partkey")} AS page FROM part), e AS (SELECT page, link FROM ({_EDGES}) WHERE page <> link AND link IN (SELECT page FROM k)),
+    p AS (SELECT k.page, count(link) AS n_out FROM k LEFT JOIN e USING (page) GROUP BY k.page), s0 AS (SELECT page, 1.0::DOUBLE / (SELECT count(*) FROM p) AS s, n_out FROM p), {rounds}
+    SELECT page, round(s, 10) AS score FROM s{AUTHORITY_ROUNDS}"""
+
+
+def content_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, thin pages and repeated text of every host of ``pages``; sketches are large enough to be exact at small scales."""
+    return content_by_host(table(spark, sf_dir, "pages"), bits=16).withColumn("repeated_share", F.round("repeated_share", 9))
+
+
+_CONTENT_SQL = r"""WITH w AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)) AS host,
+    list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[a-z/!?][^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM pages),
+g AS (SELECT page_id, host, unnest(CASE WHEN len(w) >= 8 THEN list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM w),
+d AS (SELECT host, count(DISTINCT g) AS distinct_windows, count(DISTINCT (page_id, g)) AS n_windows FROM g GROUP BY host),
+p AS (SELECT host, count(*) AS n_pages, count(*) FILTER (len(w) < 300) AS n_thin, sum(len(w))::BIGINT AS n_words FROM w GROUP BY host)
+SELECT host, n_pages, n_thin, n_words, coalesce(n_windows, 0) AS n_windows, coalesce(distinct_windows, 0) AS distinct_windows, CASE WHEN n_windows > 0 THEN round(greatest(0, 1 - distinct_windows::DOUBLE / n_windows), 9) END AS repeated_share FROM p LEFT JOIN d USING (host)"""
+
+
+def action_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30-day plans of all suppliers' sites, half an hour a day."""
+    plan = action_plan(findings(evidence(shop_resources(spark, sf_dir))), "audit_id", day_minutes=30)
+    return plan.select(F.col("audit_id").cast("long").alias("s_suppkey"), "issue", F.col("minutes").cast("long").alias("minutes"), *[F.col(c).cast("long").alias(c) for c in ("first_day", "last_day", "week")])
+
+
+_PLAN_SQL = f"""WITH RECURSIVE f AS ({_FINDINGS_SQL}), m AS (SELECT *, CASE issue WHEN 'Homepage Not Available' THEN 120 WHEN 'No Sitemap' THEN 60 WHEN 'Images Without ALT Attribute' THEN 2 ELSE 10 END AS minutes,
+    row_number() OVER (PARTITION BY s_suppkey ORDER BY priority, issue) AS i FROM f),
+t AS (SELECT s_suppkey, 0 AS i, ''::VARCHAR AS issue, 0 AS minutes, 1 AS first_day, 1 AS last_day, 0 AS used FROM (SELECT DISTINCT s_suppkey FROM m)
+  UNION ALL SELECT m.s_suppkey, m.i::INTEGER, m.issue, m.minutes, CASE WHEN used + m.minutes <= 30 THEN t.last_day ELSE t.last_day + 1 END, CASE WHEN used + m.minutes <= 30 THEN t.last_day ELSE t.last_day + (m.minutes + 29) // 30 END,
+    CASE WHEN used + m.minutes <= 30 THEN used + m.minutes ELSE m.minutes - 30 * ((m.minutes + 29) // 30 - 1) END FROM t JOIN m ON m.s_suppkey = t.s_suppkey AND m.i = t.i + 1)
+SELECT s_suppkey, issue, minutes::BIGINT AS minutes, first_day::BIGINT AS first_day, last_day::BIGINT AS last_day, ((first_day - 1) // 7 + 1)::BIGINT AS week FROM t WHERE i > 0"""
+
+
+QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives, link_rules, structured_data, orphan_pages, page_authority, content_hosts, action_plans)}
 
 ORACLES = {
     "run_counters": _COUNTERS_SQL,
@@ -149,4 +252,10 @@ ORACLES = {
     "site_crawl": _crawl_sql(),
     "broken_links": _BROKEN_SQL,
     "url_representatives": _CHAINS_SQL,
+    "link_rules": _rules_sql(),
+    "structured_data": _STRUCTURED_SQL,
+    "orphan_pages": _ORPHANS_SQL,
+    "page_authority": _authority_sql(),
+    "content_hosts": _CONTENT_SQL,
+    "action_plans": _PLAN_SQL,
 }

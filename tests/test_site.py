@@ -81,7 +81,7 @@ def test_links_and_states(spark):
     )
     more = links.select("page", "link").unionByName(spark.createDataFrame([("p", x) for x in ("m", "d", "t", "never", "https://e.com")], "page string, link string"))
     for hot in (0, 100_000):
-        got = {x.link: x.state for x in link_states(more, statuses, hot).collect()}
+        got = {x.link: x.state for x in link_states(more, statuses, hot_rows=hot).collect()}
         assert got == {"https://e.com/b/?q=1": "dead", "https://o.org/z": "ok", "https://sub.e.com": "unknown", "m": "redirected", "d": "dead", "t": "redirected", "never": "unknown", "https://e.com": "dead"}
     assert {tuple(x) for x in link_report(link_states(more, statuses)).collect()} == {("https://e.com", 3, 1, 1, 0), ("p", 5, 2, 1, 2)}
 
