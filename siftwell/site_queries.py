@@ -16,9 +16,11 @@ from .config import Settings
 from .functions.urls import normal_url
 from .operators.content import content_by_host
 from .operators.crawlability import crawlability, robots_of
-from .operators.evidence import evidence
-from .operators.findings import findings
+from .operators.evidence import UNVERIFIABLE_FIELDS, evidence
+from .operators.findings import _ISSUES, _LENGTH_ISSUE, CHECKS, findings
 from .operators.html import parsed
+from .operators.scoring import SEVERITIES
+from .operators.sections import SECTIONS, report_sections
 from .operators.structured import json_ld, structured_items
 from .plans.action_plan import action_plan
 from .plans.audit import audit_sites, captured_evidence
@@ -235,15 +237,58 @@ def action_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("audit_id").cast("long").alias("s_suppkey"), "issue", F.col("minutes").cast("long").alias("minutes"), *[F.col(c).cast("long").alias(c) for c in ("first_day", "last_day", "week")])
 
 
-_PLAN_SQL = f"""WITH RECURSIVE f AS ({_FINDINGS_SQL}), m AS (SELECT *, CASE issue WHEN 'Homepage Not Available' THEN 120 WHEN 'No Sitemap' THEN 60 WHEN 'Images Without ALT Attribute' THEN 2 ELSE 10 END AS minutes,
+def _plan_sql(day: int) -> str:
+    return f"""WITH RECURSIVE f AS ({_FINDINGS_SQL}), m AS (SELECT *, CASE issue WHEN 'Homepage Not Available' THEN 120 WHEN 'No Sitemap' THEN 60 WHEN 'Images Without ALT Attribute' THEN 2 ELSE 10 END AS minutes,
     row_number() OVER (PARTITION BY s_suppkey ORDER BY priority, issue) AS i FROM f),
 t AS (SELECT s_suppkey, 0 AS i, ''::VARCHAR AS issue, 0 AS minutes, 1 AS first_day, 1 AS last_day, 0 AS used FROM (SELECT DISTINCT s_suppkey FROM m)
-  UNION ALL SELECT m.s_suppkey, m.i::INTEGER, m.issue, m.minutes, CASE WHEN used + m.minutes <= 30 THEN t.last_day ELSE t.last_day + 1 END, CASE WHEN used + m.minutes <= 30 THEN t.last_day ELSE t.last_day + (m.minutes + 29) // 30 END,
-    CASE WHEN used + m.minutes <= 30 THEN used + m.minutes ELSE m.minutes - 30 * ((m.minutes + 29) // 30 - 1) END FROM t JOIN m ON m.s_suppkey = t.s_suppkey AND m.i = t.i + 1)
+  UNION ALL SELECT m.s_suppkey, m.i::INTEGER, m.issue, m.minutes, CASE WHEN used + m.minutes <= {day} THEN t.last_day ELSE t.last_day + 1 END, CASE WHEN used + m.minutes <= {day} THEN t.last_day ELSE t.last_day + (m.minutes + {day} - 1) // {day} END,
+    CASE WHEN used + m.minutes <= {day} THEN used + m.minutes ELSE m.minutes - {day} * ((m.minutes + {day} - 1) // {day} - 1) END FROM t JOIN m ON m.s_suppkey = t.s_suppkey AND m.i = t.i + 1)
 SELECT s_suppkey, issue, minutes::BIGINT AS minutes, first_day::BIGINT AS first_day, last_day::BIGINT AS last_day, ((first_day - 1) // 7 + 1)::BIGINT AS week FROM t WHERE i > 0"""
 
 
-QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives, link_rules, structured_data, orphan_pages, page_authority, content_hosts, action_plans)}
+def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve sections of all suppliers' reports."""
+    return report_sections(evidence(shop_resources(spark, sf_dir))).withColumn("s_suppkey", F.col("audit_id").cast("long")).drop("audit_id")
+
+
+def _parts_sql() -> str:
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    known = {
+        ("Technical SEO", "HTTP Status"): "ok", ("Technical SEO", "HTTPS"): "true", ("Technical SEO", "Robots.txt"): "CASE WHEN r THEN NOT fifth END", ("Technical SEO", "Sitemap"): "even",
+        ("Technical SEO", "Canonical"): "CASE WHEN ok THEN even END", ("On-Page SEO", "Title"): "CASE WHEN ok THEN true END", ("On-Page SEO", "Meta Description"): "CASE WHEN ok THEN third END",
+        ("On-Page SEO", "H1"): "CASE WHEN ok THEN true END", ("On-Page SEO", "Image ALT"): "CASE WHEN ok THEN false END", ("Accessibility", "Missing ALT"): "CASE WHEN ok THEN false END", ("Security", "HTTPS"): "true",
+    }
+    every = [(cat, name, known.get((cat, name), "NULL::BOOLEAN")) for cat, names in CHECKS.items() for name in names]
+    detailed = ", ".join(f"{q(f'- {cat}, {name}: ')} || CASE WHEN {e} THEN 'Pass' WHEN NOT ({e}) THEN 'Fail' ELSE 'Could not be verified in this audit.' END" for cat, name, e in every)
+    holds = ", ".join(f"CASE WHEN {e} THEN {q(name)} END" for cat, name, e in every if (cat, name) in known and cat != "Security")
+    issues = ", ".join(f"({', '.join(map(q, (said[0], cat, *said[2:6])))})" for (cat, _), said in [*_ISSUES.items(), (("On-Page SEO", "Meta Description"), _LENGTH_ISSUE)])
+    severities = ", ".join(f"{q(f'- {name} ({when}): ')} || coalesce(n_{name.lower()}, 0)" for name, (_, _, when) in SEVERITIES.items())
+    counts = ", ".join(f"count(*) FILTER (severity = {q(name)}) AS n_{name.lower()}" for name in SEVERITIES)
+    by = lambda e, sep="chr(10)": f"string_agg({e}, {sep} ORDER BY priority, issue)"
+    rec = """'- Issue: ' || issue || chr(10) || '- Business Impact: ' || impact || chr(10) || '- Why It Matters: ' || why || chr(10) || '- Recommended Fix: ' || recommendation || chr(10) || '- Implementation Difficulty: '
+      || CASE WHEN issue IN ('Homepage Not Available', 'No Sitemap') THEN 'Medium' ELSE 'Easy' END || chr(10) || '- Estimated Time: ' || effort || chr(10) || '- Expected SEO Benefit: Ends this: ' || impact"""
+    bodies = [
+        "'Website: ' || u",
+        """concat_ws(' ', 'The audit of ' || u || ' found ' || coalesce(n, 0) || ' issues, ' || coalesce(n_critical, 0) || ' of them critical and ' || coalesce(n_high, 0) || ' of high severity.', 'Checks that hold: ' || holds || '.',
+          'Weaknesses: ' || weak || '.', 'Business risks: ' || risks || '.', 'Do first: ' || tops || '.', CASE WHEN n > 0 THEN 'Fix these in the order of the plan and audit the site again.' ELSE 'Keep the site as it is and audit it again when it changes.' END)""",
+        """concat_ws(chr(10), '- Final URL: ' || u, '- HTTP status: ' || CASE WHEN ok THEN 200 ELSE 503 END, '- Title: ' || CASE WHEN ok THEN 'Shop ' || k ELSE 'not given' END, '- Description: ' || CASE WHEN ok AND third THEN 'About ' || k ELSE 'not given' END,
+          '- Language: ' || CASE WHEN ok THEN 'en' ELSE 'not given' END, '- Internal links: ' || CASE WHEN ok THEN 3 ELSE 0 END, '- External links: ' || CASE WHEN ok THEN 2 ELSE 0 END, '- Images: ' || CASE WHEN ok THEN 4 ELSE 0 END)""",
+        "'Could not be verified in this audit.'", f"CASE WHEN n > 0 THEN concat_ws(chr(10), {severities}) END", f"concat_ws(chr(10), {detailed})", "recs",
+        "'#### Week 1' || chr(10) || chr(10) || plan", "tasks", "impacts", f"concat_ws(chr(10), {', '.join(q('- ' + x) for x in UNVERIFIABLE_FIELDS)})",
+        "'- Audit: ' || k || chr(10) || '- Format: 1.0' || chr(10) || '- Issues: ' || coalesce(n, 0)",
+    ]
+    rows = ", ".join(f"{{'seq': {i}, 'title': {q(t)}, 'body': coalesce({b}, 'Nothing to report in this section.')}}" for i, (t, b) in enumerate(zip(SECTIONS, bodies, strict=True), 1))
+    return f"""WITH s AS (SELECT s_suppkey, s_suppkey::VARCHAR AS k, 'https://shop' || s_suppkey || '.example.com' AS u, s_suppkey % 7 <> 6 AS ok, s_suppkey % 4 <> 3 AS r, s_suppkey % 2 = 0 AS even, s_suppkey % 3 = 0 AS third, s_suppkey % 5 = 0 AS fifth FROM supplier),
+    t(issue, category, impact, why, fix, effort) AS (VALUES {issues}), f AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY priority, issue) AS i FROM ({_FINDINGS_SQL}) JOIN t USING (issue)),
+    d AS (SELECT s_suppkey, string_agg('- Day ' || first_day || CASE WHEN last_day > first_day THEN '–' || last_day ELSE '' END || ': ' || issue || ' (' || severity || ', ' || minutes || ' minutes)', chr(10) ORDER BY first_day, last_day, priority, issue) AS plan
+      FROM ({_plan_sql(120)}) JOIN f USING (s_suppkey, issue) GROUP BY s_suppkey),
+    a AS (SELECT s_suppkey, count(*) AS n, {counts}, {by("issue", "', '")} AS weak, {by("CASE WHEN i <= 5 THEN impact END", "'; '")} AS risks, {by("CASE WHEN i <= 5 THEN recommendation END", "'; '")} AS tops, {by(rec, "chr(10) || chr(10)")} AS recs,
+      {by("CASE WHEN category IN ('Technical SEO', 'Performance', 'Security') THEN '- ' || recommendation || ' (' || effort || ')' END")} AS tasks, {by("'- ' || severity || ': ' || impact")} AS impacts FROM f GROUP BY s_suppkey),
+    w AS (SELECT s.*, a.* EXCLUDE (s_suppkey), plan, nullif(concat_ws(', ', {holds}), '') AS holds FROM s LEFT JOIN a USING (s_suppkey) LEFT JOIN d USING (s_suppkey))
+    SELECT s_suppkey, x.seq::INTEGER AS seq, x.title AS title, x.body AS body FROM (SELECT s_suppkey, unnest([{rows}]) AS x FROM w)"""
+
+
+QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives, link_rules, structured_data, orphan_pages, page_authority, content_hosts, action_plans, report_parts)}
 
 ORACLES = {
     "run_counters": _COUNTERS_SQL,
@@ -257,5 +302,6 @@ ORACLES = {
     "orphan_pages": _ORPHANS_SQL,
     "page_authority": _authority_sql(),
     "content_hosts": _CONTENT_SQL,
-    "action_plans": _PLAN_SQL,
+    "action_plans": _plan_sql(30),
+    "report_parts": _parts_sql(),
 }
