@@ -15,7 +15,8 @@ from .queries import shop_resources, table
 from .schemas import RESOURCE
 from .sources.captures import fetch, further_sitemaps, planned_requests
 from .sources.guidance import Guidance
-from .sources.reports import find_report, pdf_url
+from .sources.reports import find_report, lookups, pdf_url
+from .sources.rounds import Rounds
 
 
 def _key(df: DataFrame) -> DataFrame:
@@ -129,8 +130,9 @@ def _answers(url: str, timeout: int, redirects: int) -> dict:
 def fetched_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of suppliers' audits, from planned requests over fetches to reports: 202, or 502 where the homepage request raised."""
     s = table(spark, sf_dir, "supplier").selectExpr("concat('https://s', s_suppkey, '.example.com') as audit_id", "concat('https://s', s_suppkey, '.example.com') as url")
-    first = fetch(planned_requests(s), Settings(), _answers)
-    both = first.unionByName(fetch(further_sitemaps(first), Settings(), _answers))
+    rounds = Rounds(spark)
+    first = rounds.keep("first", fetch(planned_requests(s), Settings(), _answers))
+    both = first.unionByName(rounds.keep("further", fetch(further_sitemaps(first), Settings(), _answers)))
     failures = fetch_failures(both)
     found = evidence(both).join(failures, "audit_id", "left_anti")
     reports = with_reports(with_evidence_text(found).select("base_url", "evidence_text"), provider=_key_lines).withColumn("pdf_download_url", pdf_url(F.col("url"), F.lit(True)))
@@ -156,6 +158,19 @@ def report_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_report(reports, "../" + "0" * 32).select("audit_id", "url", "pdf_download_url")
 
 
+def report_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the API answers for the ids of all pages' reports, of which every third was never made, and every fourth has no PDF."""
+    ids = table(spark, sf_dir, "pages").select(F.md5("url").alias("audit_id"), "url", "page_id")
+    reports = ids.filter("page_id % 3 > 0").withColumn("markdown_report", F.concat(F.lit("# "), "url"))
+    return lookups(reports, ids, reports.filter("page_id % 4 > 0"))
+
+
+_LOOKUPS_SQL = """SELECT id AS audit_id, CASE WHEN ok THEN url END AS url, CASE WHEN ok THEN '# ' || url END AS markdown_report, CASE WHEN ok THEN 200 ELSE 404 END::INTEGER AS http_status, CASE WHEN ok THEN '/api/v1/audits/' || id || '/pdf' END AS pdf_download_url,
+  CASE WHEN NOT ok THEN 'Audit not found: ' || id || '. Run a new audit to generate a report.' END AS detail, CASE WHEN pdf THEN 200 ELSE 404 END::INTEGER AS pdf_status,
+  CASE WHEN NOT pdf THEN 'PDF not found for audit: ' || id || '. Run the audit again to regenerate.' END AS pdf_detail
+FROM (SELECT md5(url) AS id, url, page_id % 3 > 0 AS ok, page_id % 3 > 0 AND page_id % 4 > 0 AS pdf FROM pages)"""
+
+
 def check_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue of checks over suppliers' sites: how many of a site's checks of each category hold, fail and stay open."""
     c = _key(check_statuses(evidence(shop_resources(spark, sf_dir))))
@@ -188,7 +203,7 @@ UNION ALL SELECT s_suppkey, 'Meta Description Length', 'Low', 'Rewrite the meta
 UNION ALL SELECT s_suppkey, 'Images Without ALT Attribute', 'Medium', 'Describe every image in its ALT attribute', 3 FROM s WHERE ok"""
 
 
-QUERIES = {f.__name__: f for f in (link_caps, text_caps, prompts, markdown_cases, fetched_sites, report_unknown, check_table, site_findings)}
+QUERIES = {f.__name__: f for f in (link_caps, text_caps, prompts, markdown_cases, fetched_sites, report_unknown, report_lookups, check_table, site_findings)}
 
 ORACLES = {
     "link_caps": _LINK_CAPS_SQL,
@@ -197,6 +212,7 @@ ORACLES = {
     "markdown_cases": _MARKDOWN_SQL,
     "fetched_sites": _FETCHED_SQL,
     "report_unknown": "SELECT md5(url) AS audit_id, url, '' AS pdf_download_url FROM pages WHERE false",
+    "report_lookups": _LOOKUPS_SQL,
     "check_table": _CHECKS_SQL,
     "site_findings": _FINDINGS_SQL,
 }

@@ -14,6 +14,8 @@ class Settings:
 
     llm_api_key: str = ""
     llm_model: str = "template"
+    llm_url: str = ""
+    llm_timeout_seconds: int = 120
     fetch_timeout_seconds: int = 15
     fetch_max_redirects: int = 5
     reports_dir: str = "reports"

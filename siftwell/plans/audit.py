@@ -5,7 +5,7 @@ Errors stay data: an invalid URL goes to the rejects, a failed fetch or report i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from ..operators.evidence import evidence, page_evidence
 from ..operators.render import evidence_text, user_message
 from ..sources.captures import Getter, fetch, further_sitemaps, http_get, planned_requests
 from ..sources.guidance import Guidance
+from ..sources.providers import Provider, provider_of
 from ..sources.reports import with_pdf
 from .counters import RunCounters, fetch_metrics, reject_metrics
 
@@ -56,9 +57,6 @@ def with_evidence_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("evidence_text", evidence_text(F.col("base_url")))
 
 
-#: Takes system prompt, user message and evidence text; returns Markdown or raises.
-Provider = Callable[[str, str, str], str]
-
 
 def template_report(system: str, message: str, evidence: str) -> str:
     """The default provider: the evidence under fixed headings, the same for the same input."""
@@ -79,9 +77,11 @@ def with_reports(texts: DataFrame, guidance: Guidance | None = None, provider: P
     """Reports for ``base_url, evidence_text``: ``audit_id, url, markdown_report, created_at, report_error``.
 
     A provider may call out, so write the result before using it twice.  A row it fails for keeps its error (502 at the API).
-    With ``settings``, a provider other than the template needs their key; without it none is called and every row has
-    ``MISSING_KEY``.
+    With ``settings``, the template gives way to the provider of the model they name, and a provider other than the template
+    needs their key; without it none is called and every row has ``MISSING_KEY``.
     """
+    if settings is not None and provider is template_report:
+        provider = provider_of(settings, template_report)
     if settings is not None and provider is not template_report and not settings.llm_api_key:
         provider = _without_key
     system = guidance.system_prompt_column(F.col("base_url")) if guidance else F.lit("")

@@ -46,6 +46,26 @@ def find_report(reports: DataFrame, audit_id: str) -> DataFrame:
     return reports.filter(F.col("audit_id") == audit_id).withColumn("pdf_download_url", pdf_url(F.col("audit_id"), F.lit(True))).drop("id_prefix")
 
 
+def lookups(reports: DataFrame, wanted: DataFrame, pdfs: DataFrame | None = None) -> DataFrame:
+    """What the API answers for each row of ``wanted`` (``audit_id``): 200 with the report, or 404 and its detail.
+
+    A report's download URL is always given.  With ``pdfs`` (``audit_id``), ``pdf_status`` and ``pdf_detail`` say what a download
+    answers.  Ids are compared as they are; a null id is unknown.
+    """
+    found = reports.select("audit_id", "url", "markdown_report", F.lit(True).alias("__known"))
+    out = wanted.select("audit_id").join(found, "audit_id", "left")
+    known, no = F.col("__known").isNotNull(), lambda before, after: F.concat(F.lit(before), F.coalesce("audit_id", F.lit("null")), F.lit(after))
+    out = out.withColumns({
+        "http_status": F.when(known, 200).otherwise(404), "pdf_download_url": F.when(known, pdf_url(F.col("audit_id"), F.lit(True))),
+        "detail": F.when(~known, no("Audit not found: ", ". Run a new audit to generate a report.")),
+    }).drop("__known")
+    if pdfs is None:
+        return out
+    there = out.join(pdfs.select("audit_id", F.lit(True).alias("__pdf")), "audit_id", "left")
+    has = F.col("__pdf").isNotNull()
+    return there.withColumns({"pdf_status": F.when(has, 200).otherwise(404), "pdf_detail": F.when(~has, no("PDF not found for audit: ", ". Run the audit again to regenerate."))}).drop("__pdf")
+
+
 def pdf_url(audit_id: Column, written: Column) -> Column:
     """Where a report's PDF is served; empty where none was written."""
     return F.when(written, F.concat(F.lit("/api/v1/audits/"), audit_id, F.lit("/pdf"))).otherwise("")
