@@ -3,8 +3,9 @@
 Sizes are words.  The sources share the budget by weight; a source gets at most ``max_epochs`` times its size, and what it
 can't take is shared again by weight.  A source's target is met by whole epochs of all its documents first; the rest is drawn
 without replacement: each document gets the key ``-ln(u) / w`` from a hash ``u`` of its id and text and its quality weight
-``w``, and the documents with the smallest keys are taken while their summed sizes stay nearest to the rest.  The weight is
-the quality classifier's score (``mix_by_quality``) or any column of positive numbers (``mix_sources``).
+``w``, and the documents with the smallest keys are taken until their summed sizes reach the rest; of the last one only as many
+words are taken as were missing (``taken`` says how many; its first ones, say), so a source's words meet its target to within
+one.  The weight is the quality classifier's score (``mix_by_quality``) or any column of positive numbers (``mix_sources``).
 
 Plan.  No source is ever sorted as a whole, for one may hold a third of all rows.  Keys are cut into ``bins`` by the
 exponential distribution of the source's mean weight, bins are summed (partial aggregates) and prefix-summed; the bin of each
@@ -34,17 +35,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """A document's weight by its own text, 0.1 to 1: the share of its characters that are letters or spaces, squared.
-
-    Null and empty texts weigh 0.1.
-    """
-    length = F.coalesce(F.char_length(text), F.lit(0))
-    odd = F.coalesce(F.regexp_count(text, F.lit(r"[^\p{L}\s]")), F.lit(0))
-    share = F.when(length > 0, 1 - odd / length).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0.1), share * share)
-
-
 def water_fill(sources: DataFrame, weights: list[float], max_epochs: float, budget: float = 1.0) -> DataFrame:
     """Adds ``target`` to ``(source, source_size)``: min(cap, weight * level), with one level for all.
 
@@ -85,14 +75,14 @@ def mix_sources(
 ) -> DataFrame:
     """Per document: ``doc_id, source, size, source_size, target, epochs, drawn, taken, key`` (and with ``carry`` the row as a struct).
 
-    ``quality``: a column of positive weights over ``docs``; by default ``quality_weight`` of the text.
+    ``quality``: a column of positive weights over ``docs``; by default all weigh the same.
     """
     text = _text(text_col)
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         n_words(text).alias("size"),
-        (quality if quality is not None else quality_weight(text, n_words(text))).alias("w"),
+        (quality if quality is not None else F.lit(1.0)).alias("w"),
         _content(text).alias("content"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carry")] if carry else []),
     )
@@ -163,12 +153,13 @@ def _mixed(rows: DataFrame, weights, max_epochs: int, seed: int, bins: int, carr
     split = placed.filter("bin = edge and fine = fine_edge").select("source", "size", "fine_start", "left", mine.alias("mine"))
     upto = Window.partitionBy("source").orderBy("mine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = split.withColumn("sum", F.sum("size").over(upto) + F.col("fine_start"))
-    # A document is drawn if taking it brings the sum nearer to the rest than leaving it: its middle lies within.
-    split = split.withColumn("in", F.col("sum") - F.col("size") / 2.0 <= F.col("left"))
-    last = materialize(split.filter("in").groupBy("source").agg(F.max("mine").alias("last")), "last")
-    placed = placed.join(last.select(F.col("source").alias("s"), "last"), F.expr("source <=> s"), "left").drop("s")
+    # A document is drawn if words were missing before it; the last one gives as many as were.
+    split = split.withColumn("missing", F.col("left") - (F.col("sum") - F.col("size"))).filter("missing > 0")
+    last = materialize(split.groupBy("source").agg(F.max("mine").alias("last"), F.max_by("missing", "mine").alias("missing")), "last")
+    placed = placed.join(last.select(F.col("source").alias("s"), "last", "missing"), F.expr("source <=> s"), "left").drop("s")
     inside = F.when(F.col("fine") != F.col("fine_edge"), F.col("fine") < F.col("fine_edge")).otherwise(F.coalesce(mine <= F.col("last"), F.lit(False)))
     drawn = F.when(F.col("edge").isNull(), F.lit(False)).when(F.col("bin") != F.col("edge"), F.col("bin") < F.col("edge")).otherwise(inside)
     drawn = F.when(F.col("rest") > 0, drawn).otherwise(F.lit(False))
-    out = placed.withColumn("drawn", drawn).withColumn("taken", F.col("size") * (F.col("epochs") + F.col("drawn").cast("long")))
+    partly = F.when(F.coalesce(mine == F.col("last"), F.lit(False)), F.least("size", F.ceil("missing").cast("long"))).otherwise(F.col("size"))
+    out = placed.withColumn("drawn", drawn).withColumn("taken", F.col("size") * F.col("epochs") + F.when(F.col("drawn"), partly).otherwise(F.lit(0)))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "drawn", "taken", "key", *(["carry"] if carry else []))

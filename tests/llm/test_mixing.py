@@ -42,16 +42,25 @@ def test_targets_and_draw(spark, seed, bins):
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     want = brute_targets(sizes, (1, 2, 3), 3)
-    taken, biggest = {}, {}
+    taken, cut = {}, {}
     for x in got:
         assert x.source_size == sizes[x.source]
         assert x.target == pytest.approx(want[x.source])
         assert x.taken <= 3 * x.size
-        assert x.taken in (x.size * x.epochs, x.size * (x.epochs + 1))
+        # Whole documents, but for the last one drawn of a source.
+        assert x.size * x.epochs <= x.taken <= x.size * (x.epochs + x.drawn)
         taken[x.source] = taken.get(x.source, 0) + x.taken
-        biggest[x.source] = max(biggest.get(x.source, 0), x.size)
+        cut[x.source] = cut.get(x.source, 0) + (x.taken < x.size * (x.epochs + x.drawn))
+    assert max(cut.values()) <= 1
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= biggest[s] / 2 + 1
+        assert abs(taken[s] - want[s]) < 1.001
+
+
+def test_one_document_larger_than_the_rest(spark):
+    rows = [(i, "w " * (5000 if i == 7 else 10), "a" if i < 100 else "b", 0) for i in range(1100)] + [(i, "w", "c", 0) for i in range(1100, 1103)]
+    for seed in range(4):
+        got = mix_sources(spark.createDataFrame(rows, SCHEMA), weights=(1, 5, 1), seed=seed).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+        assert all(abs(x.n - x.t) < 1.001 for x in got)
 
 
 def test_the_drawn_have_the_smallest_keys_and_reruns_agree(spark):
@@ -75,13 +84,13 @@ def test_empty_table(spark):
 
 
 def brute_draw(rows, rest):
-    """The documents with the smallest keys, while their sum stays nearest to the rest."""
-    total, drawn = 0, set()
+    """The documents with the smallest keys, until their sum reaches the rest, and the words that each gives."""
+    total, drawn = 0, {}
     for x in sorted(rows, key=lambda x: (x.key, x.doc_id is None, x.doc_id or 0, x.size)):
-        total += x.size
-        if total - x.size / 2 > rest:
+        if total >= rest:
             break
-        drawn.add(x)
+        drawn[x] = min(x.size, math.ceil(rest - total))
+        total += x.size
     return drawn
 
 
@@ -95,7 +104,7 @@ def test_draw_against_brute_force(spark, bins):
     for s in {x.source for x in got}:
         mine = [x for x in got if x.source == s]
         want = brute_draw(mine, mine[0].target - mine[0].epochs * mine[0].source_size)
-        assert {x for x in mine if x.drawn} == want
+        assert {x: x.taken - x.size * x.epochs for x in mine if x.drawn} == want
     # -ln(u) = key * w is exponential: its mean is 1, and its median ln 2.
     e = sorted(x.key * x.carry.q for x in got)
     assert abs(sum(e) / len(e) - 1) < 0.12 and abs(e[len(e) // 2] - math.log(2)) < 0.1
