@@ -8,19 +8,25 @@ goes as well, and so do scripts, styles and markup.
 Plan.  Pass 1 parses pages (Arrow batches) and sends ``(host, hash)`` counts, pre-aggregated in each batch; the count is a
 partial aggregate, so a host with a third of all pages is no bottleneck.  Only recurring hashes are kept, and they return to
 their pages by a join on (host, page bucket): pass 2 parses again, deletes and writes text.  The kept hashes of a host are at
-most five times as many as the elements of its average page, for each is on a fifth of its pages, or on five.  Pages are dealt
+most a thousand times as many as the elements of its average page, for each is on a thousandth of its pages at least.  Pages are dealt
 into slices of about 8 MB, and there are as many tasks as slices.  Parsing is one pass without recursion: its time follows the
 page's length, however deep or broken the page is.
 
 Which block recurs: an element of at least ``LEAST_TEXT`` characters of text, or with a link, that is on at least
-``LEAST_PAGES`` pages and on a share ``SHARE`` of the pages of its host.  An ``article`` or ``main`` element and what holds
+``LEAST_PAGES`` pages and on a share ``SHARE`` of the pages of its host, or on ``MANY_PAGES`` pages of it (of a host of over
+100,000 pages: a thousandth), for a section of a large site has its own menus.  An ``article`` or ``main`` element and what holds
 one never goes by counting, for copies of a page are pages; nor do paragraphs, headings and lists inside one, for a
 quotation that many articles share is text.
 
-Names.  Outside an article, one telling part of a class or id is enough (``site-menu``).  Inside one, where a section may well
-be about menus or sharing, a name must be telling as a whole (``ad``, ``comments``, ``share-buttons``, ``cookie-notice``), and a
-paragraph goes only by a name of one word.  Of a ``header`` inside an article its headings stay, for they are the article's
-title.
+Names support this.  A class or id must be telling as a whole (``ad``, ``comments``, ``share-buttons``, ``cookie-notice``), for a
+section may well be about menus or sharing (``menu-recipes``, ``related-work``); outside an article some more words are telling
+alone (``menu``, ``footer``).  A paragraph, heading or list item goes only by a word that can mean nothing else (``advert``,
+``comment``).  An ``article`` named as a reader's comment or reply is one.  Of a ``header`` inside an article its headings stay,
+for they are the article's title; if it has no first heading, one that stands before it is taken.
+
+Foreign content.  ``svg`` and ``template`` are elements without text of their own, which end at the latest with their parent, and
+a paragraph or other block ends an ``svg`` that is open, as browsers have it.  The text of ``math`` and ``noscript`` is text.  An
+``iframe``, ``title`` or ``textarea`` that is never closed is only a tag.
 
 Defined cases: null html is empty; a page without article or main element yields what its body holds beside the blocks named
 above; unclosed and mis-nested elements are closed by their parents, a menu that was never closed ends where the article
@@ -46,13 +52,17 @@ from .near_dedup import slabs
 
 LEAST_PAGES = 5
 SHARE = 0.2
+MANY_PAGES, MANY_SHARE = 100, 0.001
 LEAST_TEXT = 20
 SLICE_BYTES = 8 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; it goes unread.
-_RAW = frozenset("script style textarea title noscript iframe template svg math".split())
-_SILENT = _RAW | frozenset("object head canvas audio video select button".split())
+_RAW = frozenset("script style textarea title iframe".split())
+#: Those of them that end with the page if nothing else ends them.
+_TO_THE_END = frozenset(["script", "style"])
+_FOREIGN = ("svg", "math")
+_SILENT = _RAW | frozenset("svg template annotation annotation-xml object head canvas audio video select button".split())
 _CHROME = frozenset("nav header footer aside form menu dialog".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,15 +76,19 @@ _BARRIER = frozenset("article aside body div footer form header html main nav se
 #: Elements that hold an article's own text.
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-_OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisements?|alerts?|banner|breadcrumbs?|comments?|cookies?|consent|discussions?|disqus|feedback|footer|gdpr|header|masthead|menu|nav|navbar|navigation|navlinks|newsletter|notices?|pagination|popup|promo|promoted|related|replies|responses|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
-)
-_WORD = r"ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments|disqus|gdpr|masthead|navbar|navigation|navlinks|newsletter|pagination|popup|promo|promoted|share|sharing|sidebar|social|sponsored|subscribe|toolbar|topbar"
+#: What can mean nothing else, of whatever element.
+_PLAIN = r"ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments?|commentlist|disqus|gdpr|sponsored"
+_WORD = r"ads?|adsbygoogle|adverts?|advertisements?|breadcrumbs?|comments?|commentlist|replies|reply|respond|disqus|gdpr|masthead|navbar|navigation|navlinks|newsletter|pagination|popup|promo|promoted|share|sharing|sidebar|social|sponsored|subscribe|toolbar|topbar"
 _PAIR = r"(?:ads?|adverts?|alert|banner|breadcrumbs?|comments?|consent|cookies?|discussion|disqus|feedback|footer|gdpr|menu|nav|newsletter|notice|popup|promo|related|repl(?:y|ies)|responses?|shar(?:e|ing)|sidebar|social|sponsored|subscribe|widget)[_-](?:area|articles|bar|banner|block|box|button|buttons|container|content|consent|form|icons|links|list|media|message|notice|pages|posts|section|share|signup|slot|stories|thread|unit|widget|wrapper)"
 _BEFORE = r"(?:article|content|in|page|post|reader|site|top|user)[_-]"
 #: One whole name of an element inside an article.
 _INSIDE = re.compile(rf"(?:{_BEFORE})?(?:{_WORD}|{_PAIR}(?:[_-]\w+)?)")
-_ONE_WORD = re.compile(_WORD)
+_ONE_WORD = re.compile(_PLAIN)
+#: More names that are telling outside an article.
+_ALONE = r"alerts?|banner|consent|cookies?|feedback|footer|header|menu|nav|notices?|related|skip|sponsor|widget"
+_OUTSIDE = re.compile(rf"(?:(?:{_BEFORE}|main[_-]|secondary[_-]|sub[_-]|bottom[_-])?(?:{_WORD}|{_ALONE})|(?:{_BEFORE})?{_PAIR}(?:[_-]\w+)?)")
+#: Names of an article that is a reader's.
+_READERS = re.compile(r"(?:\w+[_-])?(?:comment|reply)(?:[_-](?:body|content|item|text|\d+))?")
 _HIDDEN = re.compile(r"display\s*:\s*none")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -105,18 +119,10 @@ def _chrome(node: Node, inside: bool) -> bool:
         return True
     if _HIDDEN.search(attributes.get("style", "").lower()):
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "main"):
         return False
-    for name in ("class", "id"):
-        value = attributes.get(name, "").lower()
-        if not value:
-            continue
-        if not inside:
-            if _OUTSIDE.search(value):
-                return True
-        elif any((_ONE_WORD if tag in _TEXTUAL and tag not in ("ul", "ol", "dl", "table", "figure") else _INSIDE).fullmatch(x) for x in value.split()):
-            return True
-    return False
+    telling = _READERS if tag == "article" else _ONE_WORD if tag in _TEXTUAL and tag not in ("ul", "ol", "dl", "table", "figure") else _INSIDE if inside else _OUTSIDE
+    return any(telling.fullmatch(x) for name in ("class", "id") for x in attributes.get(name, "").lower().split())
 
 
 class _Open:
@@ -156,6 +162,11 @@ class _Open:
         """What the opening of ``tag`` closes."""
         if tag not in _IN_HEAD and (i := self.last("head")) >= 0:
             self.cut(i, events)
+        if tag in _BLOCK:  # blocks end foreign content, but for what it says is HTML
+            html = max(self.last("foreignobject"), self.last("annotation-xml"))
+            foreign = [x[0] for t in _FOREIGN if (x := self.at.get(t)) and x[-1] > html]
+            if foreign:
+                self.cut(max(min(foreign), html + 1), events)
         closes = _CLOSES.get(tag)
         if not closes:
             return
@@ -215,6 +226,7 @@ def parse(page: str) -> list:
     events.append(root)
     at, n = 0, len(page)
     last = {q: page.rfind(q) for q in "'\""}
+    endless: set[str] = set()
     while at < n:
         lt = page.find("<", at)
         if lt < 0 or lt + 1 >= n:
@@ -250,9 +262,14 @@ def parse(page: str) -> list:
             break
         open_.close_for(tag, events)
         if tag in _RAW:
-            if not closed:
+            if not closed and tag not in endless:
                 end = _RAW_END[tag].search(page, at)
-                at = page.find(">", end.end()) + 1 or n if end else n
+                if end:
+                    at = page.find(">", end.end()) + 1 or n
+                elif tag in _TO_THE_END:
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         node = Node(tag, attributes)
         events.append(node)
@@ -309,6 +326,8 @@ def text_of(page: str | None, template: frozenset | set) -> str:
 def _collect(events: list, template: frozenset | set, only_main: bool) -> str | None:
     """``None`` if only what is in articles is asked for and there is none beside page chrome."""
     blocks, cur, found = [], [], False
+    lead: list[str] = []  # first headings before an article that has none
+    own_title = False
 
     def flush():
         if not cur:
@@ -316,10 +335,10 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
         t = _SPACE.sub(" ", entities.unescape("".join(cur))).strip()
         cur.clear()
         if t:
-            blocks.append(t)
+            (lead if only_main and not mains else blocks).append(t)
 
     skip = 0  # open elements within, and including, one that goes
-    mains, headers, titles = 0, 0, 0
+    mains, headers, titles, first = 0, 0, 0, 0
     stack: list[Node] = []
     for e in events:
         if skip:
@@ -329,7 +348,7 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
                 skip += 1
             continue
         if isinstance(e, str):
-            if (mains or not only_main) and (titles or not headers):
+            if (mains or not only_main or (first and not found)) and (titles or not headers):
                 cur.append(e)
             continue
         if e is None:
@@ -339,6 +358,7 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
             mains -= node.tag in _MAIN
             headers -= node.tag == "header"
             titles -= node.tag in _HEADINGS
+            first -= node.tag == "h1"
             continue
         tag = e.tag
         inside = mains > 0
@@ -357,7 +377,11 @@ def _collect(events: list, template: frozenset | set, only_main: bool) -> str |
             mains, found = mains + 1, True
         headers += tag == "header"
         titles += tag in _HEADINGS
+        first += tag == "h1"
+        own_title |= tag == "h1" and mains > 0
     flush()
+    if not own_title:
+        blocks = lead + blocks
     return "\n\n".join(blocks) if found or not only_main else None
 
 
@@ -385,7 +409,7 @@ def _extract(key, pages, keys):
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text``."""
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
@@ -397,7 +421,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # Keys of one page only, nearly all of them, go before anything else is done with them.
     often = counted.filter(F.col("pages") >= least_pages)
     per_host = rows.groupBy("host").agg(F.count("*").alias("in_host"))
-    template = often.join(per_host, "host").filter(F.col("pages") >= F.col("in_host") * share).groupBy("host").agg(F.collect_set("key").alias("keys"))
+    enough = F.least(F.col("in_host") * share, F.greatest(F.lit(float(many_pages)), F.col("in_host") * MANY_SHARE))
+    template = often.join(per_host, "host").filter(F.col("pages") >= enough).groupBy("host").agg(F.collect_set("key").alias("keys"))
     template = materialize(template, "template")
     # Each slice of the pages meets the template keys of the hosts that it holds; a slice is a task, or nearly.
     slices = max(1, -(-int(rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]) // SLICE_BYTES))
