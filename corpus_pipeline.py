@@ -64,7 +64,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix with their number of ``copies``; sources weigh 1, 2, 3, repeating, over all that is left.
 
-    A null source is a source of its own; ties of keys order by id, size, text and place.  An input column that has the name
+    Of the last document drawn of a source ``taken`` says how many words the mix takes, less than its copies hold; all others are
+    taken whole.  A null source is a source of its own; ties of keys order by id, size, text and place.  An input column that has the name
     of one of the added columns is replaced by it.
     """
     got = mix_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).withColumn("copies", F.col("epochs") + F.col("drawn").cast("long"))
