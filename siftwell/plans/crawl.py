@@ -45,9 +45,9 @@ def crawl(links: DataFrame, seeds: DataFrame, budget: int, max_depth: int, path:
             cand = cand.withColumn("used", F.lit(0).cast("long"))
         left = F.lit(budget) - F.coalesce("used", F.lit(0))
         new = first_of(cand, "host", [F.col("url")], left, budget).select("url", "host", F.lit(depth).alias("depth"), "found_on")
-        new = rounds.keep(name, new)
+        new, found = rounds.counted(name, new)
         seen = new if seen is None else seen.unionByName(new)
-        if new.limit(1).count() == 0 or depth == max_depth:
+        if not found or depth == max_depth:
             return seen
         cand = new.select(F.col("url").alias("page")).join(links, "page").groupBy(F.col("link").alias("url")).agg(F.min("page").alias("found_on")).select("url", host.alias("host"), "found_on")
     return seen
@@ -92,14 +92,14 @@ def url_chains(hops: DataFrame, path: str | None = None, hot_rows: int = 100_000
     """
     rounds = Rounds(hops.sparkSession, path)
     cur = rounds.keep("jump=0", hops.select("url", F.col("next").alias("to"), F.lit(1).cast("long").alias("n"), F.col("next").alias("low"), F.lit(True).alias("open")))
-    settled, count, r = [], None, 0
+    count, r = None, 0
     while True:
         further = cur.select(F.col("url").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("low").alias("low2"))
         step = salted_join(cur.drop("open"), further, "to", "left", hot_rows)
         open_ = F.col("to2").isNotNull()
         r += 1
-        cur = rounds.keep(f"jump={r}", step.select("url", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.least("low", F.coalesce("low2", "low")).alias("low"), open_.alias("open")))
-        now = cur.filter("open").count()
+        step = step.select("url", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.least("low", F.coalesce("low2", "low")).alias("low"), open_.alias("open"))
+        cur, now = rounds.counted(f"jump={r}", step, F.col("open"))
         if now == 0 or now == count:
             break
         count = now

@@ -28,6 +28,7 @@ from .plans.counters import RunCounters
 from .plans.crawl import crawl, link_report, link_states, page_links, url_chains, url_hops
 from .plans.history import audit_before, changes
 from .plans.linking import authority_scores, orphans
+from .plans.site_checks import site_check_statuses
 from .queries import _DECODED, _TITLE, shop_resources, table
 from .sources.rounds import shared_folder
 
@@ -148,7 +149,8 @@ def url_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_chains(url_hops(pages))
 
 
-_CHAINS_SQL = f"""WITH RECURSIVE h AS (SELECT {_page("k")} AS url, CASE WHEN k % 17 = 3 OR k % 50 = 20 THEN {_page("k + 1")} WHEN k % 50 = 21 OR k % 10 = 4 THEN {_page("k - 1")} END AS next FROM (SELECT p_partkey AS k FROM part)),
+def _chains_sql(canonical: bool = True) -> str:
+    return f"""WITH RECURSIVE h AS (SELECT {_page("k")} AS url, CASE WHEN k % 17 = 3 OR k % 50 = 20 THEN {_page("k + 1")} WHEN k % 50 = 21 {'OR k % 10 = 4' if canonical else ''} THEN {_page("k - 1")} END AS next FROM (SELECT p_partkey AS k FROM part)),
 g AS (SELECT * FROM h WHERE next IS NOT NULL),
 w AS (SELECT url, next AS r, [next] AS path FROM g UNION ALL SELECT w.url, g.next, list_append(path, g.next) FROM w JOIN g ON g.url = r WHERE NOT list_contains(path, g.next)),
 last AS (SELECT url, arg_max(r, len(path)) AS r, max(len(path)) AS n, arg_max(path, len(path)) AS path FROM w GROUP BY url)
@@ -159,20 +161,24 @@ SELECT last.url, CASE WHEN g.url IS NULL THEN r ELSE list_min(path[list_position
 _RULES = {"big": ["Disallow: /own", "Allow: /own?q=3", "Disallow: /*7$", "Allow: /p1", "Disallow: /p1*2$"], "other": ["Disallow: /p", "Allow: /p*4", "Disallow: /*q=*r=", "Allow: /own?q=1&r=1$", "Disallow: /p2000"]}
 
 
-def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every link of the site by what its host's robots.txt says of it."""
-    pages = site_pages(spark, sf_dir)
+def site_robots(pages: DataFrame) -> DataFrame:
+    """The robots.txt of every host of the site."""
     text = {name: "User-agent: *\n" + "\n".join(rules) for name, rules in _RULES.items()}
     host = F.regexp_extract("url", "^https://[^/]+", 0)
     robots = pages.select(host.alias("root")).distinct().select(F.concat("root", F.lit("/robots.txt")).alias("url"), F.when(F.col("root").contains("big"), text["big"]).otherwise(text["other"]).alias("content"))
-    robots = robots.selectExpr("'' as audit_id", "'robots' as kind", "url", "content", "200 as status_code", "true as is_success", "true as is_fetched")
-    return crawlability(page_links(pages).select("page", "link"), robots_of(robots))
+    return robots_of(robots.selectExpr("'' as audit_id", "'robots' as kind", "url", "content", "200 as status_code", "true as is_success", "true as is_fetched"))
+
+
+def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of the site by what its host's robots.txt says of it."""
+    pages = site_pages(spark, sf_dir)
+    return crawlability(page_links(pages).select("page", "link"), site_robots(pages))
 
 
-def _rules_sql() -> str:
+def _rules_sql(links: str = _EDGES) -> str:
     pattern = lambda p: "^" + re.sub(r"([.?+()\[\]])", r"\\\1", p.removesuffix("$")).replace("*", ".*") + ("$" if p.endswith("$") else "")
     rows = ", ".join(f"({'true' if name == 'big' else 'false'}, '{rule}', {len(rule.split(': ')[1])}, {'true' if rule[0] == 'A' else 'false'}, '{pattern(rule.split(': ')[1])}')" for name, rules in _RULES.items() for rule in rules)
-    return f"""WITH e AS ({_EDGES}), r(big, rule, n, allow, regex) AS (VALUES {rows}),
+    return f"""WITH e AS ({links}), r(big, rule, n, allow, regex) AS (VALUES {rows}),
     m AS (SELECT link, max(struct_pack(n := n, allow := allow, rule := rule)) AS r FROM (SELECT DISTINCT link FROM e) JOIN r ON r.big = (link LIKE 'https://big.%') AND regexp_matches(regexp_extract(link, '^https://[^/]+(.*)$', 1), regex) GROUP BY link)
     SELECT page, e.link, coalesce(r.allow, true) AS allowed, r.rule AS rule FROM e LEFT JOIN m USING (link)"""
 
@@ -288,7 +294,28 @@ def _parts_sql() -> str:
     SELECT s_suppkey, x.seq::INTEGER AS seq, x.title AS title, x.body AS body FROM (SELECT s_suppkey, unnest([{rows}]) AS x FROM w)"""
 
 
-QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives, link_rules, structured_data, orphan_pages, page_authority, content_hosts, action_plans, report_parts)}
+def site_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-wide checks of every page of the site."""
+    pages = site_pages(spark, sf_dir)
+    return site_check_statuses(pages, site_robots(pages)).withColumn("seq", F.col("seq").cast("long"))
+
+
+_CHECKS = f"""WITH k AS (SELECT p_partkey AS k, {_page("p_partkey")} AS page, NOT (p_partkey % 19 = 7 OR p_partkey % 13 = 5) AS ok FROM part), e AS (SELECT DISTINCT page, link FROM ({_EDGES}) WHERE k % 19 <> 7 AND k % 13 <> 5),
+d AS (SELECT page, count(*) FILTER (state = 'dead') AS n FROM e LEFT JOIN ({_STATUS}) s ON link = url GROUP BY page), o AS (SELECT link, count(*) AS n FROM e WHERE page <> link GROUP BY link),
+f AS (SELECT * FROM ({_chains_sql(False)})), c AS (SELECT * FROM ({_chains_sql()})),
+x AS (SELECT k.*, coalesce(f.n_hops <= 1 AND NOT f.in_loop, f.url IS NULL) AS redirects, coalesce(c.representative = page, true) AS alone, r.allow AS allowed, coalesce(d.n, 0) = 0 AS unbroken, o.n IS NOT NULL AS linked, CASE k % 6 WHEN 0 THEN NULL ELSE k % 6 = 1 END AS data
+  FROM k LEFT JOIN f ON f.url = page LEFT JOIN c ON c.url = page LEFT JOIN d USING (page) LEFT JOIN o ON o.link = page JOIN allowed r USING (page))
+SELECT page, s.c AS category, s.i::BIGINT AS seq, s.n AS check, CASE WHEN s.h THEN 'Pass' WHEN NOT s.h THEN 'Fail' END AS status FROM (SELECT page, unnest([{{'c': 'Technical SEO', 'i': 6, 'n': 'Redirects', 'h': redirects}}, {{'c': 'Technical SEO', 'i': 7, 'n': 'Indexability', 'h': ok AND allowed AND alone}},
+  {{'c': 'Technical SEO', 'i': 8, 'n': 'Crawlability', 'h': allowed}}, {{'c': 'Technical SEO', 'i': 9, 'n': 'Duplicate URLs', 'h': alone}}, {{'c': 'Technical SEO', 'i': 10, 'n': 'Broken Links', 'h': CASE WHEN ok THEN unbroken END}}, {{'c': 'Technical SEO', 'i': 11, 'n': 'Structured Data', 'h': CASE WHEN ok THEN data END}},
+  {{'c': 'Technical SEO', 'i': 12, 'n': 'Meta Robots', 'h': CASE WHEN ok THEN true END}}, {{'c': 'Technical SEO', 'i': 14, 'n': 'Internal Linking', 'h': linked}}, {{'c': 'Content Quality', 'i': 5, 'n': 'Thin Content', 'h': CASE WHEN ok THEN false END}}]) AS s FROM x)"""
+
+
+def _statuses_sql() -> str:
+    pages = f"SELECT {_page('p_partkey')} AS page, {_page('p_partkey')} AS link FROM part"
+    return _CHECKS.replace("WITH k AS", f"WITH allowed AS (SELECT page, allowed AS allow FROM ({_rules_sql(pages)})), k AS", 1)
+
+
+QUERIES = {f.__name__: f for f in (run_counters, audit_changes, audits_before, site_crawl, broken_links, url_representatives, link_rules, structured_data, orphan_pages, page_authority, content_hosts, action_plans, report_parts, site_statuses)}
 
 ORACLES = {
     "run_counters": _COUNTERS_SQL,
@@ -296,7 +323,7 @@ ORACLES = {
     "audits_before": _BEFORE_SQL,
     "site_crawl": _crawl_sql(),
     "broken_links": _BROKEN_SQL,
-    "url_representatives": _CHAINS_SQL,
+    "url_representatives": _chains_sql(),
     "link_rules": _rules_sql(),
     "structured_data": _STRUCTURED_SQL,
     "orphan_pages": _ORPHANS_SQL,
@@ -304,4 +331,5 @@ ORACLES = {
     "content_hosts": _CONTENT_SQL,
     "action_plans": _plan_sql(30),
     "report_parts": _parts_sql(),
+    "site_statuses": _statuses_sql(),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ class Rounds:
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def counted(self, name: str, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """``keep``, and how many rows there are (of which ``what`` holds): a number that arrives with the write."""
+        n = F.count("*") if what is None else F.count_if(what)
+        if self.has(name):
+            kept = self.keep(name, df)
+            return kept, kept.agg(n).first()[0]
+        seen = Observation()
+        return self.keep(name, df.observe(seen, n.alias("n"))), seen.get["n"]
+
     def drop(self, name: str) -> None:
         at, fs = self._at(name)
         fs.delete(at, True)
