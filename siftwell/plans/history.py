@@ -26,7 +26,7 @@ def changes(before: DataFrame, after: DataFrame, key: str = "base_url", fields:
     A row that only one snapshot has is one row without a field, ``added`` or ``removed``.  Keys are matched null-safely and
     should be unique in a snapshot; null to null is no change.  Arrays are compared whole and in order, as JSON.
 
-    Each side is reduced to its key and one map from fields to texts before the one exchange, and rows whose maps are equal go
+    Each side is reduced to its key and one array of the fields as texts before the one exchange, and rows whose arrays are equal go
     no further than the join.
     """
     side = lambda df, name: df.select(F.col(f"`{key}`").alias(f"{name}_key"), F.array(*[_as_text(df, f) for f in fields]).alias(name))
