@@ -46,14 +46,16 @@ def find_report(reports: DataFrame, audit_id: str) -> DataFrame:
     return reports.filter(F.col("audit_id") == audit_id).withColumn("pdf_download_url", pdf_url(F.col("audit_id"), F.lit(True))).drop("id_prefix")
 
 
-def lookups(reports: DataFrame, wanted: DataFrame, pdfs: DataFrame | None = None) -> DataFrame:
+def lookups(reports: DataFrame, wanted: DataFrame, pdfs: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """What the API answers for each row of ``wanted`` (``audit_id``): 200 with the report, or 404 and its detail.
 
     A report's download URL is always given.  With ``pdfs`` (``audit_id``), ``pdf_status`` and ``pdf_detail`` say what a download
-    answers.  Ids are compared as they are; a null id is unknown.
+    answers.  Ids are compared as they are; a null id is unknown.  A row has one answer: of several reports of one id the
+    smallest by URL and text.  ``also`` names further columns of all three tables that tell audits of one id apart.
     """
-    found = reports.select("audit_id", "url", "markdown_report", F.lit(True).alias("__known"))
-    out = wanted.select("audit_id").join(found, "audit_id", "left")
+    keys = ["audit_id", *also]
+    found = reports.groupBy(*keys).agg(F.min(F.struct("url", "markdown_report")).alias("r")).select(*keys, "r.*", F.lit(True).alias("__known"))
+    out = wanted.select(*keys).join(found, keys, "left")
     known, no = F.col("__known").isNotNull(), lambda before, after: F.concat(F.lit(before), F.coalesce("audit_id", F.lit("null")), F.lit(after))
     out = out.withColumns({
         "http_status": F.when(known, 200).otherwise(404), "pdf_download_url": F.when(known, pdf_url(F.col("audit_id"), F.lit(True))),
@@ -61,7 +63,7 @@ def lookups(reports: DataFrame, wanted: DataFrame, pdfs: DataFrame | None = None
     }).drop("__known")
     if pdfs is None:
         return out
-    there = out.join(pdfs.select("audit_id", F.lit(True).alias("__pdf")), "audit_id", "left")
+    there = out.join(pdfs.select(*keys, F.lit(True).alias("__pdf")).distinct(), keys, "left")
     has = F.col("__pdf").isNotNull()
     return there.withColumns({"pdf_status": F.when(has, 200).otherwise(404), "pdf_detail": F.when(~has, no("PDF not found for audit: ", ". Run the audit again to regenerate."))}).drop("__pdf")
 

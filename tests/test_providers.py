@@ -56,3 +56,12 @@ def test_lookups(spark):
     assert (got["b"].http_status, got["b"].pdf_download_url, got["b"].pdf_status) == (200, "/api/v1/audits/b/pdf", 404)
     assert (got["../x"].http_status, got["../x"].detail, got["../x"].pdf_download_url) == (404, "Audit not found: ../x. Run a new audit to generate a report.", None) and got[None].http_status == 404
     assert lookups(reports.limit(0), wanted).filter("http_status = 404").count() == 4
+
+
+def test_lookups_answer_once(spark):
+    """Two audits of one URL have one id: each row asked for has one answer, its own where a further column tells them apart."""
+    rows = spark.createDataFrame([("a", "u", "r", 1), ("a", "u", "r", 2), ("a", "u", "r", 3), ("b", "v", "s", 4)], "audit_id string, url string, markdown_report string, page_id int")
+    made, pdfs = rows.filter("page_id <> 2"), rows.filter("page_id = 1 or page_id = 4")
+    assert sorted((x.audit_id, x.http_status, x.pdf_status) for x in lookups(made, rows, made).collect()) == [("a", 200, 200)] * 3 + [("b", 200, 200)]
+    got = {x.page_id: (x.http_status, x.pdf_status) for x in lookups(made, rows, pdfs, also=("page_id",)).collect()}
+    assert got == {1: (200, 200), 2: (404, 404), 3: (200, 404), 4: (200, 200)}
