@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators.skew import first_of, salted_join
+from siftwell.operators.skew import dealt, first_of, salted_join
 from siftwell.plans.crawl import crawl, link_report, link_states, page_links, url_chains, url_hops
+from siftwell.queries import shop_resources
+from siftwell.site_queries import site_pages
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
@@ -108,3 +110,14 @@ def test_hops(spark):
     got = url_hops(spark.createDataFrame(rows, "url string, final_url string, canonical_url string"))
     assert {tuple(x) for x in got.collect()} == {("https://b.com", "https://c.com/x"), ("https://e.com", "https://f.com")}
     assert url_chains(got.limit(0)).collect() == []
+
+
+def test_rows_are_dealt_before_pages_are_made(spark, tmp_path):
+    """A small table in one file is many tasks where a page is made of every row."""
+    got = dealt(spark.range(0, 9000, 1, 1).toDF("k"), "k", most=500)
+    assert got.rdd.getNumPartitions() == 18 and got.count() == got.distinct().count() == 9000
+    assert dealt(spark.range(0).toDF("k"), "k").count() == 0
+    spark.range(0, 4001, 1, 1).selectExpr("id as p_partkey", "'n' as p_name", "'t' as p_type", "1 as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(0, 4001, 1, 1).selectExpr("id as s_suppkey", "'n' as s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert min(pages(spark, str(tmp_path)).rdd.getNumPartitions() for pages in (site_pages, shop_resources)) >= max(3, min(cores, 4001))

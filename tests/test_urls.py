@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions.urls import MESSAGES, normalize_url
+from siftwell.functions.urls import MESSAGES, normal_url, normalize_url
 from siftwell.plans.audit import accepted, checked_urls, rejected
 
 LONG = "x" * 64
@@ -81,3 +81,12 @@ def test_rejects(spark):
     df = checked_urls(spark.createDataFrame([("example.com",), ("ab",), ("x" * 2049 + ".com",), ("nodots",), (None,)], "url string"))
     assert [x.normalized_url for x in accepted(df).collect()] == ["https://example.com"]
     assert {(x.url or "")[:6]: x.http_error for x in rejected(df).collect()} == {"ab": 422, "xxxxxx": 422, "nodots": 400, "": 422}
+
+
+def test_normal_as_they_stand(spark):
+    """What ``normal_url`` takes as it stands is what the whole normalisation makes of it."""
+    hosts = ["e.com", "E.com", "a-b.c9.org", "-a.com", "a.com-", "a..com", "e", "x" * 63 + ".com", "x" * 64 + ".com", "e.com:80", "e.com:", "e.com:x", "u@e.com", "é.com", "e.com.", "1.2"]
+    rests = ["", "/", "//", "/p", "/P/q;x=1", "/?", "?", "?q", "/?q=1", "/p?", "/p?q=a?b", "/p#", "/p#f", "/p q", " ", "\t", "/é", "/a\tb", "/p?q=\n", "/:", "?a/b", "/%41", "\\x"]
+    urls = [f"{s}{h}{r}" for s in ("http://", "https://", "HTTP://", "ftp://", "", "//") for h in hosts for r in rests] + [None, "", "http://", "https://"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", normal_url(F.col("u")).alias("n"), normalize_url(F.col("u")).alias("w")).collect()
+    assert all(x.n == (x.w.normalized_url if x.w.is_valid else None) for x in rows) and sum(x.n is not None and x.n == x.u for x in rows) > 100
