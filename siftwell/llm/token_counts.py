@@ -11,8 +11,9 @@ result by range.  Token data is never shuffled.
 the shared scratch folder, and returns a file's name and its documents' ids only when it is complete, so what a lost task left
 behind is never read.
 
-Files are opened through Arrow's file systems (local, HDFS, S3, GCS, Azure); where Arrow doesn't know a path's scheme, they are
-read whole by Spark's binaryFile source, which is limited to 2 GB a file, and written streams are scanned where they are made.
+Files are opened through Arrow's file systems (local, HDFS, S3, GCS, Azure); where Arrow doesn't know a path's scheme, given
+files are read whole by Spark's binaryFile source, which is limited to 2 GB a file, and files of documents are written by Spark
+as rows, one for each byte range, which are scanned and stitched like ranges of files.
 
 Defined cases: an empty document has 0 tokens; tokens after the last separator are a document of their own, no tokens there
 are none; an empty file has no documents; a file's size must be a multiple of the token width, else the scan fails.  A null
@@ -30,7 +31,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,15 +191,44 @@ def _file_row(folder: str, name: str, size: int, ids: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["file", "size", "ids"])
 
 
-def _streams(vocabulary: str, block_tokens: int):
-    """Without files: scans each part of a task's documents as one flat token stream, and lists its documents."""
+_FLAT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("last", pa.bool_()), ("raw", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
+
+def _flat_rows(vocabulary: str, file_tokens: int, step: int):
+    """Where Arrow can't write: a task's flat files as rows that Spark writes, one for each byte range; the last has the ids."""
+
+    def row(name: str, block: int, raw: bytes, ids: list | None) -> pa.RecordBatch:
+        values = ([name], [block], [ids is not None], [raw], [ids or []])
+        return pa.record_batch([pa.array(v, f.type) for v, f in zip(values, _FLAT, strict=True)], schema=_FLAT)
+
+    def run(batches):
+        name, block, size, flat, ids = uuid.uuid4().hex, 0, 0, bytearray(), []
+        for batch in batches:
+            for part in slabs(batch):
+                texts = encode(part.column("text").to_pylist(), vocabulary)
+                for doc_id, tokens in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                    raw = np.append(tokens, END_OF_DOCUMENT).astype("<u2").tobytes()
+                    flat += raw
+                    size += len(raw)
+                    ids.append(doc_id)
+                    while len(flat) > step:  # ranges end where they end, whatever document they are in
+                        yield row(name, block, bytes(flat[:step]), None)
+                        del flat[:step]
+                        block += 1
+                    if size >= 2 * file_tokens:
+                        yield row(name, block, bytes(flat), ids)
+                        name, block, size, flat, ids = uuid.uuid4().hex, 0, 0, bytearray(), []
+        if ids:
+            yield row(name, block, bytes(flat), ids)
+
+    return run
+
+
+def _rows_scanned(block_tokens: int):
     def run(batches):
-        for n, part in enumerate(part for batch in batches for part in slabs(batch)):
-            file = f"{TaskContext.get().partitionId()}-{n}"
-            flat = np.concatenate([np.append(x, END_OF_DOCUMENT).astype(np.uint16) for x in encode(part.column("text").to_pylist(), vocabulary)])
-            rows = _batch([summarise(file, 0, True, flat, END_OF_DOCUMENT, block_tokens)])
-            yield pa.record_batch([*rows.columns, pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))], names=[*_SUMMARY.names, "ids"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield _batch([summarise(r["file"], r["block"], r["last"], np.frombuffer(r["raw"], "<u2"), END_OF_DOCUMENT, block_tokens)])
 
     return run
 
@@ -213,7 +242,9 @@ def document_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
         files = materialize(rows.mapInArrow(_flat_files(vocabulary, folder, file_tokens), _FILES), "files")
         blocks = materialize(scan_ranges(files.select("file", "size"), END_OF_DOCUMENT, 2, block_tokens, range_bytes), "blocks")
     else:
-        files = materialize(rows.mapInArrow(_streams(vocabulary, block_tokens), f"{SUMMARY_SQL}, ids array<long>"), "blocks")
-        blocks = files.drop("ids")
+        step = max(1, range_bytes // 2) * 2
+        flat = materialize(rows.mapInArrow(_flat_rows(vocabulary, file_tokens, step), "file string, block long, last boolean, raw binary, ids array<long>"), "flat")
+        files = flat.filter("last").select("file", "ids")
+        blocks = materialize(flat.select("file", "block", "last", "raw").mapInArrow(_rows_scanned(block_tokens), SUMMARY_SQL), "blocks")
     listed = files.select("file", F.posexplode("ids").alias("i", "doc_id"))
     return stitch(blocks).join(listed.withColumn("ordinal", F.col("i").cast("long")), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -87,3 +87,17 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert document_token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_documents_without_arrow_file_system_are_files_of_ranges(spark, monkeypatch):
+    """Where only Spark can write, flat files are still written and cut regardless of documents, and boundaries stitched."""
+    pytest.importorskip("tiktoken")
+    seen, stitch = [], module.stitch
+    monkeypatch.setattr(module, "_opened", lambda path: None)
+    monkeypatch.setattr(module, "stitch", lambda blocks: seen.append(blocks.agg(F.max("block"), F.max(F.size("inner"))).first()) or stitch(blocks))
+    texts = ["some words, again and again; " * 5000, "", None, "x", "word " * 300] + ["a b"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {i: len(t) for i, t in enumerate(encode(texts))}
+    for file_tokens in (50, 1 << 20):
+        assert {x.doc_id: x.n_tokens for x in document_token_counts(df, range_bytes=100, file_tokens=file_tokens).collect()} == want
+    assert all(block > 100 and inner > 1 for block, inner in seen)
