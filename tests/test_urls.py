@@ -90,3 +90,9 @@ def test_normal_as_they_stand(spark):
     urls = [f"{s}{h}{r}" for s in ("http://", "https://", "HTTP://", "ftp://", "", "//") for h in hosts for r in rests] + [None, "", "http://", "https://"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", normal_url(F.col("u")).alias("n"), normalize_url(F.col("u")).alias("w")).collect()
     assert all(x.n == (x.w.normalized_url if x.w.is_valid else None) for x in rows) and sum(x.n is not None and x.n == x.u for x in rows) > 100
+
+
+def test_a_fragment_is_left_out_before_the_whole_normalisation(spark):
+    urls = [f"{u}#{f}" for u in ("https://e.com", "https://e.com/", "http://e.com:80/p", "https://e.com/p?q=1", "HTTPS://E.com/p", "e.com/p", "https://e", "", " https://e.com/p", "https://e.com/p ") for f in ("", "f", "a#b", " ", "\t\n", "?x/y", "https://x.y", "é", "\x00")]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select(normal_url(F.col("u")).alias("n"), normalize_url(F.col("u")).alias("w")).collect()
+    assert all(x.n == (x.w.normalized_url if x.w.is_valid else None) for x in rows) and all("#" not in (x.n or "") for x in rows)
