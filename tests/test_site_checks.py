@@ -118,6 +118,14 @@ def test_authority_goes_on_from_written_rounds(spark, tmp_path):
     assert authority_scores(pages.limit(0), links).collect() == [] and orphans(pages.limit(0), links).collect() == []
 
 
+def test_authority_rounds_join_numbers(spark, tmp_path):
+    """URLs are joined twice, when links are numbered, and hot pages are looked for once; not so in every round."""
+    pages, links = spark.createDataFrame([("a",), ("b",), ("c",)], "page string"), spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")], "page string, link string")
+    assert {x.page for x in authority_scores(pages, links, 0.5, most_rounds=3, path=str(tmp_path), hot_rows=1).collect()} == {"a", "b", "c"}
+    types = lambda name: dict(spark.read.parquet(str(tmp_path / name)).dtypes)
+    assert types("inner") == {"source": "bigint", "target": "bigint"} and types("score=3")["id"] == "bigint" and spark.read.parquet(str(tmp_path / "hot")).count() == 1
+
+
 def test_words_and_windows(spark):
     html = "<style>a b</style><p>One, <b>two</b>-three<!-- no --> 4 É<script>var x</script  > x < y"
     x = spark.createDataFrame([(html,), ("a b",), ("",), (None,)], "h string").select(page_words(F.col("h")).alias("w")).select("w", F.size(windows(F.col("w"), 3)).alias("n")).collect()
